@@ -80,7 +80,7 @@ FEATURE_COLUMNS = (
 )
 
 
-def derive_features(base: DataFrame, spec: Spec = DEFAULT_SPEC) -> DataFrame:
+def derive_features(base: DataFrame, spec: Spec = DEFAULT_SPEC, keep=()) -> DataFrame:
     """Script-style derived fields on top of the base aggregates."""
     flags = {script_flag: flag(F.col(count_col) > 0) for count_col, script_flag, _, _ in spec.flag_groups}
     total = F.col("total_events")
@@ -96,7 +96,7 @@ def derive_features(base: DataFrame, spec: Spec = DEFAULT_SPEC) -> DataFrame:
         "is_worker_only": (F.col("worker_events") > 0) & (F.col("admin_events") == 0),
     })
     out = out.withColumn("worker_depth_score", sum_columns(spec.worker_depth_flags).cast("int"))
-    return out.select(*FEATURE_COLUMNS)
+    return out.select(*FEATURE_COLUMNS, *keep)
 
 
 def org_features(classified: DataFrame, spec: Spec = DEFAULT_SPEC) -> DataFrame:

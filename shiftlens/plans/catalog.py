@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftlens.operators import classify, features, marts, staging
+from shiftlens.session import materialise
 from shiftlens.sources import coerce_timestamps, events_table, raw_trial_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,8 +36,10 @@ def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.classify_events(stg(spark, sf_dir))
 
 
-def org(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.org_features(classified(spark, sf_dir))
+def org(spark: SparkSession, sf_dir: str, materialised: bool = False) -> DataFrame:
+    """Organisation features; ``materialised`` checkpoints them for multi-branch plans."""
+    out = features.org_features(classified(spark, sf_dir))
+    return materialise(out) if materialised else out
 
 
 # ---------------------------------------------------------------- sources, staging
@@ -114,3 +117,226 @@ def q_org_features_joined(spark, sf_dir):
 @register("mart_worker_adoption")
 def q_mart_worker_adoption(spark, sf_dir):
     return marts.mart_worker_adoption(stg(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- reports
+
+from shiftlens.operators import distributions as dist  # noqa: E402
+from shiftlens.operators import ml, reports, stats, survival  # noqa: E402
+from shiftlens.spec import DISTRIBUTION_METRICS  # noqa: E402
+
+
+@register("conversion_overview")
+def q_conversion_overview(spark, sf_dir):
+    return reports.conversion_overview(org(spark, sf_dir))
+
+
+@register("worker_headline")
+def q_worker_headline(spark, sf_dir):
+    return reports.worker_headline(org(spark, sf_dir))
+
+
+@register("crosstab_worker_converted")
+def q_crosstab_worker_converted(spark, sf_dir):
+    return reports.crosstab_worker_converted(org(spark, sf_dir))
+
+
+@register("chi_square_flags")
+def q_chi_square_flags(spark, sf_dir):
+    return reports.chi_square_flags(org(spark, sf_dir))
+
+
+@register("activity_uplift")
+def q_activity_uplift(spark, sf_dir):
+    return reports.activity_uplift(org(spark, sf_dir))
+
+
+@register("archetypes")
+def q_archetypes(spark, sf_dir):
+    return reports.archetypes(org(spark, sf_dir))
+
+
+@register("archetype_chart")
+def q_archetype_chart(spark, sf_dir):
+    return reports.archetype_chart(org(spark, sf_dir, materialised=True))
+
+
+@register("depth_summary")
+def q_depth_summary(spark, sf_dir):
+    return reports.depth_summary(org(spark, sf_dir))
+
+
+@register("adoption_funnel")
+def q_adoption_funnel(spark, sf_dir):
+    rolled = features.org_rollup(classified(spark, sf_dir))
+    return reports.adoption_funnel(features.derive_features(rolled, keep=("shift_created_events",)))
+
+
+@register("side_volume_by_outcome")
+def q_side_volume_by_outcome(spark, sf_dir):
+    return reports.side_volume_by_outcome(org(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- distributions
+
+@register("worker_timing")
+def q_worker_timing(spark, sf_dir):
+    return dist.worker_timing(org(spark, sf_dir, materialised=True))
+
+
+@register("handoff_gap")
+def q_handoff_gap(spark, sf_dir):
+    return dist.handoff_gap(org(spark, sf_dir, materialised=True))
+
+
+@register("handoff_buckets")
+def q_handoff_buckets(spark, sf_dir):
+    return dist.handoff_buckets(org(spark, sf_dir))
+
+
+@register("adoption_curve")
+def q_adoption_curve(spark, sf_dir):
+    return dist.adoption_curve(org(spark, sf_dir))
+
+
+@register("metric_quantiles")
+def q_metric_quantiles(spark, sf_dir):
+    return dist.metric_quantiles(org(spark, sf_dir, materialised=True))
+
+
+@register("capped_metrics")
+def q_capped_metrics(spark, sf_dir):
+    return dist.capped_metrics(org(spark, sf_dir, materialised=True))
+
+
+@register("hist_total_events")
+def q_hist_total_events(spark, sf_dir):
+    return dist.hist_total_events(org(spark, sf_dir, materialised=True))
+
+
+@register("hist_active_days")
+def q_hist_active_days(spark, sf_dir):
+    return dist.hist_active_days(org(spark, sf_dir, materialised=True))
+
+
+@register("hist_first_worker")
+def q_hist_first_worker(spark, sf_dir):
+    return dist.hist_first_worker(org(spark, sf_dir, materialised=True))
+
+
+@register("hist_worker_share")
+def q_hist_worker_share(spark, sf_dir):
+    return dist.hist_worker_share(org(spark, sf_dir, materialised=True))
+
+
+@register("hist_handoff_gap")
+def q_hist_handoff_gap(spark, sf_dir):
+    return dist.hist_handoff_gap(org(spark, sf_dir, materialised=True))
+
+
+@register("boxplot_stats")
+def q_boxplot_stats(spark, sf_dir):
+    return dist.boxplot_stats(org(spark, sf_dir, materialised=True), DISTRIBUTION_METRICS)
+
+
+@register("scatter_admin_worker")
+def q_scatter_admin_worker(spark, sf_dir):
+    return dist.scatter_admin_worker(org(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- tests, models, survival
+
+def _metrics_long(o: DataFrame) -> DataFrame:
+    return o.select("converted", F.inline(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m, _ in DISTRIBUTION_METRICS])))
+
+
+@register("mann_whitney_metrics")
+def q_mann_whitney_metrics(spark, sf_dir):
+    return _r6_stats(stats.mann_whitney(_metrics_long(org(spark, sf_dir, materialised=True)), ["metric"], "value"))
+
+
+@register("mann_whitney_timing")
+def q_mann_whitney_timing(spark, sf_dir):
+    wt = dist.worker_timing_frame(org(spark, sf_dir, materialised=True)).withColumn("metric", F.lit("days_to_first_worker"))
+    return _r6_stats(stats.mann_whitney(wt, ["metric"], "days_to_first_worker"))
+
+
+def _r6_stats(df: DataFrame) -> DataFrame:
+    from shiftlens.functions.columns import r6
+    return df.withColumns({c: r6(c) for c in ("u_stat", "z", "p_value")})
+
+
+AUC_SCORES = ("total_events", "admin_events", "worker_events", "admin_active_days", "worker_active_days",
+              "admin_unique_activities", "worker_unique_activities", "worker_depth_score", "worker_event_share")
+
+
+@register("roc_auc_score_table")
+def q_roc_auc_score_table(spark, sf_dir):
+    from shiftlens.functions.columns import r6
+    o = org(spark, sf_dir, materialised=True)
+    long = o.select("converted", F.inline(F.array(*[
+        F.struct(F.lit(m).alias("score_name"), F.col(m).cast("double").alias("score")) for m in AUC_SCORES])))
+    out = stats.roc_auc(long, ["score_name"], "score", "converted")
+    return out.withColumn("auc", r6("auc"))
+
+
+@register("survival_input")
+def q_survival_input(spark, sf_dir):
+    return survival.survival_input(org(spark, sf_dir))
+
+
+@register("kaplan_meier")
+def q_kaplan_meier(spark, sf_dir):
+    return survival.kaplan_meier(survival.survival_input(org(spark, sf_dir, materialised=True)))
+
+
+@register("feature_sets")
+def q_feature_sets(spark, sf_dir):
+    return ml.feature_sets(org(spark, sf_dir))
+
+
+@register("standardize_features")
+def q_standardize_features(spark, sf_dir):
+    from shiftlens.functions.columns import r6
+    from shiftlens.spec import ADMIN_FEATURES, WORKER_FEATURES
+    cols = ADMIN_FEATURES + WORKER_FEATURES
+    out = features.standardize(org(spark, sf_dir, materialised=True), cols)
+    return out.select("organization_id", *[r6(c).alias(c) for c in cols])
+
+
+@register("cv_folds")
+def q_cv_folds(spark, sf_dir):
+    return ml.stratified_folds(org(spark, sf_dir, materialised=True), "converted")
+
+
+@register("rf_cv_auc")
+def q_rf_cv_auc(spark, sf_dir):
+    return ml.rf_cv_auc(org(spark, sf_dir, materialised=True))
+
+
+# ---------------------------------------------------------------- goals, activation, triggers
+
+@register("mart_trial_goals")
+def q_mart_trial_goals(spark, sf_dir):
+    return marts.mart_trial_goals(stg(spark, sf_dir))
+
+
+@register("mart_trial_activation")
+def q_mart_trial_activation(spark, sf_dir):
+    return marts.mart_trial_activation(marts.mart_trial_goals(stg(spark, sf_dir)))
+
+
+@register("activation_tier_summary")
+def q_activation_tier_summary(spark, sf_dir):
+    return marts.activation_tier_summary(marts.mart_trial_activation(marts.mart_trial_goals(stg(spark, sf_dir))))
+
+
+@register("day14_outreach")
+def q_day14_outreach(spark, sf_dir):
+    return marts.day14_outreach(stg(spark, sf_dir))
+
+
+@register("onboarding_nudge")
+def q_onboarding_nudge(spark, sf_dir):
+    return marts.onboarding_nudge(stg(spark, sf_dir))
