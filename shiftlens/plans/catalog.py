@@ -340,3 +340,43 @@ def q_day14_outreach(spark, sf_dir):
 @register("onboarding_nudge")
 def q_onboarding_nudge(spark, sf_dir):
     return marts.onboarding_nudge(stg(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- streaming and sinks
+
+from shiftlens.sources import write_mart  # noqa: E402
+from shiftlens.session import scratch_path  # noqa: E402
+from shiftlens.streaming import streams  # noqa: E402
+
+STREAM_WATERMARK = "1 hour"
+
+
+@register("stream_dedup")
+def q_stream_dedup(spark, sf_dir):
+    path, schema = streams.write_source(raw_trial_events(spark, sf_dir), "raw-events")
+    sdf = streams.stream_dedup(streams.file_stream(spark, path, schema), STREAM_WATERMARK)
+    return streams.run_to_table(sdf, "stream-dedup")
+
+
+@register("stream_activity_by_day")
+def q_stream_activity_by_day(spark, sf_dir):
+    path, schema = streams.write_source(stg(spark, sf_dir).select(*staging.RAW_COLUMNS), "stg-events")
+    sdf = streams.stream_activity_by_day(streams.file_stream(spark, path, schema), STREAM_WATERMARK)
+    return streams.run_to_table(sdf, "stream-activity")
+
+
+@register("stream_onboarding_nudge")
+def q_stream_onboarding_nudge(spark, sf_dir):
+    path, schema = streams.write_source(stg(spark, sf_dir).select(*staging.RAW_COLUMNS), "stg-events")
+    sdf = streams.stream_onboarding_nudge(streams.file_stream(spark, path, schema), watermark=STREAM_WATERMARK)
+    per_shift = streams.run_to_table(sdf, "stream-nudge")
+    return per_shift.groupBy("organization_id").agg(
+        F.min("shift_ts").alias("first_unanswered_shift_at"), F.min("nudge_due_at").alias("nudge_due_at"))
+
+
+@register("write_mart")
+def q_write_mart(spark, sf_dir):
+    path = scratch_path(spark, "mart-worker-adoption")
+    mart = marts.mart_worker_adoption(stg(spark, sf_dir), ordered=False)
+    write_mart(mart, path, sort_within=["organization_id"])
+    return spark.read.parquet(path)

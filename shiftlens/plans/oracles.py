@@ -532,3 +532,42 @@ WHERE NOT EXISTS (SELECT 1 FROM classified w
                   WHERE w.organization_id = a.organization_id AND w.activity_type = 'worker'
                     AND w.event_timestamp <= a.first_shift_created_at + INTERVAL 48 HOUR)
 """, "classified")
+
+# ---------------------------------------------------------------- streaming and sinks
+# A stream run with availableNow stops at its final watermark (max event time
+# minus the 1-hour delay; for the join, the minimum over both inputs).  Rows
+# the batch form would produce but the watermark has not closed are not
+# emitted, so the oracles apply the same cut.
+
+oracle("stream_dedup", "SELECT * FROM dedup", "dedup")
+
+oracle("stream_activity_by_day", f"""
+SELECT date_trunc('day', event_timestamp) AS day_start,
+       date_trunc('day', event_timestamp) + INTERVAL 1 DAY AS day_end,
+       organization_id, activity_type, COUNT(*) AS n_events
+FROM classified
+GROUP BY 1, 2, 3, 4
+HAVING date_trunc('day', event_timestamp) + INTERVAL 1 DAY
+       <= (SELECT max(event_timestamp) FROM classified) - INTERVAL 1 HOUR
+""", "classified")
+
+from shiftlens.spec import WORKER_ACTIVITIES  # noqa: E402
+
+_worker_in = _in_list(WORKER_ACTIVITIES)
+oracle("stream_onboarding_nudge", f"""
+WITH shifts AS (SELECT organization_id, event_timestamp AS shift_ts FROM classified
+                WHERE activity_name = 'Scheduling.Shift.Created'),
+     workers AS (SELECT organization_id, event_timestamp AS worker_ts FROM classified
+                 WHERE activity_name IN ({_worker_in})),
+     wm AS (SELECT least((SELECT max(shift_ts) FROM shifts), (SELECT max(worker_ts) FROM workers))
+                   - INTERVAL 1 HOUR AS w)
+SELECT s.organization_id, min(s.shift_ts) AS first_unanswered_shift_at,
+       min(s.shift_ts) + INTERVAL 48 HOUR AS nudge_due_at
+FROM shifts s, wm
+WHERE s.shift_ts + INTERVAL 48 HOUR < wm.w
+  AND NOT EXISTS (SELECT 1 FROM workers k WHERE k.organization_id = s.organization_id
+                  AND k.worker_ts >= s.shift_ts AND k.worker_ts <= s.shift_ts + INTERVAL 48 HOUR)
+GROUP BY s.organization_id
+""", "classified")
+
+ORACLES["write_mart"] = ORACLES["mart_worker_adoption"]
