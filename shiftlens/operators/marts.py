@@ -34,7 +34,11 @@ def mart_worker_adoption(stg: DataFrame, spec: Spec = DEFAULT_SPEC, ordered: boo
     sort within partitions instead of paying for a global sort.
     """
     classified = classify_events(stg, spec) if "activity_type" not in stg.columns else stg
-    base = org_rollup(classified, spec)
+    return mart_from_rollup(org_rollup(classified, spec), spec, ordered)
+
+
+def mart_from_rollup(base: DataFrame, spec: Spec = DEFAULT_SPEC, ordered: bool = True) -> DataFrame:
+    """The worker-adoption mart from per-organisation base aggregates."""
     flags = {mart_flag: flag(F.col(count_col) > 0) for count_col, _, mart_flag, _ in spec.flag_groups}
     not_converted = ~F.col("converted")
     out = (base.withColumns(flags)
@@ -95,7 +99,13 @@ def mart_trial_goals(stg: DataFrame, spec: Spec = DEFAULT_SPEC, min_active_days:
     """
     assert SHIFT_CREATED in spec.admin_activities and MOBILE_VIEW in spec.worker_activities
     assert AVAILABILITY_SET in spec.worker_activities
-    base = _goals_from_rollup(_goal_rollup(stg, spec), min_active_days, min_activity_types)
+    return goals_from_rollup(_goal_rollup(stg, spec), min_active_days, min_activity_types)
+
+
+def goals_from_rollup(rollup: DataFrame, min_active_days: int = GOAL_MIN_ACTIVE_DAYS,
+                      min_activity_types: int = GOAL_MIN_ACTIVITY_TYPES) -> DataFrame:
+    """The goals mart from per-organisation base aggregates."""
+    base = _goals_from_rollup(rollup, min_active_days, min_activity_types)
     return base.select("organization_id", "converted", "converted_at", "trial_start", "trial_end",
                        "active_days", "unique_activities", *GOAL_COLUMNS, "goals_completed")
 
@@ -177,7 +187,11 @@ def onboarding_nudge(stg: DataFrame, spec: Spec = DEFAULT_SPEC, hours: int = NUD
     aggregate (first shift, first worker event) instead of an anti-join, so
     the events are shuffled once and a hot organisation is combined map-side.
     """
-    base = _goal_rollup(stg, spec)
+    return nudge_from_rollup(_goal_rollup(stg, spec), hours)
+
+
+def nudge_from_rollup(base: DataFrame, hours: int = NUDGE_HOURS) -> DataFrame:
+    """Nudge targets from per-organisation base aggregates (first shift, first worker event)."""
     due = F.col("first_shift_created_ts") + F.make_dt_interval(F.lit(0), F.lit(hours))
     return (base.where(F.col("first_shift_created_ts").isNotNull()
                        & (F.col("first_worker_ts").isNull() | (F.col("first_worker_ts") > due)))

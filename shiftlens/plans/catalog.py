@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftlens.operators import classify, features, marts, staging
-from shiftlens.session import materialise
+from shiftlens.plans.tables import landed
 from shiftlens.sources import coerce_timestamps, events_table, raw_trial_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,18 +28,34 @@ def register(name: str):
 
 # ---------------------------------------------------------------- shared stages
 
+def _events_path(sf_dir: str) -> str:
+    return f"{sf_dir.rstrip('/')}/events.parquet"
+
+
+def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw trial log derived from ``events``, landed once per session."""
+    return landed(spark, _events_path(sf_dir), "raw-trial-events", lambda: raw_trial_events(spark, sf_dir))
+
+
 def stg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return staging.stg_trial_events(raw_trial_events(spark, sf_dir))
+    """Staged events (de-duplicated, in window, enriched), landed once per session."""
+    return landed(spark, _events_path(sf_dir), "stg-trial-events",
+                  lambda: staging.stg_trial_events(raw(spark, sf_dir)))
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.classify_events(stg(spark, sf_dir))
 
 
+def rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-organisation base aggregates (one shuffle of the staged events), landed once."""
+    return landed(spark, _events_path(sf_dir), "org-rollup",
+                  lambda: features.org_rollup(classified(spark, sf_dir)))
+
+
 def org(spark: SparkSession, sf_dir: str, materialised: bool = False) -> DataFrame:
-    """Organisation features; ``materialised`` checkpoints them for multi-branch plans."""
-    out = features.org_features(classified(spark, sf_dir))
-    return materialise(out) if materialised else out
+    """Organisation features: a projection of the landed roll-up."""
+    return features.derive_features(rollup(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- sources, staging
@@ -57,7 +73,7 @@ def q_coerce_timestamps(spark, sf_dir):
 
 @register("dedup_events")
 def q_dedup_events(spark, sf_dir):
-    return staging.dedup_events(raw_trial_events(spark, sf_dir))
+    return staging.dedup_events(raw(spark, sf_dir))
 
 
 @register("stg_trial_events")
@@ -67,7 +83,7 @@ def q_stg_trial_events(spark, sf_dir):
 
 @register("dq_summary")
 def q_dq_summary(spark, sf_dir):
-    return staging.dq_summary(raw_trial_events(spark, sf_dir))
+    return staging.dq_summary(raw(spark, sf_dir))
 
 
 @register("org_meta")
@@ -116,7 +132,7 @@ def q_org_features_joined(spark, sf_dir):
 
 @register("mart_worker_adoption")
 def q_mart_worker_adoption(spark, sf_dir):
-    return marts.mart_worker_adoption(stg(spark, sf_dir))
+    return marts.mart_from_rollup(rollup(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- reports
@@ -158,7 +174,7 @@ def q_archetypes(spark, sf_dir):
 
 @register("archetype_chart")
 def q_archetype_chart(spark, sf_dir):
-    return reports.archetype_chart(org(spark, sf_dir, materialised=True))
+    return reports.archetype_chart(org(spark, sf_dir))
 
 
 @register("depth_summary")
@@ -168,8 +184,7 @@ def q_depth_summary(spark, sf_dir):
 
 @register("adoption_funnel")
 def q_adoption_funnel(spark, sf_dir):
-    rolled = features.org_rollup(classified(spark, sf_dir))
-    return reports.adoption_funnel(features.derive_features(rolled, keep=("shift_created_events",)))
+    return reports.adoption_funnel(features.derive_features(rollup(spark, sf_dir), keep=("shift_created_events",)))
 
 
 @register("side_volume_by_outcome")
@@ -181,12 +196,12 @@ def q_side_volume_by_outcome(spark, sf_dir):
 
 @register("worker_timing")
 def q_worker_timing(spark, sf_dir):
-    return dist.worker_timing(org(spark, sf_dir, materialised=True))
+    return dist.worker_timing(org(spark, sf_dir))
 
 
 @register("handoff_gap")
 def q_handoff_gap(spark, sf_dir):
-    return dist.handoff_gap(org(spark, sf_dir, materialised=True))
+    return dist.handoff_gap(org(spark, sf_dir))
 
 
 @register("handoff_buckets")
@@ -201,42 +216,42 @@ def q_adoption_curve(spark, sf_dir):
 
 @register("metric_quantiles")
 def q_metric_quantiles(spark, sf_dir):
-    return dist.metric_quantiles(org(spark, sf_dir, materialised=True))
+    return dist.metric_quantiles(org(spark, sf_dir))
 
 
 @register("capped_metrics")
 def q_capped_metrics(spark, sf_dir):
-    return dist.capped_metrics(org(spark, sf_dir, materialised=True))
+    return dist.capped_metrics(org(spark, sf_dir))
 
 
 @register("hist_total_events")
 def q_hist_total_events(spark, sf_dir):
-    return dist.hist_total_events(org(spark, sf_dir, materialised=True))
+    return dist.hist_total_events(org(spark, sf_dir))
 
 
 @register("hist_active_days")
 def q_hist_active_days(spark, sf_dir):
-    return dist.hist_active_days(org(spark, sf_dir, materialised=True))
+    return dist.hist_active_days(org(spark, sf_dir))
 
 
 @register("hist_first_worker")
 def q_hist_first_worker(spark, sf_dir):
-    return dist.hist_first_worker(org(spark, sf_dir, materialised=True))
+    return dist.hist_first_worker(org(spark, sf_dir))
 
 
 @register("hist_worker_share")
 def q_hist_worker_share(spark, sf_dir):
-    return dist.hist_worker_share(org(spark, sf_dir, materialised=True))
+    return dist.hist_worker_share(org(spark, sf_dir))
 
 
 @register("hist_handoff_gap")
 def q_hist_handoff_gap(spark, sf_dir):
-    return dist.hist_handoff_gap(org(spark, sf_dir, materialised=True))
+    return dist.hist_handoff_gap(org(spark, sf_dir))
 
 
 @register("boxplot_stats")
 def q_boxplot_stats(spark, sf_dir):
-    return dist.boxplot_stats(org(spark, sf_dir, materialised=True), DISTRIBUTION_METRICS)
+    return dist.boxplot_stats(org(spark, sf_dir), DISTRIBUTION_METRICS)
 
 
 @register("scatter_admin_worker")
@@ -253,12 +268,12 @@ def _metrics_long(o: DataFrame) -> DataFrame:
 
 @register("mann_whitney_metrics")
 def q_mann_whitney_metrics(spark, sf_dir):
-    return _r6_stats(stats.mann_whitney(_metrics_long(org(spark, sf_dir, materialised=True)), ["metric"], "value"))
+    return _r6_stats(stats.mann_whitney(_metrics_long(org(spark, sf_dir)), ["metric"], "value"))
 
 
 @register("mann_whitney_timing")
 def q_mann_whitney_timing(spark, sf_dir):
-    wt = dist.worker_timing_frame(org(spark, sf_dir, materialised=True)).withColumn("metric", F.lit("days_to_first_worker"))
+    wt = dist.worker_timing_frame(org(spark, sf_dir)).withColumn("metric", F.lit("days_to_first_worker"))
     return _r6_stats(stats.mann_whitney(wt, ["metric"], "days_to_first_worker"))
 
 
@@ -274,7 +289,7 @@ AUC_SCORES = ("total_events", "admin_events", "worker_events", "admin_active_day
 @register("roc_auc_score_table")
 def q_roc_auc_score_table(spark, sf_dir):
     from shiftlens.functions.columns import r6
-    o = org(spark, sf_dir, materialised=True)
+    o = org(spark, sf_dir)
     long = o.select("converted", F.inline(F.array(*[
         F.struct(F.lit(m).alias("score_name"), F.col(m).cast("double").alias("score")) for m in AUC_SCORES])))
     out = stats.roc_auc(long, ["score_name"], "score", "converted")
@@ -288,7 +303,7 @@ def q_survival_input(spark, sf_dir):
 
 @register("kaplan_meier")
 def q_kaplan_meier(spark, sf_dir):
-    return survival.kaplan_meier(survival.survival_input(org(spark, sf_dir, materialised=True)))
+    return survival.kaplan_meier(survival.survival_input(org(spark, sf_dir)))
 
 
 @register("feature_sets")
@@ -301,35 +316,35 @@ def q_standardize_features(spark, sf_dir):
     from shiftlens.functions.columns import r6
     from shiftlens.spec import ADMIN_FEATURES, WORKER_FEATURES
     cols = ADMIN_FEATURES + WORKER_FEATURES
-    out = features.standardize(org(spark, sf_dir, materialised=True), cols)
+    out = features.standardize(org(spark, sf_dir), cols)
     return out.select("organization_id", *[r6(c).alias(c) for c in cols])
 
 
 @register("cv_folds")
 def q_cv_folds(spark, sf_dir):
-    return ml.stratified_folds(org(spark, sf_dir, materialised=True), "converted")
+    return ml.stratified_folds(org(spark, sf_dir), "converted")
 
 
 @register("rf_cv_auc")
 def q_rf_cv_auc(spark, sf_dir):
-    return ml.rf_cv_auc(org(spark, sf_dir, materialised=True))
+    return ml.rf_cv_auc(org(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- goals, activation, triggers
 
 @register("mart_trial_goals")
 def q_mart_trial_goals(spark, sf_dir):
-    return marts.mart_trial_goals(stg(spark, sf_dir))
+    return marts.goals_from_rollup(rollup(spark, sf_dir))
 
 
 @register("mart_trial_activation")
 def q_mart_trial_activation(spark, sf_dir):
-    return marts.mart_trial_activation(marts.mart_trial_goals(stg(spark, sf_dir)))
+    return marts.mart_trial_activation(marts.goals_from_rollup(rollup(spark, sf_dir)))
 
 
 @register("activation_tier_summary")
 def q_activation_tier_summary(spark, sf_dir):
-    return marts.activation_tier_summary(marts.mart_trial_activation(marts.mart_trial_goals(stg(spark, sf_dir))))
+    return marts.activation_tier_summary(marts.mart_trial_activation(marts.goals_from_rollup(rollup(spark, sf_dir))))
 
 
 @register("day14_outreach")
@@ -339,7 +354,7 @@ def q_day14_outreach(spark, sf_dir):
 
 @register("onboarding_nudge")
 def q_onboarding_nudge(spark, sf_dir):
-    return marts.onboarding_nudge(stg(spark, sf_dir))
+    return marts.nudge_from_rollup(rollup(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- streaming and sinks
@@ -353,7 +368,7 @@ STREAM_WATERMARK = "1 hour"
 
 @register("stream_dedup")
 def q_stream_dedup(spark, sf_dir):
-    path, schema = streams.write_source(raw_trial_events(spark, sf_dir), "raw-events")
+    path, schema = streams.write_source(raw(spark, sf_dir), "raw-events")
     sdf = streams.stream_dedup(streams.file_stream(spark, path, schema), STREAM_WATERMARK)
     return streams.run_to_table(sdf, "stream-dedup")
 
@@ -377,6 +392,6 @@ def q_stream_onboarding_nudge(spark, sf_dir):
 @register("write_mart")
 def q_write_mart(spark, sf_dir):
     path = scratch_path(spark, "mart-worker-adoption")
-    mart = marts.mart_worker_adoption(stg(spark, sf_dir), ordered=False)
+    mart = marts.mart_from_rollup(rollup(spark, sf_dir), ordered=False)
     write_mart(mart, path, sort_within=["organization_id"])
     return spark.read.parquet(path)
