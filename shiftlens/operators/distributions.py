@@ -36,7 +36,9 @@ def histogram(df: DataFrame, value: str, bins: int, lo=None, hi=None, by=None) -
                            F.when(same, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
     n = F.lit(bins)
     raw_bin = F.floor((F.col("__x") - F.col("lo")) * n / (F.col("hi") - F.col("lo")))
-    placed = (vals.join(F.broadcast(ranges), by) if by else vals.crossJoin(F.broadcast(ranges)))
+    # One range row per group: size-checked by adaptive execution when grouped,
+    # a single row otherwise.
+    placed = (vals.join(ranges, by) if by else vals.crossJoin(F.broadcast(ranges)))
     placed = placed.where((F.col("__x") >= F.col("lo")) & (F.col("__x") <= F.col("hi")))
     counts = (placed.select(*by, F.least(raw_bin, F.lit(bins - 1)).cast("int").alias("bin"))
               .groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n")))

@@ -15,9 +15,11 @@ boundaries are data (approximate quantiles of the order column), so:
 4. the running sum inside each ``(group, bucket)`` window plus the offset is
    the global running sum.
 
-The only broadcasts are the boundary arrays and the offsets, both
-``groups x buckets`` in size; callers keep ``by`` low-cardinality (metric,
-outcome, survival group).
+The boundary arrays and offsets are ``groups x buckets`` rows.  They carry
+no broadcast hint when ``by`` is given: adaptive execution broadcasts them
+from their measured size and falls back to a shuffle join past
+``spark.sql.adaptive.autoBroadcastJoinThreshold``.  Without ``by`` they are
+one row / ``buckets`` rows and are broadcast explicitly.
 """
 
 from __future__ import annotations
@@ -71,8 +73,8 @@ def global_prefix_sum(df: DataFrame, by, order: str, values, buckets: int | None
     n = _bucket_count(df, buckets)
     keys = [*by, order]
     agg = df.groupBy(*keys).agg(*[F.sum(v).alias(v) for v in values])
-    bounds = F.broadcast(_boundaries(agg, by, order, n))
-    keyed = agg.join(bounds, by, "left") if by else agg.crossJoin(bounds)
+    bounds = _boundaries(agg, by, order, n)
+    keyed = agg.join(bounds, by, "left") if by else agg.crossJoin(F.broadcast(bounds))
     bucket = F.size(F.filter(F.coalesce("__bounds", F.array()), lambda b: b <= F.col(order)))
     bucketed = keyed.withColumn("__bucket", bucket).drop("__bounds")
 
@@ -81,7 +83,7 @@ def global_prefix_sum(df: DataFrame, by, order: str, values, buckets: int | None
     offsets = totals.select(*by, "__bucket", *[
         F.coalesce(F.sum(f"__t_{v}").over(before), F.lit(0)).alias(f"__o_{v}") for v in values])
 
-    joined = bucketed.join(F.broadcast(offsets), [*by, "__bucket"])
+    joined = bucketed.join(offsets if by else F.broadcast(offsets), [*by, "__bucket"])
     running = Window.partitionBy(*by, "__bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return joined.select(*keys, *values, *[
         (F.sum(v).over(running) + F.col(f"__o_{v}")).alias(f"{v}_cum") for v in values])
@@ -114,7 +116,7 @@ def exact_quantiles(df: DataFrame, by, value: str, probs) -> DataFrame:
         renamed = targets.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(by)],
                                  "prob", "__h", "__k", "__which")
         on = [F.col(c) == F.col(f"__g{i}") for i, c in enumerate(by)] + [cond]
-        matched = ps.join(F.broadcast(renamed), on).select(*by, "prob", "__h", "__which", "__v")
+        matched = ps.join(renamed, on).select(*by, "prob", "__h", "__which", "__v")
     else:
         matched = ps.join(F.broadcast(targets), cond).select("prob", "__h", "__which", "__v")
     lo = F.max(F.when(F.col("__which") == "lo", F.col("__v")))

@@ -54,8 +54,11 @@ def org_meta(stg: DataFrame) -> DataFrame:
 def dq_summary(raw: DataFrame) -> DataFrame:
     """Data-quality summary of a raw log, one row.
 
-    Two aggregates (raw rows; distinct rows) joined as single-row frames; the
-    metadata-conflict count needs one per-organisation aggregate.
+    Only plain aggregates: no ``COUNT(DISTINCT)`` (which would expand every
+    row once per distinct expression).  Organisations and activity types are
+    counted from grouped frames; an organisation has conflicting metadata when
+    it has more than one distinct (converted, converted_at, trial_start,
+    trial_end) tuple.
     """
     ts_ok = F.col("event_timestamp").isNotNull() & F.col("trial_start").isNotNull()
     raw_stats = raw.agg(
@@ -66,20 +69,20 @@ def dq_summary(raw: DataFrame) -> DataFrame:
     distinct = dedup_events(raw)
     dist_stats = distinct.agg(
         F.count(F.lit(1)).alias("distinct_rows"),
-        F.count_distinct("organization_id").alias("organizations"),
-        F.count_distinct("activity_name").alias("activity_types"),
         F.count_if(ts_ok & (F.col("event_timestamp") < F.col("trial_start"))).alias("events_before_window"),
         F.count_if(ts_ok & (F.col("event_timestamp") > F.col("trial_end"))).alias("events_after_window"),
         F.count_if(F.col("organization_id").isNotNull()
                    & F.col("event_timestamp").between(F.col("trial_start"), F.col("trial_end"))).alias("staged_rows"),
     )
+    meta = ("converted", "converted_at", "trial_start", "trial_end")
     per_org = (distinct.where(F.col("organization_id").isNotNull())
-               .groupBy("organization_id")
-               .agg(*[F.count_distinct(c).alias(c) for c in ("converted", "converted_at", "trial_start", "trial_end")]))
-    conflicts = per_org.agg(F.count_if(
-        (F.col("converted") > 1) | (F.col("converted_at") > 1)
-        | (F.col("trial_start") > 1) | (F.col("trial_end") > 1)).alias("orgs_with_conflicting_metadata"))
-    out = raw_stats.crossJoin(dist_stats).crossJoin(conflicts)
+               .select("organization_id", *meta).dropDuplicates()
+               .groupBy("organization_id").agg(F.count(F.lit(1)).alias("__tuples")))
+    orgs = per_org.agg(F.count(F.lit(1)).alias("organizations"),
+                       F.count_if(F.col("__tuples") > 1).alias("orgs_with_conflicting_metadata"))
+    names = (distinct.where(F.col("activity_name").isNotNull()).select("activity_name").distinct()
+             .agg(F.count(F.lit(1)).alias("activity_types")))
+    out = raw_stats.crossJoin(dist_stats).crossJoin(orgs).crossJoin(names)
     return out.select(
         "raw_rows", "distinct_rows",
         (F.col("raw_rows") - F.col("distinct_rows")).alias("duplicates_removed"),
