@@ -161,18 +161,31 @@ def handoff_gap(org: DataFrame, exact: bool = True) -> DataFrame:
     return out.withColumn("median_days", r6(F.col("median") / F.lit(24.0)))
 
 
+def bucket_table(spark, buckets) -> DataFrame:
+    return spark.createDataFrame([(i, float(lo), float(hi), label) for i, (lo, hi, label) in enumerate(buckets, 1)],
+                                 "bucket_no int, lo double, hi double, label string")
+
+
+def bucketize_ranges(df: DataFrame, value: str, buckets) -> DataFrame:
+    """Attach ``bucket_no, label, lo, hi`` of the closed-open range holding ``value``.
+
+    ``buckets`` is a fixed list of ``(lo, hi, label)``; the table is broadcast
+    (its size is the list's) and matched by a range condition.  Rows in no
+    range are dropped, as the bucket report counts only matched rows.
+    """
+    table = bucket_table(df.sparkSession, buckets)
+    cond = (df[value] >= table["lo"]) & (df[value] < table["hi"])
+    return df.join(F.broadcast(table), cond)
+
+
 def handoff_buckets(org: DataFrame, buckets=HANDOFF_BUCKETS) -> DataFrame:
     """Organisations and conversion per closed-open gap bucket (range join).
 
-    The bucket table is fixed and tiny, so it is broadcast and matched by a
-    range condition; an empty bucket keeps its row (rate null, chart rate 0).
+    An empty bucket keeps its row (rate null, chart rate 0).
     """
-    spark = org.sparkSession
-    table = spark.createDataFrame([(i, float(lo), float(hi), label) for i, (lo, hi, label) in enumerate(buckets, 1)],
-                                  "bucket_no int, lo double, hi double, label string")
+    table = bucket_table(org.sparkSession, buckets)
     h = handoff_frame(org).select("handoff_gap_hrs", "converted")
-    cond = (h["handoff_gap_hrs"] >= table["lo"]) & (h["handoff_gap_hrs"] < table["hi"])
-    matched = h.join(F.broadcast(table), cond).groupBy("bucket_no").agg(
+    matched = bucketize_ranges(h, "handoff_gap_hrs", buckets).groupBy("bucket_no").agg(
         F.count(F.lit(1)).alias("n_orgs"), F.avg(F.col("converted").cast("int")).alias("__c"))
     return (table.join(matched, "bucket_no", "left")
             .select("bucket_no", "label", "lo", "hi", F.coalesce("n_orgs", F.lit(0)).cast("bigint").alias("n_orgs"),
