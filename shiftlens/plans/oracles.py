@@ -258,7 +258,8 @@ SELECT *, round(median / 24.0, 6) AS median_days FROM (
 _bucket_values = ", ".join(f"({i}, {float(lo)}, {float(hi)}, '{label}')"
                            for i, (lo, hi, label) in enumerate(HANDOFF_BUCKETS, start=1))
 oracle("handoff_buckets", f"""
-SELECT b.bucket_no, b.label, b.lo, b.hi, COUNT(h.organization_id) AS n_orgs,
+SELECT b.bucket_no, b.label, CAST(b.lo AS DOUBLE) AS lo, CAST(b.hi AS DOUBLE) AS hi,
+       COUNT(h.organization_id) AS n_orgs,
        round(avg(CAST(h.converted AS INTEGER)), 6) AS conv_rate,
        round(COALESCE(avg(CAST(h.converted AS INTEGER)) * 100, 0.0), 6) AS conv_rate_pct_chart
 FROM (VALUES {_bucket_values}) b(bucket_no, lo, hi, label)
@@ -425,9 +426,10 @@ FROM orgf
 oracle("survival_input", 'SELECT * FROM si', "si")
 
 oracle("kaplan_meier", """
-WITH kev AS (SELECT "group" AS g, duration AS time, SUM(event) AS d, COUNT(*) AS c FROM si GROUP BY 1, 2),
+WITH kev AS (SELECT "group" AS g, duration AS time, CAST(SUM(event) AS BIGINT) AS d, COUNT(*) AS c
+            FROM si GROUP BY 1, 2),
 tot AS (SELECT "group" AS g, COUNT(*) AS big_n FROM si GROUP BY 1),
-atrisk AS (SELECT kev.*, tot.big_n - (SUM(c) OVER (PARTITION BY kev.g ORDER BY time) - c) AS n
+atrisk AS (SELECT kev.*, CAST(tot.big_n - (SUM(c) OVER (PARTITION BY kev.g ORDER BY time) - c) AS BIGINT) AS n
        FROM kev JOIN tot USING (g)),
 terms AS (SELECT *, CASE WHEN d = n THEN 0.0 ELSE ln(1 - d / CAST(n AS DOUBLE)) END AS lt,
                  CASE WHEN d = n THEN 0.0 ELSE d / (CAST(n AS DOUBLE) * (n - d)) END AS gt,
