@@ -125,6 +125,7 @@ def boxplot_stats(org: DataFrame, metrics) -> DataFrame:
     fences = q.select("*", iqr.alias("iqr"), (F.col("q1") - WHISKER_IQR * iqr).alias("__lo"),
                       (F.col("q3") + WHISKER_IQR * iqr).alias("__hi"))
     v = F.col("value")
+    # fences: one row per (metric, outcome) -- bounded by the metric list.
     joined = long.join(F.broadcast(fences), ["metric", "converted"])
     agg = joined.groupBy("metric", "converted", "q1", "median", "q3", "iqr").agg(
         F.count(F.lit(1)).alias("n"),

@@ -51,7 +51,7 @@ def _boundaries(df: DataFrame, by: list[str], order: str, n: int) -> DataFrame:
     target = 32 * n
     counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__cnt")) if by else df.agg(F.count(F.lit(1)).alias("__cnt"))
     frac = F.least(F.lit(1.0), F.lit(float(target)) / F.col("__cnt"))
-    keyed = df.join(F.broadcast(counts), by) if by else df.crossJoin(F.broadcast(counts))
+    keyed = df.join(counts, by) if by else df.crossJoin(F.broadcast(counts))
     sample = keyed.where(F.rand(17) < frac)
     agg = F.array_sort(F.collect_list(order)).alias("__s")
     sampled = sample.groupBy(*by).agg(agg) if by else sample.agg(agg)

@@ -34,7 +34,8 @@ def kaplan_meier(df: DataFrame, group: str = "group", duration: str = "duration"
                      F.col(event).cast("bigint").alias("d"), F.lit(1).cast("bigint").alias("c"))
     ps = global_prefix_sum(base, ["group"], "time", ["d", "c"])
     totals = base.groupBy("group").agg(F.count(F.lit(1)).alias("N"))
-    at = ps.join(F.broadcast(totals), "group").withColumn("n", F.col("N") - (F.col("c_cum") - F.col("c")))
+    # One row per group: adaptive execution sizes (and broadcasts) this join.
+    at = ps.join(totals, "group").withColumn("n", F.col("N") - (F.col("c_cum") - F.col("c")))
     dead = F.col("d") == F.col("n")
     dd, nn = F.col("d").cast("double"), F.col("n").cast("double")
     terms = at.select(

@@ -66,13 +66,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/shiftlens-{name}-{uuid.uuid4().hex[:12]}"
 
-
-def materialise(df):
-    """Reliable checkpoint into the shared checkpoint folder (eager).
-
-    Used where an organisation-sized frame feeds several branches of one plan
-    (quantiles, ranks, caps): later stages read the checkpoint instead of
-    re-running the event roll-up, and a lost executor re-reads the files.
-    """
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
