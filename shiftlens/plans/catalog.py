@@ -395,3 +395,16 @@ def q_write_mart(spark, sf_dir):
     mart = marts.mart_from_rollup(rollup(spark, sf_dir), ordered=False)
     write_mart(mart, path, sort_within=["organization_id"])
     return spark.read.parquet(path)
+
+
+@register("read_events")
+def q_read_events(spark, sf_dir):
+    """CSV scan: the derived raw log is landed as CSV with a mixed-case header, then read back."""
+    from shiftlens.sources import read_events
+    path = scratch_path(spark, "raw-events-csv")
+    headers = {"organization_id": "Organization_Id", "activity_name": "Activity_Name",
+               "event_timestamp": "TIMESTAMP", "converted": "Converted", "converted_at": "Converted_At",
+               "trial_start": "Trial_Start", "trial_end": "Trial_End"}
+    raw(spark, sf_dir).select(*[F.col(c).alias(h) for c, h in headers.items()]).write \
+        .option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path)
+    return read_events(spark, path, fmt="csv")

@@ -573,3 +573,5 @@ GROUP BY s.organization_id
 """, "classified")
 
 ORACLES["write_mart"] = ORACLES["mart_worker_adoption"]
+
+oracle("read_events", "SELECT * FROM raw", "__fixture__")
