@@ -115,24 +115,24 @@ def hist_worker_share(org: DataFrame, bins: int = 20) -> DataFrame:
     return histogram(pct, "__v", bins, by=["converted"])
 
 
-def boxplot_stats(org: DataFrame, metrics) -> DataFrame:
-    """Quartiles, 1.5-IQR whiskers and outlier counts per metric and outcome."""
-    long = org.select("converted", F.inline(F.array(*[
+def boxplot_stats(org: DataFrame, metrics, by: str = "converted") -> DataFrame:
+    """Quartiles, 1.5-IQR whiskers and outlier counts per metric and ``by`` group."""
+    long = org.select(by, F.inline(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m, _ in metrics])))
     long = long.where(F.col("value").isNotNull())
-    q = quantile_columns(long, ["metric", "converted"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    q = quantile_columns(long, ["metric", by], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
     iqr = F.col("q3") - F.col("q1")
     fences = q.select("*", iqr.alias("iqr"), (F.col("q1") - WHISKER_IQR * iqr).alias("__lo"),
                       (F.col("q3") + WHISKER_IQR * iqr).alias("__hi"))
     v = F.col("value")
-    # fences: one row per (metric, outcome) -- bounded by the metric list.
-    joined = long.join(F.broadcast(fences), ["metric", "converted"])
-    agg = joined.groupBy("metric", "converted", "q1", "median", "q3", "iqr").agg(
+    # fences: one row per (metric, group); sized by adaptive execution.
+    joined = long.join(fences, ["metric", by])
+    agg = joined.groupBy("metric", by, "q1", "median", "q3", "iqr").agg(
         F.count(F.lit(1)).alias("n"),
         F.min(F.when(v >= F.col("__lo"), v)).alias("__wlo"),
         F.max(F.when(v <= F.col("__hi"), v)).alias("__whi"),
         F.count_if((v < F.col("__lo")) | (v > F.col("__hi"))).alias("n_outliers"))
-    return agg.select("metric", "converted", "n", r6("q1").alias("q1"), r6("median").alias("median"),
+    return agg.select("metric", by, "n", r6("q1").alias("q1"), r6("median").alias("median"),
                       r6("q3").alias("q3"), r6("iqr").alias("iqr"),
                       r6(F.coalesce("__wlo", "q1")).alias("whisker_lo"),
                       r6(F.coalesce("__whi", "q3")).alias("whisker_hi"), "n_outliers")

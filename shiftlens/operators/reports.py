@@ -155,20 +155,25 @@ def side_volume_by_outcome(org: DataFrame) -> DataFrame:
         r6(F.avg("worker_event_share")).alias("avg_worker_event_share"))
 
 
-def adoption_funnel(rollup_features: DataFrame) -> DataFrame:
-    """Six independent stage counts, share of all organisations and drop-off.
+def adoption_funnel(rollup_features: DataFrame, nested: bool = False) -> DataFrame:
+    """Six stage counts, share of all organisations and drop-off.
 
-    Stages are counted independently (not nested), so a later stage can be
-    larger than the one before it and its drop-off negative.
+    By default stages are counted independently (as the analysis does), so a
+    later stage can be larger than the one before it and its drop-off
+    negative.  ``nested=True`` counts an organisation at a stage only if it
+    also reached every earlier stage.
     """
     f = rollup_features
-    one = f.agg(
-        F.count(F.lit(1)).alias("s1"),
-        F.count_if(F.col("shift_created_events") > 0).alias("s2"),
-        F.count_if(F.col("has_mobile_view") == 1).alias("s3"),
-        F.count_if(F.col("has_any_worker_activity") == 1).alias("s4"),
-        F.count_if(F.col("has_punchclock") == 1).alias("s5"),
-        F.count_if(F.col("converted")).alias("s6"))
+    conds = [F.lit(True), F.col("shift_created_events") > 0, F.col("has_mobile_view") == 1,
+             F.col("has_any_worker_activity") == 1, F.col("has_punchclock") == 1,
+             F.coalesce(F.col("converted"), F.lit(False))]
+    if nested:
+        acc, cumulative = F.lit(True), []
+        for c in conds:
+            acc = acc & c
+            cumulative.append(acc)
+        conds = cumulative
+    one = f.agg(*[F.count_if(c).alias(f"s{i}") for i, c in enumerate(conds, start=1)])
     rows = [F.struct(F.lit(i).alias("stage_no"), F.lit(name).alias("stage"), F.col(f"s{i}").alias("count"),
                      F.col("s1").alias("__total"))
             for i, name in enumerate(FUNNEL_STAGES, start=1)]

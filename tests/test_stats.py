@@ -94,3 +94,13 @@ def test_kaplan_meier_censored_and_extinct(spark):
     # log-log bounds for S = 0.75 at n = 4, d = 1 (hand-computed)
     assert math.isclose(got[("dies", 1.0)].ci_lower, 0.12795, abs_tol=1e-4)
     assert math.isclose(got[("dies", 1.0)].ci_upper, 0.96055, abs_tol=1e-4)
+
+
+def test_funnel_nested_is_monotone(spark):
+    from shiftlens.operators import features, reports
+    from shiftlens.plans.catalog import rollup
+    f = features.derive_features(rollup(spark, "/root/testdata/sf0.001"), keep=("shift_created_events",))
+    counts = [r["count"] for r in reports.adoption_funnel(f, nested=True).orderBy("stage_no").collect()]
+    assert counts == sorted(counts, reverse=True)
+    free = {r.stage_no: r["count"] for r in reports.adoption_funnel(f).collect()}
+    assert free[1] == counts[0] and all(free[i + 1] >= c for i, c in enumerate(counts))
