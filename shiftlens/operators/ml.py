@@ -103,6 +103,9 @@ def rf_cv_auc(org: DataFrame, sets=FEATURE_SETS, k: int = 5, num_trees: int = 10
     preds = scored[0]
     for s in scored[1:]:
         preds = preds.unionByName(s)
+    # The rank sums read the predictions in several branches; checkpoint them
+    # once so the fold models score each held-out row a single time.
+    preds = _materialise(preds)
     aucs = roc_auc(preds.withColumn("label", F.col("label") == 1), ["feature_set", "fold"], "score", "label")
     result = aucs.groupBy("feature_set").agg(
         F.count(F.lit(1)).alias("n_folds"), r6(F.avg("auc")).alias("mean_auc"),
