@@ -29,6 +29,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DEFAULT_BUCKETS = 64
+# Each key scans its group's boundary array, so the array stays short; even
+# 100M distinct keys leave ~200k rows per (group, bucket) window at 512.
+MAX_BUCKETS = 512
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
@@ -36,7 +39,7 @@ def _bucket_count(df: DataFrame, buckets: int | None) -> int:
     if buckets:
         return buckets
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
-    return max(DEFAULT_BUCKETS, parts)
+    return min(max(DEFAULT_BUCKETS, parts), MAX_BUCKETS)
 
 
 def _boundaries(df: DataFrame, by: list[str], order: str, n: int) -> DataFrame:
