@@ -76,9 +76,10 @@ def global_prefix_sum(df: DataFrame, by, order: str, values, buckets: int | None
     n = _bucket_count(df, buckets)
     keys = [*by, order]
     agg = df.groupBy(*keys).agg(*[F.sum(v).alias(v) for v in values])
-    # Boundaries straight from the input rows (one aggregation, no extra
-    # shuffle): a hot value only repeats a boundary, leaving an empty bucket.
-    bounds = _boundaries(df.select(*keys), by, order, n)
+    # Boundaries over the distinct keys, not the rows: a few hot values cannot
+    # pull the boundaries onto themselves and leave a long tail of distinct
+    # keys in a handful of windows.
+    bounds = _boundaries(agg.select(*keys), by, order, n)
     keyed = agg.join(bounds, by, "left") if by else agg.crossJoin(F.broadcast(bounds))
     bucket = F.size(F.filter(F.coalesce("__bounds", F.array()), lambda b: b <= F.col(order)))
     bucketed = keyed.withColumn("__bucket", bucket).drop("__bounds")
