@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftlens.operators import classify, features, marts, staging
-from shiftlens.plans.tables import landed
+from shiftlens.plans.tables import landed, landed_path
 from shiftlens.sources import coerce_timestamps, events_table, raw_trial_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,15 +32,23 @@ def _events_path(sf_dir: str) -> str:
     return f"{sf_dir.rstrip('/')}/events.parquet"
 
 
+def raw_path(spark: SparkSession, sf_dir: str) -> str:
+    return landed_path(spark, _events_path(sf_dir), "raw-trial-events", lambda: raw_trial_events(spark, sf_dir))
+
+
+def stg_path(spark: SparkSession, sf_dir: str) -> str:
+    return landed_path(spark, _events_path(sf_dir), "stg-trial-events",
+                       lambda: staging.stg_trial_events(raw(spark, sf_dir)))
+
+
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw trial log derived from ``events``, landed once per session."""
-    return landed(spark, _events_path(sf_dir), "raw-trial-events", lambda: raw_trial_events(spark, sf_dir))
+    return spark.read.parquet(raw_path(spark, sf_dir))
 
 
 def stg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Staged events (de-duplicated, in window, enriched), landed once per session."""
-    return landed(spark, _events_path(sf_dir), "stg-trial-events",
-                  lambda: staging.stg_trial_events(raw(spark, sf_dir)))
+    return spark.read.parquet(stg_path(spark, sf_dir))
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -366,24 +374,28 @@ from shiftlens.streaming import streams  # noqa: E402
 STREAM_WATERMARK = "1 hour"
 
 
+def _stg_stream(spark, sf_dir):
+    """The landed staged table read as a file stream (no extra copy)."""
+    return streams.file_stream(spark, stg_path(spark, sf_dir), stg(spark, sf_dir).schema).select(*staging.RAW_COLUMNS)
+
+
 @register("stream_dedup")
 def q_stream_dedup(spark, sf_dir):
-    path, schema = streams.write_source(raw(spark, sf_dir), "raw-events")
-    sdf = streams.stream_dedup(streams.file_stream(spark, path, schema), STREAM_WATERMARK)
+    # The landed raw table is the stream's file source (no extra copy).
+    sdf = streams.stream_dedup(streams.file_stream(spark, raw_path(spark, sf_dir), raw(spark, sf_dir).schema),
+                               STREAM_WATERMARK)
     return streams.run_to_table(sdf, "stream-dedup")
 
 
 @register("stream_activity_by_day")
 def q_stream_activity_by_day(spark, sf_dir):
-    path, schema = streams.write_source(stg(spark, sf_dir).select(*staging.RAW_COLUMNS), "stg-events")
-    sdf = streams.stream_activity_by_day(streams.file_stream(spark, path, schema), STREAM_WATERMARK)
+    sdf = streams.stream_activity_by_day(_stg_stream(spark, sf_dir), STREAM_WATERMARK)
     return streams.run_to_table(sdf, "stream-activity")
 
 
 @register("stream_onboarding_nudge")
 def q_stream_onboarding_nudge(spark, sf_dir):
-    path, schema = streams.write_source(stg(spark, sf_dir).select(*staging.RAW_COLUMNS), "stg-events")
-    sdf = streams.stream_onboarding_nudge(streams.file_stream(spark, path, schema), watermark=STREAM_WATERMARK)
+    sdf = streams.stream_onboarding_nudge(_stg_stream(spark, sf_dir), watermark=STREAM_WATERMARK)
     per_shift = streams.run_to_table(sdf, "stream-nudge")
     return per_shift.groupBy("organization_id").agg(
         F.min("shift_ts").alias("first_unanswered_shift_at"), F.min("nudge_due_at").alias("nudge_due_at"))

@@ -29,8 +29,8 @@ def input_signature(spark: SparkSession, path: str) -> tuple:
     return (path, int(fs.getContentSummary(p).getLength()), int(status.getModificationTime()))
 
 
-def landed(spark: SparkSession, source_path: str, name: str, build) -> DataFrame:
-    """Parquet table ``name`` derived from ``source_path``, written on first use."""
+def landed_path(spark: SparkSession, source_path: str, name: str, build) -> str:
+    """Folder of Parquet table ``name`` derived from ``source_path``, written on first use."""
     key = (spark.sparkContext.applicationId, spark.sparkContext.getCheckpointDir(), name,
            input_signature(spark, source_path))
     with _LOCK:
@@ -39,4 +39,9 @@ def landed(spark: SparkSession, source_path: str, name: str, build) -> DataFrame
             path = scratch_path(spark, name)
             build().write.mode("overwrite").parquet(path)
             _TABLES[key] = path
-    return spark.read.parquet(path)
+    return path
+
+
+def landed(spark: SparkSession, source_path: str, name: str, build) -> DataFrame:
+    """Parquet table ``name`` derived from ``source_path``, written on first use."""
+    return spark.read.parquet(landed_path(spark, source_path, name, build))
