@@ -45,14 +45,28 @@ def stream_onboarding_nudge(sdf: DataFrame, hours: int = NUDGE_HOURS, watermark:
     Stream-stream left outer join with watermarks on both sides and an
     event-time range condition; a shift is emitted (right side null) once the
     watermark passes its deadline, so state stays bounded.
+
+    The join key is (organisation, day of the shift) rather than the
+    organisation alone, so a hot organisation's state is spread over its
+    days.  Each worker event is copied into every day a matching shift could
+    fall on (``day(w - hours)`` .. ``day(w)``); shifts are never copied, so
+    "no match" keeps its exact meaning.
     """
+    day = F.lit(86400)
     shifts = (sdf.where(F.col("activity_name") == SHIFT_CREATED)
-              .select(F.col("organization_id").alias("s_org"), F.col("event_timestamp").cast("timestamp").alias("shift_ts"))
+              .select(F.col("organization_id").alias("s_org"),
+                      F.col("event_timestamp").cast("timestamp").alias("shift_ts"))
+              .withColumn("s_day", F.floor(F.unix_seconds("shift_ts") / day))
               .withWatermark("shift_ts", watermark))
+    w_sec = F.unix_seconds(F.col("event_timestamp").cast("timestamp"))
     workers = (sdf.where(side_of("activity_name", spec) == "worker")
-               .select(F.col("organization_id").alias("w_org"), F.col("event_timestamp").cast("timestamp").alias("worker_ts"))
+               .select(F.col("organization_id").alias("w_org"),
+                       F.col("event_timestamp").cast("timestamp").alias("worker_ts"),
+                       F.explode(F.sequence(F.floor((w_sec - F.lit(int(hours) * 3600)) / day),
+                                            F.floor(w_sec / day))).alias("w_day"))
                .withWatermark("worker_ts", watermark))
-    cond = F.expr(f"s_org = w_org AND worker_ts >= shift_ts AND worker_ts <= shift_ts + INTERVAL {int(hours)} HOURS")
+    cond = F.expr(f"s_org = w_org AND s_day = w_day AND worker_ts >= shift_ts "
+                  f"AND worker_ts <= shift_ts + INTERVAL {int(hours)} HOURS")
     joined = shifts.join(workers, cond, "leftOuter")
     return (joined.where(F.col("worker_ts").isNull())
             .select(F.col("s_org").alias("organization_id"), F.col("shift_ts").cast("timestamp_ntz").alias("shift_ts"),
