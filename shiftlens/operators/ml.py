@@ -83,8 +83,9 @@ def rf_cv_auc(org: DataFrame, sets=FEATURE_SETS, k: int = 5, num_trees: int = 10
     based) on the held-out probabilities.
     """
     all_cols = sorted({c for _, cols in sets for c in cols})
-    data = org.select("organization_id", F.col("converted").cast("int").alias("label"),
-                      *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in all_cols])
+    data = org.where(F.col("converted").isNotNull()).select(
+        "organization_id", F.col("converted").cast("int").alias("label"),
+        *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in all_cols])
     folds = stratified_folds(data, "label", "organization_id", k)
     # One reliable checkpoint of the (organisation-sized) training table: every
     # fit reads it instead of re-running the event roll-up, and a lost

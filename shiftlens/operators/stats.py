@@ -59,7 +59,7 @@ def rank_sums(long: DataFrame, by, value: str, outcome: str) -> DataFrame:
     distinct values.  ``long`` holds one row per observation.
     """
     by = list(by)
-    counts = long.where(F.col(value).isNotNull()).select(
+    counts = long.where(F.col(value).isNotNull() & F.col(outcome).isNotNull()).select(
         *by, F.col(value).cast("double").alias("__v"),
         F.when(F.col(outcome), 1).otherwise(0).cast("bigint").alias("__n1"),
         F.when(F.col(outcome), 0).otherwise(1).cast("bigint").alias("__n0"))

@@ -104,3 +104,11 @@ def test_funnel_nested_is_monotone(spark):
     assert counts == sorted(counts, reverse=True)
     free = {r.stage_no: r["count"] for r in reports.adoption_funnel(f).collect()}
     assert free[1] == counts[0] and all(free[i + 1] >= c for i, c in enumerate(counts))
+
+
+def test_null_outcome_excluded_from_ranks(spark):
+    rows = [("m", 1.0, True), ("m", 2.0, False), ("m", 3.0, None), ("m", 4.0, True)]
+    df = spark.createDataFrame(rows, "metric string, value double, converted boolean")
+    r = mann_whitney(df, ["metric"], "value").collect()[0]
+    assert (r.n_converted, r.n_not_converted) == (2, 1)
+    assert r.u_stat == pytest.approx(1.0)
