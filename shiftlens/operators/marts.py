@@ -168,6 +168,10 @@ def day14_outreach(stg: DataFrame, spec: Spec = DEFAULT_SPEC, day: int = OUTREAC
     """
     cutoff = F.col("trial_start") + F.make_dt_interval(F.lit(day))
     early = stg.where(F.col("event_timestamp") <= cutoff)
+    if "trial_day_number" in stg.columns:
+        # Implied by the cutoff (day number = floor(hours / 24) + 1); on a table
+        # partitioned by trial day this prunes the later days' files.
+        early = early.where(F.col("trial_day_number") <= day + 1)
     base = _goals_from_rollup(_goal_rollup(early, spec), GOAL_MIN_ACTIVE_DAYS, GOAL_MIN_ACTIVITY_TYPES)
     converted_by_day = F.col("converted") & F.col("converted_at").isNotNull() & (F.col("converted_at") <= cutoff)
     tier = activation_tier()

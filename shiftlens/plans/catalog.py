@@ -37,8 +37,9 @@ def raw_path(spark: SparkSession, sf_dir: str) -> str:
 
 
 def stg_path(spark: SparkSession, sf_dir: str) -> str:
+    # Partitioned by trial day: queries bounded in trial time prune directories.
     return landed_path(spark, _events_path(sf_dir), "stg-trial-events",
-                       lambda: staging.stg_trial_events(raw(spark, sf_dir)))
+                       lambda: staging.stg_trial_events(raw(spark, sf_dir)), partition_by=["trial_day_number"])
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:

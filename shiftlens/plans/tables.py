@@ -29,7 +29,7 @@ def input_signature(spark: SparkSession, path: str) -> tuple:
     return (path, int(fs.getContentSummary(p).getLength()), int(status.getModificationTime()))
 
 
-def landed_path(spark: SparkSession, source_path: str, name: str, build) -> str:
+def landed_path(spark: SparkSession, source_path: str, name: str, build, partition_by=None) -> str:
     """Folder of Parquet table ``name`` derived from ``source_path``, written on first use."""
     key = (spark.sparkContext.applicationId, spark.sparkContext.getCheckpointDir(), name,
            input_signature(spark, source_path))
@@ -37,7 +37,10 @@ def landed_path(spark: SparkSession, source_path: str, name: str, build) -> str:
         path = _TABLES.get(key)
         if path is None:
             path = scratch_path(spark, name)
-            build().write.mode("overwrite").parquet(path)
+            writer = build().write.mode("overwrite")
+            if partition_by:
+                writer = writer.partitionBy(*partition_by)
+            writer.parquet(path)
             _TABLES[key] = path
     return path
 
