@@ -5,7 +5,8 @@ Runs each query in ``HEADLINE`` on ``$BENCH_SF_DIR`` (default
 Every query is executed in full through the ``noop`` sink (no driver
 collect), after an untimed JVM warm-up on synthetic rows.  ``land_tables``
 is the one-off cost of landing the raw, staged and roll-up layers that the
-queries then read.
+queries then read.  ``BENCH_QUERIES`` (comma list) restricts the set;
+``BENCH_EVENT_LOG_DIR`` writes Spark's event log there for stage timings.
 """
 
 from __future__ import annotations
@@ -35,6 +36,12 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
     only = [k for k in os.environ.get("BENCH_QUERIES", "").split(",") if k]
+    event_log = os.environ.get("BENCH_EVENT_LOG_DIR")
+    if event_log:
+        # Stage and task times for later reading, written to a scratch folder.
+        os.makedirs(event_log, exist_ok=True)
+        os.environ["PYSPARK_SUBMIT_ARGS"] = (f"--conf spark.eventLog.enabled=true "
+                                             f"--conf spark.eventLog.dir=file://{event_log} pyspark-shell")
     spark = get_spark(f"local[{cpus}]", app="shiftlens-bench", shuffle_partitions=int(cpus))
     # JVM warm-up on synthetic rows only: the landing of the staged tables is
     # timed below as its own entry, not hidden in the warm-up.
