@@ -155,3 +155,16 @@ def test_write_mart_roundtrip(spark, tmp_path):
     path = write_mart(mart, str(tmp_path / "mart"), sort_within=["organization_id"])
     back = spark.read.parquet(path)
     assert back.count() == mart.count() and back.exceptAll(mart).count() == 0
+
+
+def test_funnel_stage_after_zero_has_null_drop_off(spark):
+    from shiftlens.operators import reports
+    # No organisation created a shift, mobile-viewed or punched: stages 2, 3 and 5 are 0.
+    rows = [("o1", "Absence.Request.Created", ts(1), False, None),
+            ("o2", "Timesheets.BulkApprove.Confirmed", ts(1), True, ts(5))]
+    stg = staging.stg_trial_events(raw_rows(spark, rows))
+    f = features.derive_features(features.org_rollup(classify.classify_events(stg)), keep=("shift_created_events",))
+    out = {r.stage_no: r for r in reports.adoption_funnel(f).collect()}
+    assert out[2]["count"] == 0 and out[3]["count"] == 0
+    assert out[3].drop_off is None and out[4].drop_off is None
+    assert out[6].drop_off is None and out[1].drop_off == 0.0
