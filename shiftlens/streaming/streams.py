@@ -89,9 +89,18 @@ def run_to_table(sdf: DataFrame, name: str, timeout_s: int = 600) -> DataFrame:
     """Run a streaming frame to completion (``availableNow``) into Parquet; read it back."""
     spark = sdf.sparkSession
     sink = scratch_path(spark, f"{name}-sink")
-    query = (sdf.writeStream.format("parquet").outputMode("append")
-             .option("path", sink).option("checkpointLocation", sink + "-checkpoint")
-             .trigger(availableNow=True).start())
+    sc = spark.sparkContext
+    previous = spark.conf.get("spark.sql.shuffle.partitions")
+    if sc.master.startswith("local"):
+        # State-store partitions are fixed when the query starts (the stream
+        # runs on a copy of the session taken then); locally one per core.
+        spark.conf.set("spark.sql.shuffle.partitions", str(sc.defaultParallelism))
+    try:
+        query = (sdf.writeStream.format("parquet").outputMode("append")
+                 .option("path", sink).option("checkpointLocation", sink + "-checkpoint")
+                 .trigger(availableNow=True).start())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", previous)
     try:
         query.awaitTermination(timeout_s)
     finally:
