@@ -19,7 +19,6 @@ from shiftlens.session import scratch_path
 
 _LOCK = threading.RLock()
 _TABLES: dict[tuple, str] = {}
-_FRAMES: dict[str, DataFrame] = {}
 
 
 def input_signature(spark: SparkSession, path: str) -> tuple:
@@ -49,12 +48,7 @@ def landed_path(spark: SparkSession, source_path: str, name: str, build, partiti
 def landed(spark: SparkSession, source_path: str, name: str, build, partition_by=None) -> DataFrame:
     """Parquet table ``name`` derived from ``source_path``, written on first use.
 
-    The DataFrame over the written files is kept too, so later queries skip
-    the file listing and footer read.
+    Each call returns a fresh reader over the files, so plans that use a
+    table twice get distinct attributes (no self-join de-duplication).
     """
-    path = landed_path(spark, source_path, name, build, partition_by)
-    with _LOCK:
-        frame = _FRAMES.get(path)
-        if frame is None:
-            frame = _FRAMES[path] = spark.read.parquet(path)
-    return frame
+    return spark.read.parquet(landed_path(spark, source_path, name, build, partition_by))
