@@ -15,11 +15,12 @@ boundaries are data (approximate quantiles of the order column), so:
 4. the running sum inside each ``(group, bucket)`` window plus the offset is
    the global running sum.
 
-The boundary arrays and offsets are ``groups x buckets`` rows.  They carry
-no broadcast hint when ``by`` is given: adaptive execution broadcasts them
-from their measured size and falls back to a shuffle join past
-``spark.sql.adaptive.autoBroadcastJoinThreshold``.  Without ``by`` they are
-one row / ``buckets`` rows and are broadcast explicitly.
+The boundary arrays are computed once and fixed as a literal table of at
+most ``MAX_FIXED_GROUPS x buckets`` values, so every branch of the plan (and
+every recomputation after a lost executor) buckets a key identically; with
+more groups the bucketed keys are checkpointed instead.  The offsets table
+(``groups x buckets`` rows) carries no broadcast hint when ``by`` is given:
+adaptive execution broadcasts it from its measured size.
 """
 
 from __future__ import annotations
@@ -29,6 +30,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DEFAULT_BUCKETS = 64
+# Boundary arrays are fixed on the driver (groups x buckets values) up to this
+# many groups; beyond it the bucketed keys are checkpointed instead.
+MAX_FIXED_GROUPS = 4096
 # Each key scans its group's boundary array, so the array stays short; even
 # 100M distinct keys leave ~200k rows per (group, bucket) window at 512.
 MAX_BUCKETS = 512
@@ -79,10 +83,23 @@ def global_prefix_sum(df: DataFrame, by, order: str, values, buckets: int | None
     # Boundaries over the distinct keys, not the rows: a few hot values cannot
     # pull the boundaries onto themselves and leave a long tail of distinct
     # keys in a handful of windows.
-    bounds = _boundaries(agg.select(*keys), by, order, n)
-    keyed = agg.join(bounds, by, "left") if by else agg.crossJoin(F.broadcast(bounds))
+    sketch = _boundaries(agg.select(*keys), by, order, n)
+    # The bucketed keys feed two branches (rows and bucket totals), which must
+    # agree on every bucket.  Approximate quantiles depend on merge order, so
+    # the boundaries are computed once and fixed as a small literal table
+    # (like approxQuantile splits for a Bucketizer).
+    fixed = sketch.limit(MAX_FIXED_GROUPS + 1).collect()
+    spark = df.sparkSession
     bucket = F.size(F.filter(F.coalesce("__bounds", F.array()), lambda b: b <= F.col(order)))
-    bucketed = keyed.withColumn("__bucket", bucket).drop("__bounds")
+    if len(fixed) <= MAX_FIXED_GROUPS:
+        bounds = F.broadcast(spark.createDataFrame(fixed, sketch.schema))
+        keyed = agg.join(bounds, by, "left") if by else agg.crossJoin(bounds)
+        bucketed = keyed.withColumn("__bucket", bucket).drop("__bounds")
+    else:
+        from shiftlens.session import checkpoint_root
+        checkpoint_root(spark)
+        keyed = agg.join(sketch, by, "left")
+        bucketed = keyed.withColumn("__bucket", bucket).drop("__bounds").checkpoint(eager=True)
 
     totals = bucketed.groupBy(*by, "__bucket").agg(*[F.sum(v).alias(f"__t_{v}") for v in values])
     before = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)

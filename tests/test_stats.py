@@ -112,3 +112,13 @@ def test_null_outcome_excluded_from_ranks(spark):
     r = mann_whitney(df, ["metric"], "value").collect()[0]
     assert (r.n_converted, r.n_not_converted) == (2, 1)
     assert r.u_stat == pytest.approx(1.0)
+
+
+def test_prefix_sum_many_groups_path(spark, monkeypatch):
+    """Past the fixed-boundary limit the bucketed keys are checkpointed; results stay exact."""
+    import shiftlens.operators.prefix as prefix
+    monkeypatch.setattr(prefix, "MAX_FIXED_GROUPS", 1)
+    rows = [(g, float(v), 1) for g in "abc" for v in range(50)]
+    df = spark.createDataFrame(rows, "g string, v double, w long")
+    got = {(r.g, r.v): r.w_cum for r in prefix.global_prefix_sum(df, ["g"], "v", ["w"], buckets=4).collect()}
+    assert got == {(g, float(v)): v + 1 for g in "abc" for v in range(50)}
