@@ -122,3 +122,12 @@ def test_prefix_sum_many_groups_path(spark, monkeypatch):
     df = spark.createDataFrame(rows, "g string, v double, w long")
     got = {(r.g, r.v): r.w_cum for r in prefix.global_prefix_sum(df, ["g"], "v", ["w"], buckets=4).collect()}
     assert got == {(g, float(v)): v + 1 for g in "abc" for v in range(50)}
+
+
+def test_describe_by_approximate_path(spark):
+    from shiftlens.operators.distributions import describe_by
+    df = spark.createDataFrame([("a", float(v)) for v in range(1, 101)], "g string, x double")
+    exact = describe_by(df, ["g"], "x", {"median": 0.5}, exact=True).collect()[0]
+    approx = describe_by(df, ["g"], "x", {"median": 0.5}, exact=False).collect()[0]
+    assert exact.median == pytest.approx(50.5) and exact.n == approx.n == 100
+    assert abs(approx.median - exact.median) <= 1.0
