@@ -1,0 +1,253 @@
+"""Brute-force, round-trip and edge-case checks of the dealt operators."""
+
+import hashlib
+import re
+import zlib
+from itertools import combinations
+
+import duckdb
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from shiftlens.llm import (decontaminate, exact_dedup, language, licenses, line_spread, mixing, secrets, sharding,
+                           simhash, url_lists)
+from shiftlens.llm.oracles import ORACLES
+from shiftlens.llm.queries import REGISTRY
+
+SMALL = "/root/testdata/sf0.001"
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+ODD = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, " \n\t ", "en", "s", 4), (None, "lost id", "fr", "s", 7),
+       (4, "word " * 30_000, "en", "s", 150_000), (5, "same text here", "de", "t", 14),
+       (5, "same text here", "de", "t", 14), (6, "same  text\nhere", "de", "t", 14), (7, "12 34 !!", "en", "u", 8)]
+
+
+def documents(spark):
+    return spark.read.parquet(f"{SMALL}/documents.parquet")
+
+
+def odd(spark):
+    return spark.createDataFrame(ODD, DOC).withColumn("n_words", F.lit("clash")).withColumn("score", F.lit("clash"))
+
+
+def words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_oracles(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMALL}/{t}.parquet')")
+    rel = con.execute(ORACLES[name])
+    cols = [d[0] for d in rel.description]
+    want = sorted(map(str, rel.fetchall()))
+    got = sorted(str(tuple(r)) for r in REGISTRY[name](spark, SMALL).select(*cols).collect())
+    assert got == want
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 700])
+def test_slots_are_minimal_and_nonmembers_are_refused(n):
+    digests = [hashlib.sha256(str(i).encode()).digest() for i in range(n)]
+    w = exact_dedup._words(digests)
+    levels, bits, slot = exact_dedup.build_slots(w)
+    assert sorted(slot) == list(range(n))
+    assert (exact_dedup.find_slots(w, levels, bits) == slot).all()
+    stored = [digests[i] for i in np.argsort(slot)]
+    other = [hashlib.sha256(f"x{i}".encode()).digest() for i in range(300)]
+    for d, s in zip(other, exact_dedup.find_slots(exact_dedup._words(other), levels, bits)):
+        assert s < 0 or stored[s] != d
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 24, 1000, 4097])
+def test_feistel_is_a_permutation_with_an_inverse(n):
+    p = sharding.permute(np.arange(n), n)
+    assert sorted(p) == list(range(n))
+    assert (sharding.permute(p, n, inverse=True) == np.arange(n)).all()
+    shard, slot = sharding.locate(n // 2, n)
+    assert sharding.row_at(shard, slot, n) == n // 2
+
+
+def test_shards_are_even_and_gapless(spark):
+    rows = sharding.shard(documents(spark)).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["shard"], []).append(r["slot"])
+        assert (r["shard"], r["slot"]) == sharding.locate(r["row_number"], len(rows))
+    sizes = [len(v) for v in by.values()]
+    assert max(sizes) - min(sizes) <= 1 and all(sorted(v) == list(range(len(v))) for v in by.values())
+    text = {r["doc_id"]: (r["text"] or "").encode() for r in documents(spark).collect()}
+    assert all(r["text_crc32"] == zlib.crc32(text[r["doc_id"]]) and r["size"] == len(text[r["doc_id"]]) + 8
+               for r in rows)
+
+
+def brute_hits(text, items):
+    w = words(text)
+    hit, named = set(), set()
+    for item_id, item in items:
+        iw = words(item)
+        n = min(13, len(iw))
+        grams = {tuple(iw[s:s + n]) for s in range(len(iw) - n + 1)} if n else set()
+        for s in range(len(w) - n + 1):
+            if n and tuple(w[s:s + n]) in grams:
+                hit.update(range(s, s + n))
+                named.add(str(item_id))
+    return len(w), len(hit), sorted(named)
+
+
+def test_short_items_ties_and_repeats_against_brute_force(spark):
+    items = [(1, "alpha beta"), (2, "x x x x x x x x x x x x x x x"), (3, ""), (4, None), (5, "one"),
+             (6, "a b c d e f g h i j k l m n o"), (7, "zz a b c d e f g h i j k l m yy"), (6, "p q r s t u v w y z aa bb cc")]
+    texts = ["Alpha BETA alpha", "x " * 40, None, "", "one", "0 a b c d e f g h i j k l m 1", "a b c d e f g h i j k l",
+             "b c d e f g h i j k l m n", "p q r s t u v w y z aa bb cc"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "one")], "doc_id long, text string")
+    got = decontaminate.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(got) == len(texts) + 1
+    for r in got:
+        assert (r["n_words"], r["n_hit"], r["item_ids"]) == brute_hits(r["text"], items)
+
+
+def test_fingerprints_and_components_against_brute_force(spark):
+    docs = documents(spark).select("doc_id", "text").collect()
+    fp = {}
+    for r in docs:
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", (r["text"] or "").translate(LOWER)) if x]
+        grams = [" ".join(w[i:i + 3]) for i in range(max(len(w) - 2, 1))] if w else []
+        h = [xxhash.xxh64_intdigest(g.encode(), seed=42) for g in grams]
+        fp[r["doc_id"]] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    parent = {d: d for d in fp}
+
+    def top(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    for a, b in combinations(fp, 2):
+        if (fp[a] ^ fp[b]).bit_count() <= 2:
+            x, y = top(a), top(b)
+            parent[max(x, y)] = min(x, y)
+    got = REGISTRY["op7_simhash_bktree"](spark, SMALL).collect()
+    assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in got} == {
+        d: (f"{v:016x}", top(d)) for d, v in fp.items()}
+
+
+def test_split_shards_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", 4)
+    values = [(1 << i) - 1 for i in range(0, 60, 2)] + [1 << 62, (1 << 62) | 3, 12345678901]
+    df = spark.createDataFrame([(v,) for v in values], "fp long")
+    got = {r["fp"]: r["root"] for r in simhash.components(simhash.links(df)).collect()}
+    chain = values[:30]
+    assert all(got[v] == 0 for v in chain + values[30:32]) and 12345678901 not in got
+
+
+def test_held_out_language_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = REGISTRY["op5_ppm_language"](spark, "/root/testdata/sf0.01").where("held_out")
+    rows = out.join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.9 * len(rows)
+    assert all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_code_lengths_are_a_probability():
+    codes, n = np.unique(language.grams([b"banana bandana", b"cabana"]), return_counts=True)
+    tree = language.freeze(codes, n)
+    for context in (b"ban", b"xyz", b"   "):
+        every = np.array([int.from_bytes(context + bytes([s]), "big") for s in range(256)], dtype=np.uint32)
+        assert np.exp2(-language.code_lengths(tree, every)).sum() <= 1.0 + 1e-6 + 1.0  # no exclusion: backoff mass repeats
+
+
+def test_license_detections(spark):
+    texts = ["Licensed under the Apache License, version 2.0.", "the MIT license mit license",
+             "licensed under CC BY-NC 4.0", "SPDX-License-Identifier: MIT", None, "nothing",
+             "under the GNU General Public License, version 3"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.summarise(licenses.scan(docs)).collect()}
+    for i, t in enumerate(texts):
+        w = words(t)
+        starts = [s for p in licenses.BASE for s in range(len(w)) if w[s:s + len(p.split())] == p.split()]
+        assert got[i]["n_words"] == len(w) and got[i]["n_base"] == len(starts)
+        assert (got[i]["first_word"], got[i]["last_word"]) == ((min(starts), max(starts)) if starts else (None, None))
+    assert [got[i]["labels"] for i in range(7)] == [
+        "apache,apache-2.0", "mit", "cc-by,cc-by-nc-4.0", "mit", "", "", "gpl,gpl-3.0"]
+    assert len(licenses.signatures()) >= 200 and [re.compile(s[4]) for s in licenses.signatures()]
+
+
+def test_mixture_meets_budgets(spark):
+    rows = mixing.mix(documents(spark)).collect()
+    docs = [r for r in documents(spark).collect()]
+    tokens = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in docs}
+    leaves = spark.createDataFrame(
+        [(f"d{i % 2}", f"l{i % 3}", f"s{i}", 10 ** (i % 4 + 1)) for i in range(12)],
+        "domain string, lang string, source string, supply long")
+    plan = mixing.budgets(leaves, total_share=1.5, max_epochs=2).collect()
+    assert sum(r["budget"] for r in plan) == pytest.approx(1.5 * sum(r["supply"] for r in plan))
+    assert all(r["budget"] <= 2 * r["supply"] + 1e-6 for r in plan)
+    assert sum(tokens[r["doc_id"]] for r in rows) <= mixing.BUDGET_SHARE * sum(tokens.values())
+    assert sum(tokens[r["doc_id"]] for r in rows) >= 0.5 * mixing.BUDGET_SHARE * sum(tokens.values())
+
+
+def test_line_spread_near_the_threshold(spark):
+    rows = [(i, f"own {i}\nwide line\n\nnarrow line" if i < 7 else f"own {i}\n wide line", f"s{i}") for i in range(9)]
+    got = line_spread.remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for r in got:
+        assert r["n_removed"] == 1 and "wide" not in r["text"] and f"own {r['doc_id']}" in r["text"]
+        assert ("narrow line" in r["text"]) == (r["doc_id"] < 7)
+
+
+def test_url_intervals(spark):
+    from datetime import date
+    events = spark.createDataFrame(
+        [("bad.org", "spam", "add", date(2024, 1, 5)), ("bad.org", "spam", "remove", date(2024, 1, 10)),
+         (None, "spam", "add", date(2024, 1, 1))], "value string, category string, action string, day date")
+    caps = spark.createDataFrame(
+        [(1, "http://x.bad.org/a", date(2024, 1, 4)), (2, "http://x.bad.org/a", date(2024, 1, 5)),
+         (3, "HTTP://BAD.org:80", date(2024, 1, 9)), (4, "http://bad.org", date(2024, 1, 10)),
+         (5, None, date(2024, 1, 6)), (6, "http://notbad.org", date(2024, 1, 6)), (7, "http://bad.org", None)],
+        "id long, url string, day date")
+    got = {r["id"]: r["blocked"] for r in url_lists.url_filter(caps, events).collect()}
+    assert got == {1: False, 2: True, 3: True, 4: False, 5: False, 6: False, 7: False}
+
+
+def test_secret_forest_separates(spark):
+    key = "a7898f631d0c339a0d2af2f50c7613fcfdcec734"
+    rows = [(i, f'token = "{key[i % 20:]}{i}" and averyveryverylongword{"abcdefgh"[i % 8]} here') for i in range(60)]
+    rows += [(100, None), (101, ""), (None, "the /usr/share/lib/thing/path")]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["is_secret"] == (not r["candidate"].startswith(("avery", "/usr"))) for r in got) and len(got) == 121
+
+
+OPERATORS = {
+    "exact": lambda s, d: exact_dedup.exact_dedup(d), "shard": lambda s, d: sharding.shard(d),
+    "clean": lambda s, d: decontaminate.decontaminate(d, s.createDataFrame([(1, "same text here")], "item_id long, text string")),
+    "secrets": lambda s, d: secrets.scan(d), "language": lambda s, d: language.identify(d),
+    "simhash": lambda s, d: simhash.near_duplicates(d), "license": lambda s, d: licenses.summarise(licenses.scan(d)),
+    "mix": lambda s, d: mixing.mix(d), "lines": lambda s, d: line_spread.remove_boilerplate(d)}
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_odd_rows_and_empty_tables(spark, name):
+    out = OPERATORS[name](spark, odd(spark)).collect()
+    if name not in ("secrets", "mix"):
+        assert len(out) == len(ODD)
+    assert OPERATORS[name](spark, odd(spark).limit(0)).collect() == []
+    if name == "exact":
+        assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in out if r["doc_id"] in (5, 6)} == {
+            5: (5, 3, True), 6: (5, 3, False)}
+    if name == "language":
+        assert {r["lang_pred"] for r in out if r["doc_id"] in (1, 2, 3, 7)} == {"und"}
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    docs = spark.createDataFrame(ODD, DOC)
+    for rows, name in ((docs, "odd"), (docs.limit(0), "none")):
+        rows.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([(1, "nope")], "item_id long, text string").write.parquet(
+            str(tmp_path / name / "benchmark.parquet"))
+        corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, str(tmp_path / "odd"))
+        assert kept.columns == docs.columns
