@@ -127,6 +127,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     hits = spans(rows, sized.where(F.size("__words") >= window), window, gram)
     for length in sorted(short):  # at most window - 1 lengths
         hits = hits.unionByName(spans(rows, sized.where(F.size("__words") == length), length, length))
+    hits = landed(hits, "runs")
     runs = hits.groupBy("__id", "__text").agg(
         F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("__runs"))
     named = (hits.select("__id", "__text", F.explode("item_ids").alias("i")).groupBy("__id", "__text")
