@@ -11,6 +11,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Separators of the word rules, as Java character classes.
 SPACE = r"[\x20\x09-\x0D]+"
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+NON_WORD_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # for texts not lower-cased
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,12 +27,21 @@ def landed(df: DataFrame, name: str) -> DataFrame:
 
 
 def ascii_lower(text: Column) -> Column:
-    return F.translate(text, UPPER, UPPER.lower())
+    """A-Z to a-z; pure ASCII texts take the faster built-in."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(
+        F.translate(text, UPPER, UPPER.lower()))
 
 
 def split_words(text: Column, separator: str) -> Column:
-    """Non-empty pieces between separators; null text has none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), separator), lambda w: w != "")
+    """Non-empty pieces between separators; null text has none.
+
+    The separator is greedy, so only the first and last piece can be empty.
+    """
+    def trim(w: Column) -> Column:
+        first = F.when(F.element_at(w, 1) == "", 2).otherwise(1)
+        last = F.when((F.size(w) > 1) & (F.element_at(w, -1) == ""), F.size(w) - 1).otherwise(F.size(w))
+        return F.slice(w, first, F.greatest(last - first + 1, F.lit(0)))
+    return let(F.split(F.coalesce(text, F.lit("")), separator), trim)
 
 
 def let(value: Column, body) -> Column:

@@ -23,11 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_WORD, ascii_lower, landed, let, split_words
+from .common import NON_WORD, NON_WORD_ANY_CASE, ascii_lower, landed, let, split_words
 
 WINDOW = 13
 GRAM = 5
 FLAG_ONE_IN = 20
+BROADCAST_MARKS = 100_000  # rows of about 21 words; a larger benchmark is joined by a shuffle
 
 
 def words_of(text: Column) -> Column:
@@ -35,22 +36,45 @@ def words_of(text: Column) -> Column:
 
 
 def gram_hashes(words: Column, k: int) -> Column:
-    """Structs (h, at) of every k-gram, ``at`` counted from 1."""
-    return F.when(F.size(words) < k, F.array().cast("array<struct<h:bigint,at:int>>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)),
-                    lambda i: F.struct(F.xxhash64(F.slice(words, i, k)).alias("h"), i.alias("at"))))
+    """64-bit hash of every k-gram in order."""
+    return F.when(F.size(words) < k, F.array().cast("array<bigint>")).otherwise(
+        F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: F.xxhash64(F.slice(words, i, k))))
 
 
-def winnow(hashes: Column, w: int) -> Column:
-    """Leftmost minimum of every ``w`` consecutive hashes, each position once."""
-    if w == 1:
-        return hashes
-    mins = let(hashes, lambda g: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(g) - (w - 1), F.lit(1))), lambda i: F.array_min(F.slice(g, i, w))))
-    # Positions of leftmost minima never fall, so repeats are neighbours.
-    fresh = let(mins, lambda m: F.filter(
-        m, lambda x, i: (i == 0) | (F.get(m, i - 1)["at"] != x["at"])))
-    return F.filter(fresh, lambda x: x.isNotNull())
+def window_minima(hashes: Column, w: int) -> Column:
+    """Minimum of every ``w`` consecutive hashes (one minimum over all of fewer).
+
+    Minima of growing widths come from two overlapping narrower ones, so an
+    element costs log(w) comparisons.
+    """
+    def widened(values: Column, step: int) -> Column:
+        # ``least`` skips the nulls past the end; the caller cuts those windows off.
+        return let(values, lambda m: F.transform(m, lambda x, i: F.least(x, F.get(m, i + step))))
+
+    width = 1
+    while width < w:
+        step = min(width, w - width)
+        hashes = widened(hashes, step)
+        width += step
+    return hashes
+
+
+def winnow(words: Column, k: int, w: int) -> Column:
+    """Structs (h, at) of the leftmost minima of every ``w`` consecutive gram hashes; ``at`` from 1."""
+    def marked(h: Column) -> Column:
+        if w == 1:
+            return F.transform(h, lambda x, i: F.struct(x.alias("h"), (i + 1).alias("at")))
+        windows = F.greatest(F.size(h) - (w - 1), F.least(F.size(h), F.lit(1)))
+
+        def pick(m: Column) -> Column:
+            # The leftmost minimum changes when the value does or when the old one leaves.
+            starts = F.filter(F.sequence(F.lit(0), windows - 1), lambda j: (j == 0)
+                              | (F.get(m, j) != F.get(m, j - 1)) | (F.get(h, j - 1) == F.get(m, j - 1)))
+            return F.transform(F.when(F.size(h) > 0, starts).otherwise(F.array().cast("array<int>")), lambda j: F.struct(
+                F.get(m, j).alias("h"),
+                (j + F.array_position(F.slice(h, j + 1, w), F.get(m, j)).cast("int")).alias("at")))
+        return let(window_minima(h, w), pick)
+    return let(gram_hashes(words, k), marked)
 
 
 def fingerprints(df: DataFrame, keep: list[str], k: int, w: int) -> DataFrame:
@@ -65,7 +89,7 @@ def fingerprints(df: DataFrame, keep: list[str], k: int, w: int) -> DataFrame:
     def text(start, length):
         return F.concat_ws(" ", F.slice(words, start, length))
 
-    marks = F.transform(winnow(gram_hashes(words, k), w), lambda p: F.struct(
+    marks = F.transform(winnow(words, k, w), lambda p: F.struct(
         p["h"].alias("h"), p["at"].alias("at"), text(p["at"], F.lit(k)).alias("gram"),
         text(F.greatest(p["at"] - reach, F.lit(1)), F.least(p["at"] - 1, F.lit(reach))).alias("left"),
         text(p["at"] + k, F.lit(reach)).alias("right")))
@@ -91,7 +115,8 @@ def spans(docs: DataFrame, items: DataFrame, window: int, k: int) -> DataFrame:
                   .agg(F.collect_set("item_id").alias("item_ids")))
     item_marks = landed(item_marks.select("h", "gram", F.col("left").alias("i_left"),
                                           F.col("right").alias("i_right"), "item_ids"), "item-marks")
-    met = fingerprints(docs, keys, k, w).join(item_marks, ["h", "gram"])
+    side = F.broadcast(item_marks) if item_marks.count() <= BROADCAST_MARKS else item_marks
+    met = fingerprints(docs, keys, k, w).join(side, ["h", "gram"])
     left = _run(F.reverse(_pieces(F.col("left"))), F.reverse(_pieces(F.col("i_left"))))
     right = _run(_pieces(F.col("right")), _pieces(F.col("i_right")))
     return (met.withColumn("__l", left).withColumn("__r", right)
@@ -138,7 +163,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     base = docs.select(*keep).withColumn("__h", F.xxhash64("text"))
     joined = base.join(found, base["doc_id"].eqNullSafe(found["__id"]) & (base["__h"] == found["__text"]), "left")
     n_hit = F.coalesce(_covered(F.col("__runs")), F.lit(0).cast("long"))
-    return (joined.withColumn("n_words", F.size(words_of(F.col("text"))).cast("long"))
+    return (joined.withColumn("n_words", F.size(split_words(F.col("text"), NON_WORD_ANY_CASE)).cast("long"))
             .withColumn("n_hit", n_hit)
             .withColumn("n_items", F.coalesce(F.size("__items"), F.lit(0)).cast("long"))
             .withColumn("item_ids", F.coalesce("__items", F.array().cast("array<string>")))
