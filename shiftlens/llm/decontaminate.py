@@ -83,16 +83,20 @@ def fingerprints(df: DataFrame, keep: list[str], k: int, w: int) -> DataFrame:
     ``left`` and ``right`` are the up to ``w - 1`` words around the gram and
     ``gram`` its own words, each joined by spaces.
     """
-    words = F.col("__words")
     reach = w - 1
 
-    def text(start, length):
-        return F.concat_ws(" ", F.slice(words, start, length))
+    def marks_of(words: Column) -> Column:
+        def text(start, length):
+            return F.concat_ws(" ", F.slice(words, start, length))
 
-    marks = F.transform(winnow(words, k, w), lambda p: F.struct(
-        p["h"].alias("h"), p["at"].alias("at"), text(p["at"], F.lit(k)).alias("gram"),
-        text(F.greatest(p["at"] - reach, F.lit(1)), F.least(p["at"] - 1, F.lit(reach))).alias("left"),
-        text(p["at"] + k, F.lit(reach)).alias("right")))
+        return F.transform(winnow(words, k, w), lambda p: F.struct(
+            p["h"].alias("h"), p["at"].alias("at"), text(p["at"], F.lit(k)).alias("gram"),
+            text(F.greatest(p["at"] - reach, F.lit(1)), F.least(p["at"] - 1, F.lit(reach))).alias("left"),
+            text(p["at"] + k, F.lit(reach)).alias("right")))
+
+    # ``slice`` copies an array read from a row whole at every call; one that a
+    # transform has just made is cut in place.
+    marks = let(F.transform("__words", lambda x: x), marks_of)
     return df.select(*keep, F.explode(marks).alias("__f")).select(*keep, "__f.*")
 
 
