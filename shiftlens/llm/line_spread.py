@@ -21,6 +21,7 @@ from .common import landed
 
 MIN_SITES = 8
 BAND = 0.25
+BLANKS = " \t\n\x0b\x0c\r"
 SKETCH_BITS = 12  # relative standard error 1.3 %, far inside the band
 
 
@@ -30,20 +31,20 @@ def lines_of(text: Column) -> Column:
 
 def line_hash(line: Column) -> Column:
     """MD5 bytes of the stripped line; null for a blank one."""
-    plain = F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    plain = F.btrim(line, F.lit(BLANKS))
     return F.when(plain != "", F.unhex(F.md5(plain)))
 
 
-def exploded(docs: DataFrame, *keep: Column) -> DataFrame:
-    """``keep`` columns and the hash ``line`` of every non-blank line."""
-    return (docs.select(*keep, F.explode(lines_of(F.col("text"))).alias("__l"))
-            .withColumn("line", line_hash(F.col("__l"))).drop("__l").where(F.col("line").isNotNull()))
+def hashed_lines(docs: DataFrame) -> DataFrame:
+    """(__id, __h, site, line) of every non-blank line, landed once."""
+    site = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")).alias("site")
+    hashes = F.filter(F.transform(lines_of(F.col("text")), line_hash), lambda h: h.isNotNull())
+    return landed(docs.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__h"), site,
+                              F.explode(hashes).alias("line")), "lines")
 
 
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND) -> DataFrame:
+def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, band: float = BAND) -> DataFrame:
     """(line, sites) of lines on at least ``min_sites`` sites; exact near the threshold."""
-    site = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")).alias("site")
-    lines = exploded(docs, site)
     spread = landed(lines.groupBy("line").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", SKETCH_BITS)).alias("sites"))
         .where(F.col("sites") >= min_sites * (1 - band)), "line-spread")
@@ -57,9 +58,9 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND)
 def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND) -> DataFrame:
     """Columns of ``docs`` with cleaned text, plus n_lines and n_removed."""
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    bad = boilerplate(docs, min_sites, band).select("line")
-    found = (exploded(docs, F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__h"))
-             .join(bad, "line", "left_semi")
+    lines = hashed_lines(docs)
+    bad = boilerplate(lines, min_sites, band).select("line")
+    found = (lines.join(bad, "line", "left_semi")
              .groupBy("__id", "__h").agg(F.collect_set("line").alias("__bad")))
     base = docs.select(*keep).withColumn("__x", F.xxhash64("text"))
     joined = base.join(found, base["doc_id"].eqNullSafe(found["__id"]) & (base["__x"] == found["__h"]), "left")
