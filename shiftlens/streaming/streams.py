@@ -85,8 +85,12 @@ def write_source(df: DataFrame, name: str) -> tuple[str, object]:
     return path, df.schema
 
 
-def run_to_table(sdf: DataFrame, name: str, timeout_s: int = 600) -> DataFrame:
-    """Run a streaming frame to completion (``availableNow``) into Parquet; read it back."""
+def run_to_table(sdf: DataFrame, name: str, timeout_s: int | None = None) -> DataFrame:
+    """Run a streaming frame to completion (``availableNow``) into Parquet; read it back.
+
+    Without ``timeout_s`` the call waits as long as the stream runs; an expired
+    limit stops the stream and raises instead of returning part of its output.
+    """
     spark = sdf.sparkSession
     sink = scratch_path(spark, f"{name}-sink")
     sc = spark.sparkContext
@@ -102,10 +106,16 @@ def run_to_table(sdf: DataFrame, name: str, timeout_s: int = 600) -> DataFrame:
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", previous)
     try:
-        query.awaitTermination(timeout_s)
+        if timeout_s is None:
+            query.awaitTermination()
+            ended = True
+        else:
+            ended = query.awaitTermination(timeout_s)
     finally:
         if query.isActive:
             query.stop()
     if query.exception() is not None:
         raise RuntimeError(str(query.exception()))
+    if not ended:
+        raise TimeoutError(f"stream {name} did not finish within {timeout_s} s")
     return spark.read.schema(sdf.schema).parquet(sink)

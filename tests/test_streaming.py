@@ -46,3 +46,23 @@ def test_bucketize_ranges_closed_open(spark):
     df = spark.createDataFrame([(0.0,), (23.99,), (24.0,), (168.0,), (9999.0,)], "g double")
     got = sorted((r.g, r.bucket_no) for r in bucketize_ranges(df, "g", HANDOFF_BUCKETS).collect())
     assert got == [(0.0, 1), (23.99, 1), (24.0, 2), (168.0, 4)]
+
+
+def test_expired_stream_limit_raises(spark, tmp_path):
+    import time
+
+    import pytest
+    from pyspark.sql import functions as F
+
+    from shiftlens.streaming.streams import file_stream, run_to_table
+
+    spark.range(20).write.parquet(str(tmp_path / "in"))
+
+    @F.udf("long")
+    def slow(x):
+        time.sleep(1)
+        return x
+
+    stream = file_stream(spark, str(tmp_path / "in"), "id long").select(slow("id").alias("id"))
+    with pytest.raises(TimeoutError):
+        run_to_table(stream, "slow", timeout_s=1)
