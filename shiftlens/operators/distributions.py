@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftlens.functions.columns import clip, hours_between, r6, safe_ratio
-from shiftlens.operators.prefix import exact_quantiles, quantile_columns
+from shiftlens.operators.prefix import exact_quantiles, null_safe_join, quantile_columns
+from shiftlens.session import checkpoint_root
 from shiftlens.spec import (
     HANDOFF_BUCKETS, SCATTER_ADMIN_CAP, SCATTER_WORKER_CAP, TRIAL_DAYS, WHISKER_IQR,
 )
@@ -15,69 +16,71 @@ from shiftlens.spec import (
 def histogram(df: DataFrame, value: str, bins: int, lo=None, hi=None, by=None) -> DataFrame:
     """Equal-width histogram with every bin present (empty bins count 0).
 
-    ``lo``/``hi`` are numbers or one-row DataFrames with columns ``lo, hi``;
-    when omitted the range is the min/max of each group.  Bins are closed-open
+    ``lo``/``hi`` are columns that are constant over ``df`` or numbers; when
+    omitted the range is the min/max of each group.  Bins are closed-open
     except the last, which includes ``hi``; a zero-width range is widened by
-    0.5 on each side.  Values outside the range are not counted.
+    0.5 on each side.  Values outside the range are not counted.  A null
+    group is a group of its own; a group without values has no rows.
     """
     by = list(by or [])
-    vals = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__x"))
+    x = F.col(value).cast("double")
+    vals = df.where(F.col(value).isNotNull())
     if lo is None or hi is None:
-        agg = [F.min("__x").alias("lo"), F.max("__x").alias("hi")]
-        ranges = vals.groupBy(*by).agg(*agg) if by else vals.agg(*agg)
-        ranges = ranges.where(F.col("lo").isNotNull())
+        vals = vals.select(*by, x.alias("__x"))
+        ranges = vals.groupBy(*by).agg(F.min("__x").alias("lo"), F.max("__x").alias("hi")).where("lo is not null")
+        # One row per group: adaptive execution sizes (and broadcasts) this join.
+        vals = null_safe_join(vals, ranges, by)
     else:
-        groups = vals.select(*by).distinct() if by else None
-        rng = (lo if isinstance(lo, DataFrame) else
-               df.sparkSession.createDataFrame([(float(lo), float(hi))], "lo double, hi double"))
-        ranges = groups.crossJoin(F.broadcast(rng)) if by else rng
-    same = F.col("lo") == F.col("hi")
-    ranges = ranges.select(*by, F.when(same, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
-                           F.when(same, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
-    n = F.lit(bins)
-    raw_bin = F.floor((F.col("__x") - F.col("lo")) * n / (F.col("hi") - F.col("lo")))
-    # One range row per group: size-checked by adaptive execution when grouped,
-    # a single row otherwise.
-    placed = (vals.join(ranges, by) if by else vals.crossJoin(F.broadcast(ranges)))
-    placed = placed.where((F.col("__x") >= F.col("lo")) & (F.col("__x") <= F.col("hi")))
-    counts = (placed.select(*by, F.least(raw_bin, F.lit(bins - 1)).cast("int").alias("bin"))
-              .groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n")))
-    width = (F.col("hi") - F.col("lo")) / n
-    grid = ranges.select(*by, "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    return (grid.join(counts, [*by, "bin"], "left")
+        lo, hi = (c if isinstance(c, Column) else F.lit(float(c)) for c in (lo, hi))
+        vals = vals.select(*by, x.alias("__x"), lo.alias("lo"), hi.alias("hi"))
+    flat = F.col("lo") == F.col("hi")
+    vals = vals.select(*by, "__x", F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
+                       F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
+    raw_bin = F.floor((F.col("__x") - F.col("lo")) * bins / (F.col("hi") - F.col("lo")))
+    inside = (F.col("__x") >= F.col("lo")) & (F.col("__x") <= F.col("hi"))
+    # One aggregate down to at most groups x (bins + 1) rows; bin null gathers what lies outside the range.
+    counts = (vals.groupBy(*by, "lo", "hi", F.when(inside, F.least(raw_bin, F.lit(bins - 1))).cast("int").alias("bin"))
+              .agg(F.count(F.lit(1)).alias("n")))
+    per_bin = counts.groupBy(*by, "lo", "hi").agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", "n")))).alias("__n"))
+    width = (F.col("hi") - F.col("lo")) / F.lit(bins)
+    return (per_bin.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
             .select(*by, "bin", r6(F.col("lo") + F.col("bin") * width).alias("bin_lo"),
                     r6(F.col("lo") + (F.col("bin") + 1) * width).alias("bin_hi"),
-                    F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
+                    F.coalesce(F.try_element_at("__n", F.col("bin")), F.lit(0)).cast("bigint").alias("n")))
 
 
 def describe_by(df: DataFrame, by, value: str, probs: dict[str, float], exact: bool = True) -> DataFrame:
-    """n, mean and named quantiles of ``value`` per group (nulls dropped)."""
+    """n, mean and named quantiles of ``value`` per group (null values dropped, a null group kept)."""
     by = list(by or [])
     vals = df.where(F.col(value).isNotNull())
     basic_aggs = [F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean")]
-    basic = vals.groupBy(*by).agg(*basic_aggs) if by else vals.agg(*basic_aggs)
-    q = quantile_columns(vals, by, value, probs, exact=exact)
-    out = basic.join(q, by, "left") if by else basic.crossJoin(q)
+    basic = vals.groupBy(*by).agg(*basic_aggs)
+    out = null_safe_join(basic, quantile_columns(vals, by, value, probs, exact=exact), by, "left")
     return out.select(*by, "n", r6("mean").alias("mean"), *[r6(k).alias(k) for k in probs])
 
 
-def one_quantile(df: DataFrame, value: str, p: float) -> DataFrame:
-    """A one-row frame holding a single exact quantile as column ``q``."""
-    return exact_quantiles(df, [], value, [p]).select(F.col("quantile").alias("q"))
+def with_quantile(df: DataFrame, value: str, p: float, name: str) -> DataFrame:
+    """``df`` with one exact quantile of ``value`` as a constant column (null without values).
+
+    The quantile is checkpointed as one row, so its plan is not inlined at every use.
+    """
+    checkpoint_root(df.sparkSession)
+    row = (exact_quantiles(df, [], value, [p]).agg(F.max("quantile").alias(name))).checkpoint(eager=True)
+    return df.crossJoin(F.broadcast(row))
 
 
 def hist_total_events(org: DataFrame, bins: int = 35) -> DataFrame:
     """Total events capped at the 95th percentile, bins over [0, p95], by outcome."""
-    cap = one_quantile(org, "total_events", 0.95)
-    capped = org.crossJoin(F.broadcast(cap)).withColumn("__v", clip("total_events", upper=F.col("q")))
-    rng = cap.select(F.lit(0.0).alias("lo"), F.col("q").alias("hi"))
-    return histogram(capped, "__v", bins, lo=rng, hi=rng, by=["converted"])
+    capped = with_quantile(org, "total_events", 0.95, "__q").withColumn("__v", clip("total_events", upper=F.col("__q")))
+    return histogram(capped, "__v", bins, lo=0.0, hi=F.col("__q"), by=["converted"])
 
 
 def hist_active_days(org: DataFrame, bins: int = 24) -> DataFrame:
     """Admin active days, bins over [0, overall max], by outcome."""
-    rng = org.agg(F.lit(0.0).alias("lo"), F.max("admin_active_days").cast("double").alias("hi"))
-    return histogram(org, "admin_active_days", bins, lo=rng, hi=rng, by=["converted"])
+    top = org.agg(F.max("admin_active_days").cast("double").alias("__top"))
+    return histogram(org.crossJoin(F.broadcast(top)), "admin_active_days", bins, lo=0.0, hi=F.col("__top"),
+                     by=["converted"])
 
 
 def worker_timing_frame(org: DataFrame) -> DataFrame:
@@ -94,8 +97,7 @@ def handoff_frame(org: DataFrame) -> DataFrame:
 
 
 def _capped_auto_hist(frame: DataFrame, value: str, bins: int) -> DataFrame:
-    cap = one_quantile(frame, value, 0.95)
-    capped = frame.crossJoin(F.broadcast(cap)).withColumn("__v", clip(value, upper=F.col("q")))
+    capped = with_quantile(frame, value, 0.95, "__q").withColumn("__v", clip(value, upper=F.col("__q")))
     return histogram(capped, "__v", bins, by=["converted"])
 
 
@@ -126,7 +128,7 @@ def boxplot_stats(org: DataFrame, metrics, by: str = "converted") -> DataFrame:
                       (F.col("q3") + WHISKER_IQR * iqr).alias("__hi"))
     v = F.col("value")
     # fences: one row per (metric, group); sized by adaptive execution.
-    joined = long.join(fences, ["metric", by])
+    joined = null_safe_join(long, fences, ["metric", by])
     agg = joined.groupBy("metric", by, "q1", "median", "q3", "iqr").agg(
         F.count(F.lit(1)).alias("n"),
         F.min(F.when(v >= F.col("__lo"), v)).alias("__wlo"),
@@ -228,14 +230,15 @@ def metric_quantiles(org: DataFrame, exact: bool = True) -> DataFrame:
 
 def capped_metrics(org: DataFrame) -> DataFrame:
     """Per organisation, every capped value the charts plot (nulls stay null)."""
-    cap_total = one_quantile(org, "total_events", 0.95).select(F.col("q").alias("cap_total"))
-    cap_first = one_quantile(worker_timing_frame(org), "days_to_first_worker", 0.95).select(
-        F.col("q").alias("cap_first"))
-    cap_gap = one_quantile(handoff_frame(org), "handoff_gap_days", 0.95).select(F.col("q").alias("cap_gap"))
-    caps = cap_total.crossJoin(cap_first).crossJoin(cap_gap)
     days_first = F.col("hours_to_first_worker") / F.lit(24.0)
     gap_days = F.when(F.col("first_worker_ts").isNotNull() & F.col("first_admin_ts").isNotNull(),
                       F.greatest(hours_between("first_admin_ts", "first_worker_ts"), F.lit(0.0)) / F.lit(24.0))
+    # One pass finds all three caps (nulls of a metric are left out of its quantile).
+    long = org.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), v.cast("double").alias("value")) for m, v in (
+        ("cap_total", F.col("total_events")), ("cap_first", days_first), ("cap_gap", gap_days))])))
+    q = exact_quantiles(long, ["metric"], "value", [0.95])
+    caps = q.agg(*[F.max(F.when(F.col("metric") == m, F.col("quantile"))).alias(m)
+                   for m in ("cap_total", "cap_first", "cap_gap")])
     return org.crossJoin(F.broadcast(caps)).select(
         "organization_id", "converted",
         r6(clip("total_events", upper=F.col("cap_total"))).alias("total_events_capped"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftlens.functions.columns import r6
-from shiftlens.operators.prefix import global_prefix_sum
+from shiftlens.operators.prefix import global_prefix_sum, null_safe_join
 from shiftlens.operators.stats import roc_auc
 from shiftlens.spec import FEATURE_SETS
 
@@ -41,7 +41,8 @@ def stratified_folds(df: DataFrame, label: str, key: str = "organization_id", k:
     """``fold = ntile(k) - 1`` within each label class, ordered by ``key``.
 
     The position of a row inside its class is a distributed running count, so
-    neither class is sorted in a single task.
+    neither class is sorted in a single task.  Rows with a null label form a
+    class of their own.
     """
     base = df.select(key, F.col(label).cast("int").alias("label"), F.lit(1).cast("bigint").alias("__one"))
     pos = global_prefix_sum(base, ["label"], key, ["__one"])
@@ -53,7 +54,8 @@ def stratified_folds(df: DataFrame, label: str, key: str = "organization_id", k:
     big = rem * (q + 1)
     bucket = (F.when(r <= big, ((r - 1) / (q + 1)).cast("bigint"))
               .otherwise(F.when(q > 0, rem + ((r - big - 1) / q).cast("bigint"))))
-    return pos.join(F.broadcast(sizes), "label").select(key, "label", bucket.cast("int").alias("fold"))
+    # One row per label value: adaptive execution sizes (and broadcasts) this join.
+    return null_safe_join(pos, sizes, ["label"]).select(key, "label", bucket.cast("int").alias("fold"))
 
 
 def _fit_fold(train: DataFrame, test: DataFrame, cols, num_trees: int, max_depth: int, seed: int) -> DataFrame:
@@ -75,7 +77,7 @@ def _fit_fold(train: DataFrame, test: DataFrame, cols, num_trees: int, max_depth
 
 
 def rf_cv_auc(org: DataFrame, sets=FEATURE_SETS, k: int = 5, num_trees: int = 100, max_depth: int = 10,
-              seed: int = 42, parallelism: int = 8) -> DataFrame:
+              seed: int = 42, parallelism: int = 8, train_partitions: int = 64) -> DataFrame:
     """Mean and population sd of the out-of-fold ROC-AUC per feature set.
 
     Folds are stratified (:func:`stratified_folds`); each of ``k x sets`` fits
@@ -90,7 +92,9 @@ def rf_cv_auc(org: DataFrame, sets=FEATURE_SETS, k: int = 5, num_trees: int = 10
     # One reliable checkpoint of the (organisation-sized) training table: every
     # fit reads it instead of re-running the event roll-up, and a lost
     # executor re-reads it from the shared folder.
-    data = _materialise(data.join(folds.select("organization_id", "fold"), "organization_id"))
+    # Bagging depends on row order and partition count, so both are fixed by the key.
+    data = _materialise(data.join(folds.select("organization_id", "fold"), "organization_id")
+                        .repartition(train_partitions, "organization_id").sortWithinPartitions("organization_id"))
     jobs = [(name, cols, f) for name, cols in sets for f in range(k)]
 
     def run(job):

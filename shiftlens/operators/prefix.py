@@ -2,71 +2,71 @@
 
 A window ordered over a whole column (``Window.orderBy(x)`` with no
 partition, or partitioned by a two-valued outcome) sorts every row in one
-task.  :func:`global_prefix_sum` splits each group into value ranges whose
-boundaries are data (approximate quantiles of the order column), so:
-
-1. rows are first aggregated to distinct ``(group, order)`` keys — a value
-   shared by a third of the rows is then a single row;
-2. every key gets a range bucket from the group's boundary array — a pure
-   function of the value, so recomputation after a lost executor yields the
-   same bucket;
-3. bucket totals (groups x buckets rows) get their offsets from a window over
-   that small table;
-4. the running sum inside each ``(group, bucket)`` window plus the offset is
-   the global running sum.
-
-The boundary arrays are computed once and fixed as a literal table of at
-most ``MAX_FIXED_GROUPS x buckets`` values, so every branch of the plan (and
-every recomputation after a lost executor) buckets a key identically; with
-more groups the bucketed keys are checkpointed instead.  The offsets table
-(``groups x buckets`` rows) carries no broadcast hint when ``by`` is given:
-adaptive execution broadcasts it from its measured size.
+task.  Here the work is one path for any number of groups and any key type:
+
+1. :func:`range_buckets` aggregates rows to distinct ``(group, order)`` keys (a
+   value shared by a third of the rows is then a single row), range-partitions
+   the keys and checkpoints them with their range number, so every branch
+   of the plan and every recomputation after a lost executor reads the same
+   bucket from the shared folder;
+2. :func:`running_sums` turns bucket totals (at most groups + buckets rows) into
+   offsets and adds them to the running sum inside each ``(group, bucket)``.
+
+Groups are matched null-safe: rows of a null group form a group of their own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-DEFAULT_BUCKETS = 64
-# Boundary arrays are fixed on the driver (groups x buckets values) up to this
-# many groups; beyond it the bucketed keys are checkpointed instead.
-MAX_FIXED_GROUPS = 4096
-# Each key scans its group's boundary array, so the array stays short; even
-# 100M distinct keys leave ~200k rows per (group, bucket) window at 512.
-MAX_BUCKETS = 512
-_NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
-
-
-def _bucket_count(df: DataFrame, buckets: int | None) -> int:
-    if buckets:
-        return buckets
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
-    return min(max(DEFAULT_BUCKETS, parts), MAX_BUCKETS)
-
-
-def _boundaries(df: DataFrame, by: list[str], order: str, n: int) -> DataFrame:
-    """One row per group with an ascending array of ``n - 1`` range boundaries."""
-    dtype = df.schema[order].dataType
-    if isinstance(dtype, _NUMERIC):
-        probs = [i / n for i in range(1, n)]
-        agg = F.percentile_approx(F.col(order).cast("double"), probs, 10000).alias("__bounds")
-        bounds = df.groupBy(*by).agg(agg) if by else df.agg(agg)
-        return bounds.withColumn("__bounds", F.transform("__bounds", lambda b: b.cast(dtype)))
-    # Non-numeric keys: boundaries from a bounded random sample per group.
-    target = 32 * n
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__cnt")) if by else df.agg(F.count(F.lit(1)).alias("__cnt"))
-    frac = F.least(F.lit(1.0), F.lit(float(target)) / F.col("__cnt"))
-    keyed = df.join(counts, by) if by else df.crossJoin(F.broadcast(counts))
-    sample = keyed.where(F.rand(17) < frac)
-    agg = F.array_sort(F.collect_list(order)).alias("__s")
-    sampled = sample.groupBy(*by).agg(agg) if by else sample.agg(agg)
-    pick = F.transform(
-        F.sequence(F.lit(1), F.lit(n - 1)),
-        lambda i: F.element_at("__s", (F.floor(i * F.size("__s") / F.lit(n)) + F.lit(1)).cast("int")))
-    return sampled.select(*by, F.when(F.size("__s") > 0, pick).otherwise(F.array().cast(T.ArrayType(dtype)))
-                          .alias("__bounds"))
+
+from shiftlens.session import checkpoint_root
+
+BUCKET = "__bucket"
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on same-named columns where null equals null; keeps the left copy of the keys."""
+    if not on:
+        return left.crossJoin(F.broadcast(right))  # callers pass one-row frames on the right
+    renamed = right.select(*[F.col(c).alias(f"__r{i}") for i, c in enumerate(on)],
+                           *[c for c in right.columns if c not in on])
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__r{i}")) for i, c in enumerate(on)])
+    return left.join(renamed, same, how).drop(*[f"__r{i}" for i in range(len(on))])
+
+
+def range_buckets(df: DataFrame, by, order: str, values, buckets: int | None = None) -> DataFrame:
+    """Distinct ``(by, order)`` keys with summed ``values`` and their range bucket, checkpointed.
+
+    Buckets ascend with ``(by, order)`` and hold about equally many distinct keys;
+    their number follows ``spark.sql.shuffle.partitions``.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    keys = [*(by or []), order]
+    checkpoint_root(spark)
+    return (df.groupBy(*keys).agg(*[F.sum(v).alias(v) for v in values])
+            .repartitionByRange(n, *keys).withColumn(BUCKET, F.spark_partition_id())
+            .checkpoint(eager=True))
+
+
+def _offsets(bucketed: DataFrame, by: list[str], values: list[str]) -> DataFrame:
+    """``by``, bucket and per value its total in the bucket and before it in the group."""
+    totals = bucketed.groupBy(*by, BUCKET).agg(*[F.sum(v).alias(f"__t_{v}") for v in values])
+    before = Window.partitionBy(*by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select("*", *[F.coalesce(F.sum(f"__t_{v}").over(before), F.lit(0)).alias(f"__o_{v}")
+                                for v in values])
+
+
+def running_sums(bucketed: DataFrame, by, order: str, values) -> DataFrame:
+    """All columns of ``bucketed`` plus ``<value>_cum``, the inclusive sum within ``by`` up to ``order``."""
+    by = list(by or [])
+    offsets = _offsets(bucketed, by, values).select(*by, BUCKET, *[f"__o_{v}" for v in values])
+    inside = Window.partitionBy(*by, BUCKET).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return null_safe_join(bucketed, offsets, [*by, BUCKET]).select(
+        *bucketed.columns, *[(F.sum(v).over(inside) + F.col(f"__o_{v}")).alias(f"{v}_cum") for v in values])
 
 
 def global_prefix_sum(df: DataFrame, by, order: str, values, buckets: int | None = None) -> DataFrame:
@@ -77,84 +77,49 @@ def global_prefix_sum(df: DataFrame, by, order: str, values, buckets: int | None
     """
     by = list(by or [])
     values = [values] if isinstance(values, str) else list(values)
-    n = _bucket_count(df, buckets)
-    keys = [*by, order]
-    agg = df.groupBy(*keys).agg(*[F.sum(v).alias(v) for v in values])
-    # Boundaries over the distinct keys, not the rows: a few hot values cannot
-    # pull the boundaries onto themselves and leave a long tail of distinct
-    # keys in a handful of windows.
-    sketch = _boundaries(agg.select(*keys), by, order, n)
-    # The bucketed keys feed two branches (rows and bucket totals), which must
-    # agree on every bucket.  Approximate quantiles depend on merge order, so
-    # the boundaries are computed once and fixed as a small literal table
-    # (like approxQuantile splits for a Bucketizer).
-    fixed = sketch.limit(MAX_FIXED_GROUPS + 1).collect()
-    spark = df.sparkSession
-    bucket = F.size(F.filter(F.coalesce("__bounds", F.array()), lambda b: b <= F.col(order)))
-    if len(fixed) <= MAX_FIXED_GROUPS:
-        bounds = F.broadcast(spark.createDataFrame(fixed, sketch.schema))
-        keyed = agg.join(bounds, by, "left") if by else agg.crossJoin(bounds)
-        bucketed = keyed.withColumn("__bucket", bucket).drop("__bounds")
-    else:
-        from shiftlens.session import checkpoint_root
-        checkpoint_root(spark)
-        keyed = agg.join(sketch, by, "left")
-        bucketed = keyed.withColumn("__bucket", bucket).drop("__bounds").checkpoint(eager=True)
-
-    totals = bucketed.groupBy(*by, "__bucket").agg(*[F.sum(v).alias(f"__t_{v}") for v in values])
-    before = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, "__bucket", *[
-        F.coalesce(F.sum(f"__t_{v}").over(before), F.lit(0)).alias(f"__o_{v}") for v in values])
-
-    joined = bucketed.join(offsets if by else F.broadcast(offsets), [*by, "__bucket"])
-    running = Window.partitionBy(*by, "__bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return joined.select(*keys, *values, *[
-        (F.sum(v).over(running) + F.col(f"__o_{v}")).alias(f"{v}_cum") for v in values])
+    return running_sums(range_buckets(df, by, order, values, buckets), by, order, values).drop(BUCKET)
 
 
 def exact_quantiles(df: DataFrame, by, value: str, probs) -> DataFrame:
     """Exact linear-interpolation quantiles (pandas/NumPy default) per group.
 
-    Order statistics are located through :func:`global_prefix_sum` over the
-    distinct values, so no task ever holds a whole group.  Returns
-    ``by, prob, quantile`` (one row per group and probability).
+    The bucket holding each wanted rank is picked from the bucket totals and
+    only those buckets are ordered, so no task ever holds a whole group.
+    Returns ``by, prob, quantile`` (one row per group and probability).
     """
     by = list(by or [])
     probs = [float(p) for p in probs]
-    vals = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"))
-    counted = vals.withColumn("__n", F.lit(1).cast("bigint"))
-    ps = global_prefix_sum(counted, by, "__v", ["__n"])
-    totals = vals.groupBy(*by).agg(F.count(F.lit(1)).alias("__total")) if by else vals.agg(F.count(F.lit(1)).alias("__total"))
-    spark = df.sparkSession
-    prob_df = spark.createDataFrame([(p,) for p in probs], "prob double")
-    h = (F.col("__total") - 1) * F.col("prob")
-    targets = (totals.where(F.col("__total") > 0).crossJoin(F.broadcast(prob_df))
-               .withColumn("__h", h)
-               .withColumn("__k", F.explode(F.array(F.floor("__h"), F.ceil("__h")).cast("array<bigint>")))
-               .withColumn("__which", F.when(F.col("__k") == F.floor("__h"), F.lit("lo")).otherwise(F.lit("hi"))))
-    cond = (F.col("__k") >= F.col("__n_cum") - F.col("__n")) & (F.col("__k") < F.col("__n_cum"))
-    if by:
-        # Both sides derive from ``df``: rename the target keys so the join is
-        # not an ambiguous self-join.
-        renamed = targets.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(by)],
-                                 "prob", "__h", "__k", "__which")
-        on = [F.col(c) == F.col(f"__g{i}") for i, c in enumerate(by)] + [cond]
-        matched = ps.join(renamed, on).select(*by, "prob", "__h", "__which", "__v")
-    else:
-        matched = ps.join(F.broadcast(targets), cond).select("prob", "__h", "__which", "__v")
-    lo = F.max(F.when(F.col("__which") == "lo", F.col("__v")))
-    hi = F.max(F.when(F.col("__which") == "hi", F.col("__v")))
-    frac = F.first("__h") - F.floor(F.first("__h"))
-    out = matched.groupBy(*by, "prob").agg((lo + (F.coalesce(hi, lo) - lo) * frac).alias("quantile"))
-    return out
+    vals = (df.where(F.col(value).isNotNull())
+            .select(*by, F.col(value).cast("double").alias("__v"), F.lit(1).cast("bigint").alias("__n")))
+    bucketed = range_buckets(vals, by, "__v", ["__n"])
+    offsets = _offsets(bucketed, by, ["__n"])
+    total = F.sum("__t___n").over(Window.partitionBy(*by))
+    # Ranks count from 0; a quantile lies between its lower and its upper neighbour.
+    ranked = (offsets.withColumn("__total", total)
+              .withColumn("prob", F.explode(F.array(*[F.lit(p) for p in probs])))
+              .withColumn("__h", (F.col("__total") - 1) * F.col("prob"))
+              .withColumn("__k", F.explode(F.array_distinct(F.array(F.floor("__h"), F.ceil("__h")))))
+              .where((F.col("__k") >= F.col("__o___n")) & (F.col("__k") < F.col("__o___n") + F.col("__t___n"))))
+    # Before the join: groups x probs x 2 rows at most; the join reads only the buckets they name.
+    wanted = ranked.groupBy(*by, BUCKET).agg(
+        F.first("__o___n").alias("__o"), F.collect_list(F.struct("prob", "__h", "__k")).alias("__wanted"))
+    inside = Window.partitionBy(*by, BUCKET).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    found = (null_safe_join(bucketed, wanted, [*by, BUCKET])
+             .withColumn("__upto", F.sum("__n").over(inside) + F.col("__o"))
+             .withColumn("__w", F.explode(F.filter("__wanted", lambda w: (
+                 (w["__k"] >= F.col("__upto") - F.col("__n")) & (w["__k"] < F.col("__upto"))))))
+             .select(*by, "__v", "__w.*"))
+    lower = F.max(F.when(F.col("__k") == F.floor("__h"), F.col("__v")))
+    upper = F.max(F.when(F.col("__k") == F.ceil("__h"), F.col("__v")))
+    part = F.first("__h") - F.floor(F.first("__h"))
+    return found.groupBy(*by, "prob").agg((lower + (upper - lower) * part).alias("quantile"))
 
 
 def quantile_columns(df: DataFrame, by, value: str, named_probs: dict[str, float], exact: bool = True) -> DataFrame:
     """Quantiles as columns: ``by, <name>...`` (exact, or ``percentile_approx``)."""
     by = list(by or [])
     if not exact:
-        aggs = [F.percentile_approx(value, p, 10000).cast("double").alias(n) for n, p in named_probs.items()]
-        return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
-    q = exact_quantiles(df, by, value, list(named_probs.values()))
-    aggs = [F.max(F.when(F.col("prob") == F.lit(float(p)), F.col("quantile"))).alias(n) for n, p in named_probs.items()]
-    return q.groupBy(*by).agg(*aggs) if by else q.agg(*aggs)
+        return df.groupBy(*by).agg(*[F.percentile_approx(value, p, 10000).cast("double").alias(n)
+                                     for n, p in named_probs.items()])
+    return exact_quantiles(df, by, value, list(named_probs.values())).groupBy(*by).agg(*[
+        F.max(F.when(F.col("prob") == F.lit(float(p)), F.col("quantile"))).alias(n) for n, p in named_probs.items()])

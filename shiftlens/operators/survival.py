@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftlens.functions.columns import r6
-from shiftlens.operators.prefix import global_prefix_sum
+from shiftlens.operators.prefix import BUCKET, null_safe_join, range_buckets, running_sums
 from shiftlens.spec import SURVIVAL_MIN_DURATION, TRIAL_DAYS, Z_975
 
 
@@ -26,26 +26,26 @@ def kaplan_meier(df: DataFrame, group: str = "group", duration: str = "duration"
 
     Per distinct (group, time): events ``d`` and removals ``c``.  At-risk
     ``n = N - (removed before t)`` and ``S = exp(sum ln(1 - d/n))`` are
-    distributed running sums (:func:`global_prefix_sum`).  Once ``d = n`` the
+    distributed running sums (:func:`running_sums`).  Once ``d = n`` the
     curve is 0 from there on and its bounds are null.  A time-0 row with
     ``S = 1`` starts every curve.
     """
     base = df.select(F.col(group).alias("group"), F.col(duration).cast("double").alias("time"),
                      F.col(event).cast("bigint").alias("d"), F.lit(1).cast("bigint").alias("c"))
-    ps = global_prefix_sum(base, ["group"], "time", ["d", "c"])
+    # Both running sums read the same checkpointed (group, time) keys.
+    removed = running_sums(range_buckets(base, ["group"], "time", ["d", "c"]), ["group"], "time", ["d", "c"])
     totals = base.groupBy("group").agg(F.count(F.lit(1)).alias("N"))
     # One row per group: adaptive execution sizes (and broadcasts) this join.
-    at = ps.join(totals, "group").withColumn("n", F.col("N") - (F.col("c_cum") - F.col("c")))
+    at = null_safe_join(removed, totals, ["group"]).withColumn("n", F.col("N") - (F.col("c_cum") - F.col("c")))
     dead = F.col("d") == F.col("n")
     dd, nn = F.col("d").cast("double"), F.col("n").cast("double")
     terms = at.select(
-        "group", "time", "n", "d", (F.col("c") - F.col("d")).alias("censored"),
+        "group", "time", BUCKET, "n", "d", (F.col("c") - F.col("d")).alias("censored"),
         F.when(dead, F.lit(0.0)).otherwise(F.log(F.lit(1.0) - dd / nn)).alias("log_term"),
         F.when(dead, F.lit(0.0)).otherwise(dd / (nn * (nn - dd))).alias("gw_term"),
         F.when(dead, F.lit(1)).otherwise(F.lit(0)).cast("bigint").alias("zero_term"))
-    cum = global_prefix_sum(terms.drop("n", "d", "censored"), ["group"], "time", ["log_term", "gw_term", "zero_term"])
-    curve = terms.select("group", "time", "n", "d", "censored").join(cum.select(
-        "group", "time", "log_term_cum", "gw_term_cum", "zero_term_cum"), ["group", "time"])
+    curve = running_sums(terms, ["group"], "time", ["log_term", "gw_term", "zero_term"]).select(
+        "group", "time", "n", "d", "censored", "log_term_cum", "gw_term_cum", "zero_term_cum")
     start = totals.select("group", F.lit(0.0).alias("time"), F.col("N").alias("n"), F.lit(0).cast("bigint").alias("d"),
                           F.lit(0).cast("bigint").alias("censored"), F.lit(0.0).alias("log_term_cum"),
                           F.lit(0.0).alias("gw_term_cum"), F.lit(0).cast("bigint").alias("zero_term_cum"))

@@ -114,14 +114,42 @@ def test_null_outcome_excluded_from_ranks(spark):
     assert r.u_stat == pytest.approx(1.0)
 
 
-def test_prefix_sum_many_groups_path(spark, monkeypatch):
-    """Past the fixed-boundary limit the bucketed keys are checkpointed; results stay exact."""
-    import shiftlens.operators.prefix as prefix
-    monkeypatch.setattr(prefix, "MAX_FIXED_GROUPS", 1)
-    rows = [(g, float(v), 1) for g in "abc" for v in range(50)]
-    df = spark.createDataFrame(rows, "g string, v double, w long")
-    got = {(r.g, r.v): r.w_cum for r in prefix.global_prefix_sum(df, ["g"], "v", ["w"], buckets=4).collect()}
-    assert got == {(g, float(v)): v + 1 for g in "abc" for v in range(50)}
+def test_prefix_sum_many_groups(spark):
+    """The same path serves thousands of groups."""
+    df = spark.range(60_000).selectExpr("id % 6000 as g", "cast(id as double) as v", "1L as w")
+    got = global_prefix_sum(df, ["g"], "v", ["w"])
+    assert got.count() == 60_000
+    assert got.where("w_cum != floor(v / 6000) + 1").count() == 0
+
+
+def test_prefix_sum_keeps_null_group(spark):
+    df = spark.createDataFrame([(None, 1.0, 2), (None, 3.0, 5), ("a", 2.0, 7)], "g string, v double, w long")
+    got = {(r.g, r.v): r.w_cum for r in global_prefix_sum(df, ["g"], "v", ["w"]).collect()}
+    assert got == {(None, 1.0): 2, (None, 3.0): 7, ("a", 2.0): 7}
+
+
+def test_null_outcome_is_a_group_of_its_own(spark):
+    from shiftlens.operators.distributions import boxplot_stats, describe_by
+    from shiftlens.operators.ml import stratified_folds
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), (True, 5.0), (True, None)], "converted boolean, x double")
+    hist = {}
+    for r in histogram(df, "x", 2, by=["converted"]).collect():
+        hist.setdefault(r.converted, []).append(r.n)
+    assert {k: sum(v) for k, v in hist.items()} == {None: 2, True: 1}
+    assert {k: len(v) for k, v in hist.items()} == {None: 2, True: 2}
+    described = {r.converted: (r.n, r.median) for r in describe_by(df, ["converted"], "x", {"median": 0.5}).collect()}
+    assert described == {None: (2, 2.0), True: (1, 5.0)}
+    boxes = {r.converted: (r.n, r.median) for r in boxplot_stats(df, [("x", "x")]).collect()}
+    assert boxes == {None: (2, 2.0), True: (1, 5.0)}
+    orgs = spark.createDataFrame([("a", None), ("b", None), ("c", True)], "organization_id string, y boolean")
+    folds = {r.organization_id: r.fold for r in stratified_folds(orgs, "y", k=2).collect()}
+    assert folds == {"a": 0, "b": 1, "c": 0}
+
+
+def test_quantiles_of_empty_frame(spark):
+    df = spark.createDataFrame([], "g string, x double")
+    assert exact_quantiles(df, ["g"], "x", [0.5]).collect() == []
+    assert histogram(df, "x", 3, by=["g"]).collect() == []
 
 
 def test_describe_by_approximate_path(spark):
