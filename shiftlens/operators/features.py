@@ -25,39 +25,52 @@ from shiftlens.spec import (
 META = ("converted", "converted_at", "trial_start", "trial_end")
 
 
-def _distinct_size(cond, value) -> F.Column:
-    return F.size(F.collect_set(F.when(cond, value))).cast("bigint")
+def daily_activity(classified: DataFrame) -> DataFrame:
+    """Events, first event and metadata per (organisation, activity, day)."""
+    meta = [*META, *(["days_to_conversion"] if "days_to_conversion" in classified.columns else [])]
+    return (classified.groupBy("organization_id", "activity_type", "activity_name",
+                               F.to_date("event_timestamp").alias("day"))
+            .agg(F.count(F.lit(1)).alias("events"), F.min("event_timestamp").alias("first_ts"),
+                 *[F.max(c).alias(c) for c in meta]))
 
 
 def org_rollup(classified: DataFrame, spec: Spec = DEFAULT_SPEC) -> DataFrame:
-    """Base aggregates per organisation (one shuffle)."""
-    side = F.col("activity_type")
-    name = F.col("activity_name")
-    day = F.to_date("event_timestamp")
-    is_admin, is_worker = side == "admin", side == "worker"
-    aggs = [F.max(c).alias(c) for c in META]
-    if "days_to_conversion" in classified.columns:
-        aggs.append(F.max("days_to_conversion").alias("days_to_conversion"))
-    aggs += [
-        F.count(F.lit(1)).alias("total_events"),
-        F.count_if(is_admin).alias("admin_events"),
-        F.count_if(is_worker).alias("worker_events"),
-        _distinct_size(is_admin, name).alias("admin_unique_activities"),
-        _distinct_size(is_worker, name).alias("worker_unique_activities"),
-        _distinct_size(is_admin, day).alias("admin_active_days"),
-        _distinct_size(is_worker, day).alias("worker_active_days"),
-        F.size(F.collect_set(day)).cast("bigint").alias("active_days"),
-        F.size(F.collect_set(name)).cast("bigint").alias("unique_activities"),
-    ]
-    for count_col, _, _, names in spec.flag_groups:
-        aggs.append(F.count_if(name.isin(*names)).alias(count_col))
-    aggs += [
-        F.count_if(name == F.lit(SHIFT_CREATED)).alias("shift_created_events"),
-        F.min(F.when(is_worker, F.col("event_timestamp"))).alias("first_worker_ts"),
-        F.min(F.when(is_admin, F.col("event_timestamp"))).alias("first_admin_ts"),
-        F.min(F.when(name == F.lit(SHIFT_CREATED), F.col("event_timestamp"))).alias("first_shift_created_ts"),
-    ]
-    return classified.groupBy("organization_id").agg(*aggs)
+    """Base aggregates per organisation, rolled up from its activity days.
+
+    Both steps are hash aggregates combined map-side; the distinct counts expand
+    the (organisation, activity, day) rows only, never the events.
+    """
+    daily = daily_activity(classified)
+    name, day = F.col("activity_name"), F.col("day")
+    is_admin, is_worker = F.col("activity_type") == "admin", F.col("activity_type") == "worker"
+    is_shift = name == F.lit(SHIFT_CREATED)
+
+    def events(cond) -> F.Column:
+        return F.coalesce(F.sum(F.when(cond, F.col("events"))), F.lit(0)).cast("bigint")
+
+    def distinct(value, cond=None) -> F.Column:
+        return F.count_distinct(value if cond is None else F.when(cond, value))
+
+    def first(cond) -> F.Column:
+        return F.min(F.when(cond, F.col("first_ts")))
+
+    meta = [c for c in (*META, "days_to_conversion") if c in daily.columns]
+    return daily.groupBy("organization_id").agg(
+        *[F.max(c).alias(c) for c in meta],
+        F.sum("events").alias("total_events"),
+        events(is_admin).alias("admin_events"),
+        events(is_worker).alias("worker_events"),
+        distinct(name, is_admin).alias("admin_unique_activities"),
+        distinct(name, is_worker).alias("worker_unique_activities"),
+        distinct(day, is_admin).alias("admin_active_days"),
+        distinct(day, is_worker).alias("worker_active_days"),
+        distinct(day).alias("active_days"),
+        distinct(name).alias("unique_activities"),
+        *[events(name.isin(*names)).alias(count_col) for count_col, _, _, names in spec.flag_groups],
+        events(is_shift).alias("shift_created_events"),
+        first(is_worker).alias("first_worker_ts"),
+        first(is_admin).alias("first_admin_ts"),
+        first(is_shift).alias("first_shift_created_ts"))
 
 
 def archetype(worker_events="worker_events", admin_events="admin_events") -> F.Column:

@@ -26,7 +26,17 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_oracle_or_is_model():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"rf_cv_auc"}
+    assert set(entry.REGISTRY) - set(entry.oracle_sql()) == {"rf_cv_auc"}
+
+
+def test_org_rollup_uses_hash_aggregates_only(spark):
+    from shiftlens.operators import features
+    rows = spark.createDataFrame([], "organization_id string, activity_type string, activity_name string, "
+                                 "event_timestamp timestamp_ntz, converted boolean, converted_at timestamp_ntz, "
+                                 "trial_start timestamp_ntz, trial_end timestamp_ntz")
+    plan = features.org_rollup(rows)._jdf.queryExecution().sparkPlan().toString()
+    assert "HashAggregate" in plan
+    assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan and "collect_set" not in plan
 
 
 @pytest.mark.parametrize("key", FAST)
