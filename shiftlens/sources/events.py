@@ -8,17 +8,6 @@ from pyspark.sql import types as T
 
 from shiftlens.spec import RAW_COLUMNS, TIMESTAMP_COLUMNS
 
-# The log as delivered: the event time column is called ``timestamp``.
-RAW_SCHEMA = T.StructType([
-    T.StructField("organization_id", T.StringType()),
-    T.StructField("activity_name", T.StringType()),
-    T.StructField("timestamp", T.StringType()),
-    T.StructField("converted", T.StringType()),
-    T.StructField("converted_at", T.StringType()),
-    T.StructField("trial_start", T.StringType()),
-    T.StructField("trial_end", T.StringType()),
-])
-
 EVENT_SCHEMA = T.StructType([
     T.StructField("organization_id", T.StringType()),
     T.StructField("activity_name", T.StringType()),
@@ -64,12 +53,13 @@ def coerce_boolean(df: DataFrame, c: str = "converted") -> DataFrame:
 def read_events(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """Scan the event log (CSV with header, or Parquet) into the canonical schema.
 
-    CSV is read with an all-string schema so that no row is lost to a parse
-    error; types are then coerced column by column.  The header's case is free.
+    CSV columns are taken by header name as strings, so that no row is lost to a
+    parse error; types are then coerced column by column.  Column order and
+    header case are free and extra columns are left out (all files of a folder
+    share one header).
     """
     if fmt == "csv":
-        df = (spark.read.option("header", True).option("mode", "PERMISSIVE")
-              .option("enforceSchema", False).schema(RAW_SCHEMA).csv(path))
+        df = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
     else:
         df = spark.read.format(fmt).load(path)
     df = normalise_columns(df)

@@ -168,3 +168,17 @@ def test_funnel_stage_after_zero_has_null_drop_off(spark):
     assert out[2]["count"] == 0 and out[3]["count"] == 0
     assert out[3].drop_off is None and out[4].drop_off is None
     assert out[6].drop_off is None and out[1].drop_off == 0.0
+
+
+def test_read_events_by_header_name(spark, tmp_path):
+    """Column order, header case and extra columns of a CSV do not matter."""
+    from shiftlens.sources import read_events
+    (tmp_path / "log.csv").write_text(
+        "Extra,Converted,TIMESTAMP,Activity_Name,trial_end,Organization_Id,converted_at,trial_start\n"
+        "x,True,2024-01-02 03:04:05,Foo.Bar,2024-01-31 00:00:00,o1,,2024-01-01 00:00:00\n"
+        "y,maybe,not a date,Foo.Baz,2024-01-31 00:00:00,o2,,2024-01-01 00:00:00\n")
+    rows = {r.organization_id: r for r in read_events(spark, str(tmp_path / "log.csv")).collect()}
+    assert rows["o1"].activity_name == "Foo.Bar" and rows["o1"].converted is True
+    assert str(rows["o1"].event_timestamp) == "2024-01-02 03:04:05"
+    assert rows["o2"].converted is None and rows["o2"].event_timestamp is None
+    assert "extra" not in rows["o1"].asDict()
