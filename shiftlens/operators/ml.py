@@ -77,7 +77,7 @@ def _fit_fold(train: DataFrame, test: DataFrame, cols, num_trees: int, max_depth
 
 
 def rf_cv_auc(org: DataFrame, sets=FEATURE_SETS, k: int = 5, num_trees: int = 100, max_depth: int = 10,
-              seed: int = 42, parallelism: int = 8, train_partitions: int = 64) -> DataFrame:
+              seed: int = 42, parallelism: int = 8, train_partitions: int | None = None) -> DataFrame:
     """Mean and population sd of the out-of-fold ROC-AUC per feature set.
 
     Folds are stratified (:func:`stratified_folds`); each of ``k x sets`` fits
@@ -92,7 +92,9 @@ def rf_cv_auc(org: DataFrame, sets=FEATURE_SETS, k: int = 5, num_trees: int = 10
     # One reliable checkpoint of the (organisation-sized) training table: every
     # fit reads it instead of re-running the event roll-up, and a lost
     # executor re-reads it from the shared folder.
-    # Bagging depends on row order and partition count, so both are fixed by the key.
+    # Bagging depends on row order and partition count: the order is fixed by the key and the count by
+    # ``train_partitions`` (default: the session's shuffle partitions).
+    train_partitions = train_partitions or int(org.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     data = _materialise(data.join(folds.select("organization_id", "fold"), "organization_id")
                         .repartition(train_partitions, "organization_id").sortWithinPartitions("organization_id"))
     jobs = [(name, cols, f) for name, cols in sets for f in range(k)]
