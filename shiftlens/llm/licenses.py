@@ -2,7 +2,8 @@
 
 Signatures are regexes over the padded word form of a text (every word between
 two spaces).  They are made of hand-written license names and of the forms a
-license is named in; a rule runs only on texts holding its keyword.  Of
+license is named in; a rule runs only on texts holding every word its regex
+cannot match without, read from the pattern itself.  Of
 overlapping detections, one contained in a better-ranked one (priority, then
 length, then rule order) is suppressed.  The base phrases are counted beside.
 
@@ -13,6 +14,8 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,57 +29,57 @@ BASE = {
     "mit license": "mit",
 }
 
-# label -> (keyword, name as a word pattern, version words or "").  A name's
-# words are separated by spaces; (a|b) and ? keep their regex meaning per word.
+# label -> (name as a word pattern, version words or "").  A name's words are
+# separated by spaces; (a|b) and ? keep their regex meaning per word.
 NAMES = {
-    "agpl-3.0": ("affero", "gnu? affero general public license", "3"),
-    "gpl-2.0": ("general", "gnu general public license", "2"),
-    "gpl-3.0": ("general", "gnu general public license", "3"),
-    "lgpl-2.1": ("lesser", "gnu? lesser general public license", "2 1"),
-    "lgpl-3.0": ("lesser", "gnu? lesser general public license", "3"),
-    "gfdl-1.3": ("documentation", "gnu? free documentation license", "1 3"),
-    "apache-1.1": ("apache", "apache (software)? license", "1 1"),
-    "apache-2.0": ("apache", "apache (software)? license", "2"),
-    "mit": ("mit", "mit license", ""),
-    "x11": ("x11", "x11 license", ""),
-    "bsd-2-clause": ("bsd", "(simplified|freebsd) bsd? license", ""),
-    "bsd-3-clause": ("bsd", "(new|revised|modified) bsd license", ""),
-    "bsd-4-clause": ("bsd", "(original|old) bsd license", ""),
-    "0bsd": ("bsd", "zero clause bsd license", ""),
-    "isc": ("isc", "isc license", ""),
-    "mpl-1.1": ("mozilla", "mozilla public license", "1 1"),
-    "mpl-2.0": ("mozilla", "mozilla public license", "2"),
-    "epl-1.0": ("eclipse", "eclipse public license", "1"),
-    "epl-2.0": ("eclipse", "eclipse public license", "2"),
-    "cddl-1.0": ("distribution", "common development and distribution license", "1"),
-    "cddl-1.1": ("distribution", "common development and distribution license", "1 1"),
-    "eupl-1.2": ("european", "european union public licen[cs]e", "1 2"),
-    "osl-3.0": ("open", "open software license", "3"),
-    "afl-3.0": ("academic", "academic free license", "3"),
-    "artistic-1.0": ("artistic", "artistic license", "1"),
-    "artistic-2.0": ("artistic", "artistic license", "2"),
-    "bsl-1.0": ("boost", "boost software license", "1"),
-    "zlib": ("zlib", "zlib (libpng)? license", ""),
-    "python-2.0": ("python", "python (software foundation)? license", "2"),
-    "php-3.01": ("php", "php license", "3 01"),
-    "ruby": ("ruby", "ruby license", ""),
-    "ms-pl": ("microsoft", "microsoft public license", ""),
-    "ms-rl": ("microsoft", "microsoft reciprocal license", ""),
-    "unlicense": ("unlicense", "(the)? unlicense", ""),
-    "wtfpl": ("wtfpl", "wtfpl", ""),
-    "ofl-1.1": ("font", "(sil)? open font license", "1 1"),
-    "odbl-1.0": ("database", "open database license", "1"),
-    "odc-by-1.0": ("attribution", "open data commons attribution license", "1"),
-    "cc0-1.0": ("cc0", "cc0", "1"),
-    "cc-by-3.0": ("cc", "cc by", "3"),
-    "cc-by-4.0": ("cc", "cc by", "4"),
-    "cc-by-sa-3.0": ("cc", "cc by sa", "3"),
-    "cc-by-sa-4.0": ("cc", "cc by sa", "4"),
-    "cc-by-nd-4.0": ("cc", "cc by nd", "4"),
-    "cc-by-nc-3.0": ("cc", "cc by nc", "3"),
-    "cc-by-nc-4.0": ("cc", "cc by nc", "4"),
-    "cc-by-nc-sa-4.0": ("cc", "cc by nc sa", "4"),
-    "cc-by-nc-nd-4.0": ("cc", "cc by nc nd", "4"),
+    "agpl-3.0": ("gnu? affero general public license", "3"),
+    "gpl-2.0": ("gnu general public license", "2"),
+    "gpl-3.0": ("gnu general public license", "3"),
+    "lgpl-2.1": ("gnu? lesser general public license", "2 1"),
+    "lgpl-3.0": ("gnu? lesser general public license", "3"),
+    "gfdl-1.3": ("gnu? free documentation license", "1 3"),
+    "apache-1.1": ("apache (software)? license", "1 1"),
+    "apache-2.0": ("apache (software)? license", "2"),
+    "mit": ("mit license", ""),
+    "x11": ("x11 license", ""),
+    "bsd-2-clause": ("(simplified bsd|freebsd bsd|freebsd) license", ""),
+    "bsd-3-clause": ("(new|revised|modified) bsd license", ""),
+    "bsd-4-clause": ("(original|old) bsd license", ""),
+    "0bsd": ("zero clause bsd license", ""),
+    "isc": ("isc license", ""),
+    "mpl-1.1": ("mozilla public license", "1 1"),
+    "mpl-2.0": ("mozilla public license", "2"),
+    "epl-1.0": ("eclipse public license", "1"),
+    "epl-2.0": ("eclipse public license", "2"),
+    "cddl-1.0": ("common development and distribution license", "1"),
+    "cddl-1.1": ("common development and distribution license", "1 1"),
+    "eupl-1.2": ("european union public licen[cs]e", "1 2"),
+    "osl-3.0": ("open software license", "3"),
+    "afl-3.0": ("academic free license", "3"),
+    "artistic-1.0": ("artistic license", "1"),
+    "artistic-2.0": ("artistic license", "2"),
+    "bsl-1.0": ("boost software license", "1"),
+    "zlib": ("zlib (libpng)? license", ""),
+    "python-2.0": ("python (software foundation)? license", "2"),
+    "php-3.01": ("php license", "3 01"),
+    "ruby": ("ruby license", ""),
+    "ms-pl": ("microsoft public license", ""),
+    "ms-rl": ("microsoft reciprocal license", ""),
+    "unlicense": ("(the)? unlicense", ""),
+    "wtfpl": ("wtfpl", ""),
+    "ofl-1.1": ("(sil)? open font license", "1 1"),
+    "odbl-1.0": ("open database license", "1"),
+    "odc-by-1.0": ("open data commons attribution license", "1"),
+    "cc0-1.0": ("cc0", "1"),
+    "cc-by-3.0": ("cc by", "3"),
+    "cc-by-4.0": ("cc by", "4"),
+    "cc-by-sa-3.0": ("cc by sa", "3"),
+    "cc-by-sa-4.0": ("cc by sa", "4"),
+    "cc-by-nd-4.0": ("cc by nd", "4"),
+    "cc-by-nc-3.0": ("cc by nc", "3"),
+    "cc-by-nc-4.0": ("cc by nc", "4"),
+    "cc-by-nc-sa-4.0": ("cc by nc sa", "4"),
+    "cc-by-nc-nd-4.0": ("cc by nc nd", "4"),
 }
 
 # Forms a license is named in: (priority, words before, words after).
@@ -87,7 +90,8 @@ FORMS = (
     (2, "", ""),
     (2, "", "(see|as published|you may not use)"),
 )
-ANY_KEYWORD = "licen|spdx|unlicense|wtfpl| cc0 | cc  by "
+# Words too frequent to look a rule up by while it has another one.
+FREQUENT = {"license", "identifier", "public", "general", "software", "open", "free", "version", "terms", "of", "and"}
 MAX_PRIORITY = 4
 
 
@@ -109,10 +113,16 @@ def _words(pattern: str) -> str:
     return "".join(out)
 
 
-def signatures() -> list[tuple[int, str, int, str, str]]:
-    """(order, label, priority, keyword, regex) of every rule."""
+def _needed(pattern: str) -> list[str]:
+    """Words that every match of a word pattern holds: neither optional nor one of several."""
+    plain = re.sub(r"\([^()]*\)\??", " ", pattern)
+    return sorted({w for w in plain.split() if re.fullmatch("[a-z0-9]+", w)})
+
+
+def signatures() -> list[tuple[int, str, int, list[str], str]]:
+    """(order, label, priority, needed words, regex) of every rule."""
     rules = []
-    for label, (keyword, name, version) in NAMES.items():
+    for label, (name, version) in NAMES.items():
         number = ""
         if version:
             major = version.split()[0]
@@ -120,14 +130,20 @@ def signatures() -> list[tuple[int, str, int, str, str]]:
             number += "(?: 0 )?" if " " not in version else ""
         for priority, before, after in FORMS:
             if before.startswith("spdx"):
-                spelled = "  ".join(label.replace(".", "-").split("-"))
-                regex = _words(before) + f" {spelled} (?: (?:only|or  later) )?"
+                pattern = f"{before} {' '.join(re.split('[.-]', label))}"
+                regex = _words(pattern) + "(?: (?:only|or  later) )?"
             else:
+                pattern = f"{before} {name} {after}"
                 regex = _words(before) + _words(name) + number + _words(after)
-            rules.append((len(rules), label, priority, keyword, regex))
+            rules.append((len(rules), label, priority, _needed(pattern), regex))
     return rules
 
 
+def _keyword(needed: list[str]) -> str:
+    """The needed word a rule is looked up by: a long one that is not frequent, if any."""
+    return max(needed, key=lambda w: (w not in FREQUENT, len(w), w))
+
+
 def padded(words: Column) -> Column:
     return F.concat(F.lit(" "), F.concat_ws("  ", words), F.lit(" "))
 
@@ -158,13 +174,25 @@ def _beats(a: Column, b: Column) -> Column:
         (long_a > long_b) | ((long_a == long_b) & (a["rule"] < b["rule"])))))
 
 
-def detections(text: Column) -> Column:
-    """Unsuppressed detections (start, stop, rule, label, priority) in padded text."""
-    rules = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(label).alias("label"), F.lit(p).alias("priority"),
-                               F.lit(f" {word} ").alias("word"), F.lit(regex).alias("regex"))
-                      for i, label, p, word, regex in signatures()])
-    live = F.filter(rules, lambda r: F.contains(text, r["word"]))
-    found = F.flatten(F.transform(live, lambda r: F.transform(places(text, r["regex"]), lambda s: F.struct(
+def live_rules(words: Column) -> Column:
+    """Rules (rule, label, priority, needed, regex) all of whose needed words are in ``words``."""
+    by_word: dict[str, list[Column]] = {}
+    for i, label, priority, needed, regex in signatures():
+        by_word.setdefault(_keyword(needed), []).append(F.struct(
+            F.lit(i).alias("rule"), F.lit(label).alias("label"), F.lit(priority).alias("priority"),
+            F.array(*map(F.lit, needed)).alias("needed"), F.lit(regex).alias("regex")))
+    rules = F.create_map(*[x for word, group in by_word.items() for x in (F.lit(word), F.array(*group))])
+    vocabulary = F.array(*map(F.lit, sorted({w for rule in signatures() for w in rule[3]})))
+
+    def of(present: Column) -> Column:
+        looked_up = F.filter(F.transform(present, lambda w: F.try_element_at(rules, w)), lambda g: g.isNotNull())
+        return F.filter(F.flatten(looked_up), lambda r: F.forall(r["needed"], lambda w: F.array_contains(present, w)))
+    return let(F.array_intersect(words, vocabulary), of)
+
+
+def detections(words: Column, text: Column) -> Column:
+    """Unsuppressed detections (start, stop, rule, label, priority) in words and their padded text."""
+    found = F.flatten(F.transform(live_rules(words), lambda r: F.transform(places(text, r["regex"]), lambda s: F.struct(
         s["start"].alias("start"), s["stop"].alias("stop"), r["rule"].alias("rule"),
         r["label"].alias("label"), r["priority"].alias("priority")))))
     return let(found, lambda all_: F.filter(all_, lambda d: ~F.exists(all_, lambda o: _beats(o, d))))
@@ -188,10 +216,8 @@ def scan(docs: DataFrame) -> DataFrame:
     words = split_words(ascii_lower(F.col("text")), NON_WORD)
     scanned = let(words, lambda w: let(padded(w), lambda t: F.struct(
         F.size(w).cast("long").alias("n_words"), base_places(t).alias("base"),
-        F.when(t.rlike(ANY_KEYWORD), detections(t)).alias("found"))))
-    return docs.select("doc_id", scanned.alias("s")).select("doc_id", "s.*").withColumn(
-        "found", F.coalesce("found", F.array().cast(
-            "array<struct<start:int,stop:int,rule:int,label:string,priority:int>>")))
+        detections(w, t).alias("found"))))
+    return docs.select("doc_id", scanned.alias("s")).select("doc_id", "s.*")
 
 
 def summarise(scanned: DataFrame) -> DataFrame:

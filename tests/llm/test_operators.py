@@ -175,6 +175,36 @@ def test_license_detections(spark):
     assert len(licenses.signatures()) >= 200 and [re.compile(s[4]) for s in licenses.signatures()]
 
 
+def shortest(regex):
+    """A shortest text that a rule's regex matches (first alternatives, no optional parts)."""
+    def of(tree):
+        out = ""
+        for op, arg in tree:
+            name = str(op)
+            if name == "LITERAL":
+                out += chr(arg)
+            elif name == "IN":
+                out += next(chr(a) for o, a in arg if str(o) == "LITERAL")
+            elif name == "BRANCH":
+                out += of(arg[1][0])
+            elif name == "SUBPATTERN":
+                out += of(arg[3])
+            elif name == "MAX_REPEAT":
+                out += of(arg[2]) * arg[0]
+        return out
+    return " ".join(of(re._parser.parse(regex)).split())
+
+
+def test_every_license_rule_fires_on_its_own_words(spark):
+    rules = licenses.signatures()
+    texts = [shortest(r[4]) for r in rules] + ["SPDX-License-Identifier: MPL-2.0", "FreeBSD license",
+                                               "SPDX-License-Identifier: 0BSD"]
+    want = [r[1] for r in rules] + ["mpl-2.0", "bsd-2-clause", "0bsd"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.summarise(licenses.scan(docs)).collect()}
+    assert [(t, w, got[i]) for i, (t, w) in enumerate(zip(texts, want)) if w not in got[i]] == []
+
+
 def test_mixture_meets_budgets(spark):
     rows = mixing.mix(documents(spark)).collect()
     docs = [r for r in documents(spark).collect()]
