@@ -205,6 +205,48 @@ def test_every_license_rule_fires_on_its_own_words(spark):
     assert [(t, w, got[i]) for i, (t, w) in enumerate(zip(texts, want)) if w not in got[i]] == []
 
 
+NOTICES = [
+    ("BSD 3-Clause License", "bsd-3-clause"), ("under GPLv3", "gpl-3.0"), ("Mozilla Public License", "mpl"),
+    ("the Artistic License", "artistic"), ("Apache License v. 2.0", "apache-2.0"), ("GNU LGPL v2.1 or later", "lgpl-2.1"),
+    ("Creative Commons Attribution 4.0 International", "cc-by-4.0"), ('"license": "MIT"', "mit"),
+    ("Creative Commons Attribution-ShareAlike 3.0", "cc-by-sa-3.0"), ("LGPLv2+", "lgpl-2.0"),
+    ("GNU General Public License (GPL), version 2", "gpl-2.0"), ("the MIT licence", "mit"),
+    ("subject to version 3.01 of the PHP license", "php-3.01"), ("license: Apache-2.0", "apache-2.0"),
+    ("# GNU General Public License as published by\n# the Free Software Foundation, either version 3", "gpl-3.0"),
+    ("http://www.apache.org/licenses/LICENSE-2.0", "apache-2.0"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+     "documentation files", "mit"),
+    ("Redistribution and use in source and binary forms, with or without\n * modification, are permitted", "bsd"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+     "granted, provided that", "isc"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+     "granted.", "0bsd")]
+
+
+def test_ordinary_license_notices(spark):
+    plain = ["the Epl 2-0 score", "an open source software license", "an Apache 2.4 server"]
+    docs = spark.createDataFrame(list(enumerate([t for t, _ in NOTICES] + plain)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.summarise(licenses.scan(docs)).collect()}
+    assert [(t, got[i]["labels"]) for i, (t, want) in enumerate(NOTICES) if want not in got[i]["labels"].split(",")] == []
+    assert [got[len(NOTICES) + i]["labels"] for i in range(len(plain))] == [""] * len(plain)
+    assert "isc" not in got[len(NOTICES) - 1]["labels"] and "0bsd" not in got[len(NOTICES) - 2]["labels"]
+
+
+def test_every_license_signature_below_spdx_detects_something_of_its_own():
+    rules = licenses.signatures()
+    for order, label, priority, _, regex in rules:
+        text = f" {'  '.join(shortest(regex).split())} "
+        others = [r[4] for r in rules if r[1] == label and r[0] != order and re.search(r[4], text)]
+        assert priority == licenses.SPDX or not others, (label, text, others)
+
+
+def test_license_context_ranks_higher(spark):
+    docs = spark.createDataFrame([(0, "licensed under the terms of the MPL 2.0 license"), (1, "the MPL 2.0 license"),
+                                  (2, "SPDX-License-Identifier: MPL-2.0")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.summarise(licenses.scan(docs)).collect()}
+    assert got == {0: ("mpl-2.0", 0.75), 1: ("mpl-2.0", 0.5), 2: ("mpl-2.0", 1.0)}
+
+
 def test_mixture_meets_budgets(spark):
     rows = mixing.mix(documents(spark)).collect()
     docs = [r for r in documents(spark).collect()]
