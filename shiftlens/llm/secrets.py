@@ -9,13 +9,14 @@ candidate a probability.
 Labelled findings come from the corpus: a candidate with digits right after a
 credential word and an assignment sign is a secret, a candidate of letters only
 or with a path shape and no credential word is not; other candidates are left
-unlabelled and only scored.  At most ``TRAIN_ROWS`` labelled findings, in hash
-order, fit the forest.  The dictionary is the ``DICTIONARY`` most frequent
+unlabelled and only scored.  Of each class the first ``CLASS_ROWS`` distinct
+(candidate, before) findings in hash order fit the forest, so copies weigh
+nothing and a rare class is not crowded out.  The dictionary is the ``DICTIONARY`` most frequent
 words over all documents.
 
 Defined results: null or empty text has no candidate; a candidate repeated in
-a document gives a row each; with labels of one class only, every score is that
-class; an empty table gives an empty result.
+a document gives a row each; with labels of one class only among all labelled
+findings, every score is that class; with none every score is 0; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{16,}"
 CREDENTIAL = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|credential|auth|bearer|private)"
 PLACEHOLDER = r"(?i)(example|sample|dummy|test|placeholder|your|xxxx)"
 DICTIONARY = 300
-TRAIN_ROWS = 20_000
+CLASS_ROWS = 20_000
 TREES, DEPTH, SEED = 20, 6, 11
 FEATURES = ["f_length", "f_transitions", "f_dictionary", "f_path", "f_credential", "f_placeholder", "f_assigned",
             "f_digits"]
@@ -87,12 +88,29 @@ def label() -> Column:
     return F.when(named & (F.col("f_placeholder") == 0), 1.0).when(plain | (F.col("f_placeholder") == 1), 0.0)
 
 
-def scan(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+def training_sample(found: DataFrame, class_rows: int = CLASS_ROWS) -> DataFrame:
+    """Label and features of the first ``class_rows`` distinct labelled findings of each class in hash order."""
+    # Label and features follow from (candidate, before), so copies agree in all columns.
+    distinct = (found.withColumn("label", label()).where("label is not null")
+                .select("candidate", "before", "label", *FEATURES).dropDuplicates(["candidate", "before"]))
+    distinct = landed(distinct, "findings")
+    sizes = {r["label"]: r["count"] for r in distinct.groupBy("label").count().collect()}
+    h = F.xxhash64("candidate", "before")
+
+    def first(of: float) -> DataFrame:
+        rows = distinct.where(F.col("label") == of)
+        if sizes.get(of, 0) > 2 * class_rows + 1000:
+            # The lowest hashes, about twice the rows wanted: the sorted task reads no more than those.
+            rows = rows.where(h < -(1 << 63) + (1 << 64) * (2 * class_rows + 1000) // sizes[of])
+        return rows.orderBy(h, "candidate", "before").limit(class_rows).select("label", *FEATURES)
+    return first(0.0).unionByName(first(1.0))
+
+
+def scan(docs: DataFrame, class_rows: int = CLASS_ROWS) -> DataFrame:
     """(doc_id, position, candidate, score, is_secret) of every candidate of every document."""
     found = landed(featured(candidates(docs), dictionary(docs)), "candidates")
-    sample = landed(found.withColumn("label", label()).where("label is not null")
-                    .orderBy(F.xxhash64("candidate", "before"), "candidate", "before", "doc_id", "position")
-                    .limit(train_rows).select("label", *FEATURES), "labelled")
+    sample = landed(training_sample(found, class_rows), "labelled")
+    # At least one finding of every class that occurs is in the sample.
     classes = sorted(r["label"] for r in sample.select("label").distinct().collect())
     out = ["doc_id", "position", "candidate"]
     if len(classes) < 2:

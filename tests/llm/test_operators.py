@@ -291,6 +291,19 @@ def test_secret_forest_separates(spark):
     assert all(r["is_secret"] == (not r["candidate"].startswith(("avery", "/usr"))) for r in got) and len(got) == 121
 
 
+def test_secret_sample_keeps_a_rare_class_and_ignores_copies(spark):
+    copies = [(i, "the /usr/share/lib/thing/path") for i in range(300)]
+    plain = [(10000 + i, f"the /usr/share/lib/thing/path{i}") for i in range(1600)]
+    keys = [(2000 + i, f'token = "{hashlib.sha1(str(i).encode()).hexdigest()}"') for i in range(3)]
+    docs = spark.createDataFrame(copies + plain + keys, "doc_id long, text string")
+    got = secrets.scan(docs, 20).collect()
+    assert len(got) == 1903 and {r["is_secret"] for r in got if 2000 <= r["doc_id"] < 10000} == {True}
+    assert not any(r["is_secret"] for r in got if not 2000 <= r["doc_id"] < 10000)
+    found = secrets.featured(secrets.candidates(docs), secrets.dictionary(docs))
+    sample = secrets.training_sample(found, 100).groupBy("label").count().collect()
+    assert {r["label"]: r["count"] for r in sample} == {0.0: 100, 1.0: 3}
+
+
 OPERATORS = {
     "exact": lambda s, d: exact_dedup.exact_dedup(d), "shard": lambda s, d: sharding.shard(d),
     "clean": lambda s, d: decontaminate.decontaminate(d, s.createDataFrame([(1, "same text here")], "item_id long, text string")),
