@@ -8,7 +8,8 @@ candidate a probability.
 
 Labelled findings come from the corpus: a candidate with digits right after a
 credential word and an assignment sign is a secret, a candidate of letters only
-or with a path shape and no credential word is not; other candidates are left
+or with a path shape and no credential word is not, nor is one that holds a
+placeholder word whole or is assigned to a name that does; other candidates are left
 unlabelled and only scored.  Of each class the first ``CLASS_ROWS`` distinct
 (candidate, before) findings in hash order fit the forest, so copies weigh
 nothing and a rare class is not crowded out.  The dictionary is the ``DICTIONARY`` most frequent
@@ -32,7 +33,11 @@ from .common import SPACE, ascii_lower, landed, let, split_words
 MIN_LENGTH = 16
 CANDIDATE = r"[A-Za-z0-9+/_-]{16,}"
 CREDENTIAL = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|credential|auth|bearer|private)"
-PLACEHOLDER = r"(?i)(example|sample|dummy|test|placeholder|your|xxxx)"
+# A placeholder word between non-letters, or one hump of a camelCase name, or the documented AWS endings.
+PLACEHOLDER = (r"(?<![A-Za-z])(?i:example|sample|dummy|test|placeholder|your|x{4,})(?![A-Za-z])"
+               r"|(?<![A-Z])(?:Example|Sample|Dummy|Test|Placeholder|Your)(?![a-z])"
+               r"|(?<![A-Za-z])(?:example|sample|dummy|test|placeholder|your)(?=[A-Z])|EXAMPLE(?:KEY)?$")
+ASSIGNED_NAME = r"([A-Za-z0-9_.-]+)[\"'\]]*\s*[:=]+>?\s*[\"']?$"
 DICTIONARY = 300
 CLASS_ROWS = 20_000
 TREES, DEPTH, SEED = 20, 6, 11
@@ -76,7 +81,8 @@ def featured(found: DataFrame, words: list[str]) -> DataFrame:
             .withColumn("f_dictionary", covered / n)
             .withColumn("f_path", (n - F.length(F.regexp_replace(c, "/", ""))) / n)
             .withColumn("f_credential", flag(F.col("before").rlike(CREDENTIAL)))
-            .withColumn("f_placeholder", flag(F.col("before").rlike(PLACEHOLDER) | c.rlike(PLACEHOLDER)))
+            .withColumn("f_placeholder", flag(
+                F.regexp_extract("before", ASSIGNED_NAME, 1).rlike(PLACEHOLDER) | c.rlike(PLACEHOLDER)))
             .withColumn("f_assigned", flag(F.col("before").rlike(r"[=:]\s*[\"']?$")))
             .withColumn("f_digits", (n - F.length(F.regexp_replace(c, "[0-9]", ""))) / n))
 
