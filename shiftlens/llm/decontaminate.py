@@ -14,7 +14,8 @@ shared by many items meets each document once.
 
 Defined results: null or empty text has no words and is never hit; an item
 without words has no window; items with one id and different texts are one
-item; rows equal in doc_id and text get the same result; empty
+item, also those with a null id, which counts in n_items and is the first
+element, null, of item_ids; rows equal in doc_id and text get the same result; empty
 tables give no hits.
 """
 
@@ -116,7 +117,7 @@ def spans(docs: DataFrame, items: DataFrame, window: int, k: int) -> DataFrame:
     w = window - k + 1
     keys = ["__id", "__text"]
     item_marks = (fingerprints(items, ["item_id"], k, w).groupBy("h", "gram", "left", "right")
-                  .agg(F.collect_set("item_id").alias("item_ids")))
+                  .agg(F.collect_set(F.struct("item_id")).alias("item_ids")))  # a struct keeps a null id
     item_marks = landed(item_marks.select("h", "gram", F.col("left").alias("i_left"),
                                           F.col("right").alias("i_right"), "item_ids"), "item-marks")
     side = F.broadcast(item_marks) if item_marks.count() <= BROADCAST_MARKS else item_marks
@@ -160,7 +161,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     runs = hits.groupBy("__id", "__text").agg(
         F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("__runs"))
     named = (hits.select("__id", "__text", F.explode("item_ids").alias("i")).groupBy("__id", "__text")
-             .agg(F.sort_array(F.collect_set("i")).alias("__items")))
+             .agg(F.transform(F.sort_array(F.collect_set("i")), lambda i: i["item_id"]).alias("__items")))
     found = landed(runs.withColumnRenamed("__id", "f_id").withColumnRenamed("__text", "f_text").join(
         named, F.col("f_id").eqNullSafe(F.col("__id")) & (F.col("f_text") == F.col("__text"))).select(
         F.col("f_id").alias("__id"), F.col("f_text").alias("__text"), "__runs", "__items"), "hits")

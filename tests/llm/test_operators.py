@@ -110,6 +110,17 @@ def test_short_items_ties_and_repeats_against_brute_force(spark):
         assert (r["n_words"], r["n_hit"], r["item_ids"]) == brute_hits(r["text"], items)
 
 
+def test_hits_of_items_without_an_id_are_kept(spark):
+    items = [(None, "alpha beta"), (None, "gamma"), (7, "alpha beta"), (8, "a b c d e f g h i j k l m n"),
+             (None, "p q r s t u v w y z aa bb cc dd")]
+    texts = ["x alpha beta x", "gamma", "a b c d e f g h i j k l m", "p q r s t u v w y z aa bb cc", "none"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = decontaminate.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"))
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["item_ids"], r["contaminated"]) for r in out.collect()}
+    assert got == {0: (2, 2, [None, "7"], True), 1: (1, 1, [None], True), 2: (13, 1, ["8"], True),
+                   3: (13, 1, [None], True), 4: (0, 0, [], False)}
+
+
 def test_fingerprints_and_components_against_brute_force(spark):
     docs = documents(spark).select("doc_id", "text").collect()
     fp = {}
