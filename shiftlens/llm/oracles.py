@@ -57,4 +57,46 @@ k AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (plain IN (SELECT plai
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
        sha256(coalesce(kept, '')) AS text_sha256
 FROM documents LEFT JOIN k USING (doc_id)""",
+    "op11_presence_masks": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER}, '{WORDS}') AS t FROM documents),
+tf AS (SELECT r, doc_id, n, term, count(*) AS tf
+       FROM (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM d) GROUP BY ALL),
+s AS (SELECT count(*) AS docs, CAST(sum(len(t)) AS BIGINT) AS terms FROM d WHERE len(t) > 0),
+df AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+       FROM tf, s GROUP BY term, docs),
+i AS (SELECT item_id, unnest(regexp_extract_all({LOWER}, '{WORDS}')) AS term
+      FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+p AS (SELECT item_id, r, doc_id,
+             CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms)))) AS BIGINT) AS score
+      FROM i JOIN tf USING (term) JOIN df USING (term), s GROUP BY 1, 2, 3)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank
+      FROM p WHERE score > 0) WHERE rank <= 10""",
+    "op12_truncation_trie": r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list({'id': m, 'chars': length(text)} ORDER BY turn NULLS FIRST, m) AS own
+      FROM (SELECT *, md5(strlen(role) || ':' || role || text) AS m FROM t) GROUP BY 1),
+h AS (SELECT conv_id, own, CAST(xor(list_reduce(
+                list_concat([CAST(4294967295 AS BIGINT)],
+                            list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                lambda c, b: list_reduce(list_concat([xor(c, b)], [CAST(0 AS BIGINT) FOR x IN range(8)]),
+                    lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, CAST(3988292384 AS BIGINT)) ELSE v >> 1 END)),
+                CAST(4294967295 AS BIGINT)) % 6 AS INTEGER) AS heads FROM o),
+c AS (SELECT h.conv_id, list_concat(coalesce(b.own, [])[1:heads], h.own[heads + 1:]) AS turns
+      FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 100),
+m AS (SELECT conv_id, d, len(turns) = d AS ends, coalesce(turns[d].chars, 0) AS chars,
+             md5(array_to_string([x.id FOR x IN turns[1:d]], ',')) AS key,
+             CASE WHEN d > 0 THEN md5(array_to_string([x.id FOR x IN turns[1:d - 1]], ',')) END AS above
+      FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM c)),
+n AS (SELECT key, d, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs,
+             (count(*) - 1) * any_value(chars) AS own,
+             sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+      FROM m GROUP BY 1, 2),
+k AS (SELECT above, count(*) AS n_children FROM n GROUP BY 1),
+s AS (SELECT m.key, m.d, CAST(sum(own) AS BIGINT) AS saved_tokens, count(*) FILTER (k.n_children IS NULL) AS n_leaves
+      FROM n JOIN m ON m.conv_id = n.conv_id AND m.d <= n.d LEFT JOIN k ON k.above = n.key GROUP BY 1, 2)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children,
+       n_leaves, saved_tokens, n.ends_sha256
+FROM n JOIN s USING (key, d) LEFT JOIN k ON k.above = n.key LEFT JOIN n p ON p.key = n.above AND p.d = n.d - 1""",
 }

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, exact_dedup, language, licenses, line_spread, mixing, secrets, sharding, simhash,
-               url_lists)
+from . import (decontaminate, exact_dedup, language, lexical, licenses, line_spread, mixing, secrets, sharding,
+               simhash, trie, url_lists)
 from .oracles import ORACLES  # noqa: F401
 from .common import table
 
@@ -58,7 +58,15 @@ def op10_line_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op11_presence_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_truncation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 REGISTRY = {f.__name__: f for f in (
     op1_exact_dedup, op2_feistel_sharding, op3_winnowing_decontamination, op4_secret_forest, op5_ppm_language,
     op6_temporal_url_lists, op7_simhash_bktree, op8_license_signatures, op9_mixture_budgets,
-    op10_line_site_spread)}
+    op10_line_site_spread, op11_presence_masks, op12_truncation_trie)}
