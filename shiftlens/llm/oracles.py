@@ -99,4 +99,18 @@ s AS (SELECT m.key, m.d, CAST(sum(own) AS BIGINT) AS saved_tokens, count(*) FILT
 SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children,
        n_leaves, saved_tokens, n.ends_sha256
 FROM n JOIN s USING (key, d) LEFT JOIN k ON k.above = n.key LEFT JOIN n p ON p.key = n.above AND p.d = n.d - 1""",
+    "op13_bottom_k": rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w
+                     FROM documents),
+s AS (SELECT DISTINCT r, hash(g) AS g FROM (SELECT r, unnest(CASE
+          WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+          ELSE [array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)] END) AS g FROM d)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+u AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+t AS (SELECT r AS node, r AS seen FROM d UNION SELECT u.y, t.seen FROM t JOIN u ON u.x = t.node)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(o.doc_id) AS component_id,
+       d.doc_id IS NOT DISTINCT FROM min(o.doc_id) AS kept
+FROM d JOIN t ON t.seen = d.r JOIN d o ON o.r = t.node LEFT JOIN n ON n.r = d.r GROUP BY d.r, d.doc_id""",
 }

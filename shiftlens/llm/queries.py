@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, exact_dedup, language, lexical, licenses, line_spread, mixing, secrets, sharding,
-               simhash, trie, url_lists)
+from . import (decontaminate, exact_dedup, language, lexical, licenses, line_spread, minhash, mixing, secrets,
+               sharding, simhash, trie, url_lists)
 from .oracles import ORACLES  # noqa: F401
 from .common import table
 
@@ -66,7 +66,11 @@ def op12_truncation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 REGISTRY = {f.__name__: f for f in (
     op1_exact_dedup, op2_feistel_sharding, op3_winnowing_decontamination, op4_secret_forest, op5_ppm_language,
     op6_temporal_url_lists, op7_simhash_bktree, op8_license_signatures, op9_mixture_budgets,
-    op10_line_site_spread, op11_presence_masks, op12_truncation_trie)}
+    op10_line_site_spread, op11_presence_masks, op12_truncation_trie, op13_bottom_k)}
