@@ -5,7 +5,8 @@ index row: a multi-level bitmap hash without collisions (level by level, the
 digests that own a position alone are placed and the others go on) whose slots
 ``0..n-1`` hold the full 32-byte digest, the winner's doc_id and the number of
 historical rows.  A lookup computes the slot and compares all 32 bytes, so a
-digest outside the history is never taken for a member.
+digest outside the history is never taken for a member.  Winners travel as
+decimal strings: pandas turns a long column that holds a null into floats.
 
 Defined results: null text counts as empty; a null doc_id never wins while its
 group has another id, and sorts as an arrival; rows repeating the winner's id
@@ -24,8 +25,8 @@ from .common import SPACE, join_groups, landed
 BUCKET_DIGESTS = 4096
 LEVEL_LOAD = 2.0
 INDEX_SCHEMA = ("bucket long, n long, levels array<long>, bits binary, digests binary, "
-                "winners array<long>, counts array<long>")
-FOUND_SCHEMA = "digest binary, keep_id long, group_size long, in_history boolean"
+                "winners array<string>, counts array<long>")
+FOUND_SCHEMA = "digest binary, keep_id string, group_size long, in_history boolean"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -90,7 +91,7 @@ def _build_bucket(key, part: pd.DataFrame) -> pd.DataFrame:
         "bucket": [key[0]], "n": [len(part)], "levels": [levels],
         "bits": [np.packbits(bits).tobytes()],
         "digests": [b"".join(part["digest"].iloc[order])],
-        "winners": [[None if pd.isna(v) else int(v) for v in part["winner"].iloc[order]]],
+        "winners": [[None if pd.isna(v) else v for v in part["winner"].iloc[order]]],
         "counts": [part["rows"].iloc[order].tolist()],
     })
 
@@ -116,11 +117,9 @@ def _look_up(key, index: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
     for i in range(len(part)):
         if i not in member:
             w = part["winner"].iat[i]
-            found.append((part["digest"].iat[i], None if pd.isna(w) else int(w),
+            found.append((part["digest"].iat[i], None if pd.isna(w) else w,
                           int(part["rows"].iat[i]), False))
-    out = pd.DataFrame(found, columns=["digest", "keep_id", "group_size", "in_history"])
-    out["keep_id"] = out["keep_id"].astype("Int64")
-    return out
+    return pd.DataFrame(found, columns=["digest", "keep_id", "group_size", "in_history"])
 
 
 def digest_table(docs: DataFrame) -> DataFrame:
@@ -133,7 +132,7 @@ def digest_table(docs: DataFrame) -> DataFrame:
 def _distinct(digests: DataFrame, buckets: int) -> DataFrame:
     first = F.conv(F.substring(F.hex("digest"), 1, 12), 16, 10).cast("long")
     return (digests.groupBy("digest")
-            .agg(F.min("doc_id").alias("winner"), F.count(F.lit(1)).alias("rows"))
+            .agg(F.min("doc_id").cast("string").alias("winner"), F.count(F.lit(1)).alias("rows"))
             .withColumn("bucket", F.pmod(first, F.lit(buckets).cast("long"))))
 
 
@@ -149,7 +148,7 @@ def resolve(arrivals: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
     Every historical doc_id must be smaller than every arrival's.
     """
     return (index.groupBy("bucket").cogroup(_distinct(arrivals, buckets).groupBy("bucket"))
-            .applyInPandas(_look_up, FOUND_SCHEMA))
+            .applyInPandas(_look_up, FOUND_SCHEMA).withColumn("keep_id", F.col("keep_id").cast("long")))
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ Every row's text is reduced to a 64-bit fingerprint (native shingle hashes,
 bit counts in numpy).  Distinct fingerprints are dealt to shards: the 64 bits
 are cut into ``radius + 3`` blocks, and two fingerprints within the radius
 agree on at least three whole blocks, so each triple of blocks is a shard
-key and no link is lost.  In a shard a BK-tree (children keyed by integer
+key and no link is lost.  The blocks do the pruning, the trees finish it.  In a shard a BK-tree (children keyed by integer
 Hamming distance to the parent) is searched following only edges within the
 radius.  Large shards are cut into chunks of ``CHUNK`` fingerprints and every
 pair of chunks is its own task group: one chunk is the tree, the other
@@ -25,6 +25,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,17 +55,21 @@ def fold_bits(hashes: np.ndarray) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
 
 
-def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fingerprints beside the untouched doc_id column (pandas would turn longs with a null into floats)."""
     for batch in batches:
-        fp = [fold_bits(np.asarray(h, dtype=np.int64)) for h in batch["hashes"]]
-        yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": np.array(fp, dtype=np.int64)})
+        hashes = batch.column("hashes")
+        flat, ends = hashes.flatten().to_numpy(), hashes.offsets.to_numpy()
+        ends = ends - ends[0]
+        fp = [fold_bits(flat[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
 
 def fingerprints(docs: DataFrame, length: int = SHINGLE) -> DataFrame:
     """doc_id and fingerprint (signed long) of every row, landed once."""
     hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                          shingle_hashes(F.col("text"), length).alias("hashes"))
-    return landed(hashed.mapInPandas(_fold, "doc_id long, fp long"), "simhash")
+    return landed(hashed.mapInArrow(_fold, "doc_id long, fp long"), "simhash")
 
 
 class BKTree:
