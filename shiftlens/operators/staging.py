@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftlens.functions.columns import days_between, hours_between
+from shiftlens.session import landed_copy
+from shiftlens.sources.quarantine import PARSED_COLUMNS, unparsed
 from shiftlens.spec import RAW_COLUMNS
 
 
@@ -54,40 +56,45 @@ def org_meta(stg: DataFrame) -> DataFrame:
 def dq_summary(raw: DataFrame) -> DataFrame:
     """Data-quality summary of a raw log, one row.
 
-    Only plain aggregates: no ``COUNT(DISTINCT)`` (which would expand every
-    row once per distinct expression).  Organisations and activity types are
-    counted from grouped frames; an organisation has conflicting metadata when
-    it has more than one distinct (converted, converted_at, trial_start,
-    trial_end) tuple.
+    The log is scanned once: equal rows are combined to one with their number of
+    copies, those to (organisation, metadata, activity) sums, which are landed,
+    and every figure is a roll-up of that small table.  An organisation has
+    conflicting metadata when it has more than one distinct (converted,
+    converted_at, trial_start, trial_end) tuple.  ``unparsed_*`` counts values
+    that were present and did not parse; a log without a ``rejects`` column (see
+    :mod:`shiftlens.sources.quarantine`) has none.
     """
-    ts_ok = F.col("event_timestamp").isNotNull() & F.col("trial_start").isNotNull()
-    raw_stats = raw.agg(
-        F.count(F.lit(1)).alias("raw_rows"),
-        F.count_if(F.col("event_timestamp").isNull()).alias("null_event_timestamps"),
-        F.count_if(F.col("organization_id").isNull()).alias("null_organization_ids"),
-    )
-    distinct = dedup_events(raw)
-    dist_stats = distinct.agg(
-        F.count(F.lit(1)).alias("distinct_rows"),
-        F.count_if(ts_ok & (F.col("event_timestamp") < F.col("trial_start"))).alias("events_before_window"),
-        F.count_if(ts_ok & (F.col("event_timestamp") > F.col("trial_end"))).alias("events_after_window"),
-        F.count_if(F.col("organization_id").isNotNull()
-                   & F.col("event_timestamp").between(F.col("trial_start"), F.col("trial_end"))).alias("staged_rows"),
-    )
+    bad = [f"unparsed_{c}" for c in PARSED_COLUMNS]
+    if "rejects" in raw.columns:
+        flags = raw.withColumns({b: unparsed(c) for b, c in zip(bad, PARSED_COLUMNS)})
+    else:
+        flags = raw.withColumns({b: F.lit(0) for b in bad})
+    copies = flags.groupBy(*RAW_COLUMNS).agg(F.count(F.lit(1)).alias("copies"),
+                                             *[F.sum(b).cast("long").alias(b) for b in bad])
+    ts, start, end = F.col("event_timestamp"), F.col("trial_start"), F.col("trial_end")
+    timed = ts.isNotNull() & start.isNotNull()
+    counted = {
+        "raw_rows": F.col("copies"), "distinct_rows": F.lit(1),
+        "null_event_timestamps": F.when(ts.isNull(), F.col("copies")),
+        "null_organization_ids": F.when(F.col("organization_id").isNull(), F.col("copies")),
+        "events_before_window": F.when(timed & (ts < start), 1),
+        "events_after_window": F.when(timed & (ts > end), 1),
+        "staged_rows": F.when(F.col("organization_id").isNotNull() & ts.between(start, end), 1),
+        **{b: F.col(b) for b in bad},
+    }
     meta = ("converted", "converted_at", "trial_start", "trial_end")
-    per_org = (distinct.where(F.col("organization_id").isNotNull())
-               .select("organization_id", *meta).dropDuplicates()
-               .groupBy("organization_id").agg(F.count(F.lit(1)).alias("__tuples")))
-    orgs = per_org.agg(F.count(F.lit(1)).alias("organizations"),
-                       F.count_if(F.col("__tuples") > 1).alias("orgs_with_conflicting_metadata"))
-    names = (distinct.where(F.col("activity_name").isNotNull()).select("activity_name").distinct()
-             .agg(F.count(F.lit(1)).alias("activity_types")))
-    out = raw_stats.crossJoin(dist_stats).crossJoin(orgs).crossJoin(names)
-    return out.select(
-        "raw_rows", "distinct_rows",
-        (F.col("raw_rows") - F.col("distinct_rows")).alias("duplicates_removed"),
-        F.round(F.try_divide((F.col("raw_rows") - F.col("distinct_rows")) * F.lit(100.0), F.col("raw_rows")), 6)
-        .alias("duplicates_removed_pct"),
+    sums = (copies.groupBy("organization_id", *meta, "activity_name")
+            .agg(*[F.coalesce(F.sum(v), F.lit(0)).cast("long").alias(k) for k, v in counted.items()]))
+    sums = landed_copy(sums, "dq-sums")
+    totals = sums.agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in counted])
+    orgs = (sums.where(F.col("organization_id").isNotNull()).select("organization_id", *meta).distinct()
+            .groupBy("organization_id").agg(F.count(F.lit(1)).alias("tuples"))
+            .agg(F.count(F.lit(1)).alias("organizations"),
+                 F.count_if(F.col("tuples") > 1).alias("orgs_with_conflicting_metadata")))
+    names = sums.agg(F.count_distinct("activity_name").alias("activity_types"))
+    removed = F.col("raw_rows") - F.col("distinct_rows")
+    return totals.crossJoin(orgs).crossJoin(names).select(  # one row each
+        "raw_rows", "distinct_rows", removed.alias("duplicates_removed"),
+        F.round(F.try_divide(removed * F.lit(100.0), F.col("raw_rows")), 6).alias("duplicates_removed_pct"),
         "organizations", "activity_types", "null_event_timestamps", "null_organization_ids",
-        "events_before_window", "events_after_window", "staged_rows", "orgs_with_conflicting_metadata",
-    )
+        "events_before_window", "events_after_window", "staged_rows", "orgs_with_conflicting_metadata", *bad)

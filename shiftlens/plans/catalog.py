@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from shiftlens.operators import classify, features, marts, staging
 from shiftlens.plans.tables import landed, landed_path
+from shiftlens.sources import quarantine
 from shiftlens.sources import coerce_timestamps, events_table, raw_trial_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,9 +92,35 @@ def q_stg_trial_events(spark, sf_dir):
     return stg(spark, sf_dir)
 
 
+def text_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw log as text, landed once; some values, picked by the event's second, do not parse or are blank."""
+    second = F.second("event_timestamp")
+    bad = {"event_timestamp": {7: "not a date", 8: ""}, "converted": {17: "maybe"}, "converted_at": {27: "31/31/2024"},
+           "trial_start": {37: "soon"}, "trial_end": {47: "2024-13-01", 48: " "}}
+
+    def text(c: str):
+        out = F.col(c).cast("string")
+        for at, value in bad.get(c, {}).items():
+            out = F.when(second == at, F.lit(value)).otherwise(out)
+        return out.alias(c)
+    return landed(spark, _events_path(sf_dir), "text-trial-events",
+                  lambda: raw(spark, sf_dir).select(*[text(c) for c in staging.RAW_COLUMNS]))
+
+
 @register("dq_summary")
 def q_dq_summary(spark, sf_dir):
-    return staging.dq_summary(raw(spark, sf_dir))
+    return staging.dq_summary(quarantine.parse_events(text_log(spark, sf_dir)))
+
+
+@register("quarantine_rows")
+def q_quarantine_rows(spark, sf_dir):
+    return quarantine.land_events(quarantine.parse_events(text_log(spark, sf_dir))).rejected
+
+
+@register("quarantine_counts")
+def q_quarantine_counts(spark, sf_dir):
+    found = quarantine.land_events(quarantine.parse_events(text_log(spark, sf_dir)))
+    return quarantine.count_table(spark, found.counts)
 
 
 @register("org_meta")
@@ -371,7 +398,7 @@ def q_onboarding_nudge(spark, sf_dir):
 
 from shiftlens.sources import write_mart  # noqa: E402
 from shiftlens.session import scratch_path  # noqa: E402
-from shiftlens.streaming import streams  # noqa: E402
+from shiftlens.streaming import batches, streams  # noqa: E402
 
 STREAM_WATERMARK = "1 hour"
 
@@ -403,6 +430,40 @@ def q_stream_onboarding_nudge(spark, sf_dir):
         F.min("shift_ts").alias("first_unanswered_shift_at"), F.min("nudge_due_at").alias("nudge_due_at"))
 
 
+STREAM_SLICES = 4
+
+
+def _ordered(spark, df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a stream of time-ordered files, one a micro-batch."""
+    path, schema = batches.land_in_order(df, "event_timestamp", STREAM_SLICES, name)
+    return batches.ordered_stream(spark, path, schema)
+
+
+@register("stream_activity_batches")
+def q_stream_activity_batches(spark, sf_dir):
+    # Stopped after its second micro-batch and resumed from the checkpoint.
+    sdf = streams.stream_activity_by_day(_ordered(spark, stg(spark, sf_dir).select(*staging.RAW_COLUMNS), "activity"),
+                                         STREAM_WATERMARK)
+    folder = scratch_path(spark, "stream-activity-batches")
+    batches.run_batches(sdf, folder, stop_after=2)
+    return batches.run_batches(sdf, folder).table
+
+
+@register("stream_activity_chained")
+def q_stream_activity_chained(spark, sf_dir):
+    sdf = batches.activity_from_raw(_ordered(spark, raw(spark, sf_dir), "raw"), STREAM_WATERMARK)
+    return batches.run_batches(sdf, scratch_path(spark, "stream-activity-chained")).table
+
+
+@register("stream_nudge_once")
+def q_stream_nudge_once(spark, sf_dir):
+    source = _ordered(spark, stg(spark, sf_dir).select(*staging.RAW_COLUMNS), "nudge")
+    sink = batches.NudgeSink(spark, scratch_path(spark, "nudge-sink"))
+    batches.run_batches(streams.stream_onboarding_nudge(source, watermark=STREAM_WATERMARK),
+                        scratch_path(spark, "stream-nudge-once"), sink)
+    return sink.nudges().select("organization_id", "first_unanswered_shift_at", "nudge_due_at")
+
+
 @register("write_mart")
 def q_write_mart(spark, sf_dir):
     path = scratch_path(spark, "mart-worker-adoption")
@@ -422,3 +483,19 @@ def q_read_events(spark, sf_dir):
     raw(spark, sf_dir).select(*[F.col(c).alias(h) for c, h in headers.items()]).write \
         .option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path)
     return read_events(spark, path, fmt="csv")
+
+
+@register("read_events_mixed_headers")
+def q_read_events_mixed_headers(spark, sf_dir):
+    """A folder of CSV files with two headers: other order, case and an extra column."""
+    from shiftlens.sources import read_events
+    path = scratch_path(spark, "raw-events-mixed-csv")
+    even = F.pmod(F.xxhash64("organization_id"), F.lit(2)) == 0
+    log = raw(spark, sf_dir)
+    one = [F.col(c).alias(c.upper()) for c in staging.RAW_COLUMNS]
+    two = [F.lit("x").alias("Extra"), F.col("trial_end"), F.col("event_timestamp").alias("Timestamp"),
+           *[F.col(c).alias(c.title()) for c in ("converted", "activity_name", "converted_at", "organization_id", "trial_start")]]
+    for part, columns in ((log.where(even), one), (log.where(~even), two)):
+        (part.select(*columns).write.mode("append").option("header", True)
+         .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path))
+    return read_events(spark, path, fmt="csv")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shiftlens.plans.oracle_base import _in_list, sql_with
+from shiftlens.plans.oracle_base import _in_list, cte, sql_with
 from shiftlens.spec import FLAG_GROUPS, WORKER_LABELS
 
 ORACLES: dict[str, str] = {}
@@ -26,28 +26,58 @@ FROM t
 oracle("dedup_events", "SELECT * FROM dedup", "dedup")
 oracle("stg_trial_events", "SELECT * FROM stg", "stg")
 
-oracle("dq_summary", """
-SELECT r.raw_rows, d.distinct_rows, r.raw_rows - d.distinct_rows AS duplicates_removed,
+cte("textlog", ("__fixture__",), """
+SELECT organization_id, activity_name,
+       CASE second(event_timestamp) WHEN 7 THEN 'not a date' WHEN 8 THEN '' ELSE CAST(event_timestamp AS VARCHAR) END
+           AS event_timestamp,
+       CASE second(event_timestamp) WHEN 17 THEN 'maybe' ELSE CAST(converted AS VARCHAR) END AS converted,
+       CASE second(event_timestamp) WHEN 27 THEN '31/31/2024' ELSE CAST(converted_at AS VARCHAR) END AS converted_at,
+       CASE second(event_timestamp) WHEN 37 THEN 'soon' ELSE CAST(trial_start AS VARCHAR) END AS trial_start,
+       CASE second(event_timestamp) WHEN 47 THEN '2024-13-01' WHEN 48 THEN ' ' ELSE CAST(trial_end AS VARCHAR) END
+           AS trial_end
+FROM raw
+""")
+cte("parsed", ("textlog",), """
+SELECT organization_id, activity_name, TRY_CAST(event_timestamp AS TIMESTAMP) AS event_timestamp,
+       TRY_CAST(converted AS BOOLEAN) AS converted, TRY_CAST(converted_at AS TIMESTAMP) AS converted_at,
+       TRY_CAST(trial_start AS TIMESTAMP) AS trial_start, TRY_CAST(trial_end AS TIMESTAMP) AS trial_end
+FROM textlog
+""")
+_KINDS = {"converted": "BOOLEAN", "event_timestamp": "TIMESTAMP", "converted_at": "TIMESTAMP",
+          "trial_start": "TIMESTAMP", "trial_end": "TIMESTAMP"}
+_REJECTED = {c: f"trim({c}) <> '' AND TRY_CAST({c} AS {kind}) IS NULL" for c, kind in _KINDS.items()}
+
+oracle("dq_summary", f"""
+SELECT r.*, d.distinct_rows, r.raw_rows - d.distinct_rows AS duplicates_removed,
        round((r.raw_rows - d.distinct_rows) * 100.0 / r.raw_rows, 6) AS duplicates_removed_pct,
-       d.organizations, d.activity_types, r.null_event_timestamps, r.null_organization_ids,
-       d.events_before_window, d.events_after_window, d.staged_rows, c.orgs_with_conflicting_metadata
+       d.organizations, d.activity_types, d.events_before_window, d.events_after_window, d.staged_rows,
+       c.orgs_with_conflicting_metadata, u.*
 FROM (SELECT COUNT(*) AS raw_rows,
              COUNT(*) FILTER (WHERE event_timestamp IS NULL) AS null_event_timestamps,
              COUNT(*) FILTER (WHERE organization_id IS NULL) AS null_organization_ids
-      FROM raw) r,
+      FROM parsed) r,
      (SELECT COUNT(*) AS distinct_rows,
              COUNT(DISTINCT organization_id) AS organizations,
              COUNT(DISTINCT activity_name) AS activity_types,
              COUNT(*) FILTER (WHERE event_timestamp < trial_start) AS events_before_window,
-             COUNT(*) FILTER (WHERE event_timestamp > trial_end) AS events_after_window,
+             COUNT(*) FILTER (WHERE event_timestamp > trial_end AND trial_start IS NOT NULL) AS events_after_window,
              COUNT(*) FILTER (WHERE organization_id IS NOT NULL
                               AND event_timestamp BETWEEN trial_start AND trial_end) AS staged_rows
-      FROM dedup) d,
-     (SELECT COUNT(*) FILTER (WHERE nc > 1 OR nca > 1 OR ns > 1 OR ne > 1) AS orgs_with_conflicting_metadata
-      FROM (SELECT organization_id, COUNT(DISTINCT converted) nc, COUNT(DISTINCT converted_at) nca,
-                   COUNT(DISTINCT trial_start) ns, COUNT(DISTINCT trial_end) ne
-            FROM dedup WHERE organization_id IS NOT NULL GROUP BY organization_id) x) c
-""", "dedup")
+      FROM (SELECT DISTINCT * FROM parsed)) d,
+     (SELECT COUNT(*) FILTER (WHERE tuples > 1) AS orgs_with_conflicting_metadata
+      FROM (SELECT organization_id, COUNT(*) AS tuples
+            FROM (SELECT DISTINCT organization_id, converted, converted_at, trial_start, trial_end FROM parsed
+                  WHERE organization_id IS NOT NULL) GROUP BY organization_id)) c,
+     (SELECT {", ".join(f"COUNT(*) FILTER (WHERE {rule}) AS unparsed_{c}" for c, rule in _REJECTED.items())}
+      FROM textlog) u
+""", "parsed")
+
+oracle("quarantine_rows", " UNION ALL ".join(
+    f"SELECT organization_id, activity_name, '{c}' AS column_name, {c} AS raw_text, "
+    f"'not a {_KINDS[c].lower()}' AS reason FROM textlog WHERE {rule}" for c, rule in _REJECTED.items()), "textlog")
+oracle("quarantine_counts", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, COUNT(*) AS rows, COUNT(*) FILTER (WHERE {rule}) AS rejected FROM textlog"
+    for c, rule in _REJECTED.items()), "textlog")
 
 oracle("org_meta", """
 SELECT organization_id, MAX(converted) AS converted, MAX(converted_at) AS converted_at,
@@ -105,7 +135,7 @@ FROM (SELECT organization_id, converted, converted_at, days_to_conversion, trial
 # ---------------------------------------------------------------- reports
 
 from shiftlens.functions.columns import erfc_sql  # noqa: E402
-from shiftlens.plans.oracle_base import chi2_sql, cte  # noqa: E402
+from shiftlens.plans.oracle_base import chi2_sql  # noqa: E402
 from shiftlens.spec import (  # noqa: E402
     ADMIN_FEATURES, ARCHETYPES, DISTRIBUTION_METRICS, FEATURE_SETS, FUNNEL_STAGES, HANDOFF_BUCKETS,
     UPLIFT_FLAGS, WORKER_FEATURES,
@@ -571,3 +601,17 @@ GROUP BY s.organization_id
 ORACLES["write_mart"] = ORACLES["mart_worker_adoption"]
 
 oracle("read_events", "SELECT * FROM raw", "__fixture__")
+oracle("read_events_mixed_headers", "SELECT * FROM raw", "__fixture__")
+
+# Streams over time-ordered files end at the same watermark as one batch over all of them.
+ORACLES["stream_activity_batches"] = ORACLES["stream_activity_by_day"]
+ORACLES["stream_nudge_once"] = ORACLES["stream_onboarding_nudge"]
+oracle("stream_activity_chained", """
+SELECT date_trunc('day', event_timestamp) AS day_start,
+       date_trunc('day', event_timestamp) + INTERVAL 1 DAY AS day_end,
+       organization_id, activity_type, COUNT(*) AS n_events
+FROM classified
+GROUP BY 1, 2, 3, 4
+HAVING date_trunc('day', event_timestamp) + INTERVAL 1 DAY
+       <= (SELECT max(event_timestamp) FROM raw) - INTERVAL 1 HOUR
+""", "classified")

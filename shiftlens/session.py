@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 # Cluster defaults for ~100 TB of events: shuffles start wide and adaptive
@@ -47,7 +47,7 @@ def get_spark(master: str | None = None, app: str = "shiftlens",
     if local:
         parts = shuffle_partitions or int(os.environ.get("SHIFTLENS_SHUFFLE_PARTITIONS", "8"))
         builder = (builder.config("spark.sql.shuffle.partitions", str(parts))
-                   .config("spark.driver.memory", os.environ.get("SHIFTLENS_DRIVER_MEMORY", "16g")))
+                   .config("spark.driver.memory", os.environ.get("SHIFTLENS_DRIVER_MEMORY", "8g")))
     elif shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
@@ -92,3 +92,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/shiftlens-{name}-{uuid.uuid4().hex[:12]}"
 
+
+def landed_copy(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage is cut, a lost executor re-reads files."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

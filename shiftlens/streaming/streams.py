@@ -8,6 +8,8 @@ the sink as a batch DataFrame.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,17 +29,21 @@ def stream_dedup(sdf: DataFrame, watermark: str = "1 hour") -> DataFrame:
     return timed.dropDuplicatesWithinWatermark(list(RAW_COLUMNS)).select(*RAW_COLUMNS)
 
 
-def stream_activity_by_day(sdf: DataFrame, watermark: str = "1 hour", spec: Spec = DEFAULT_SPEC) -> DataFrame:
-    """Events per organisation, side and calendar day; a day is emitted once closed."""
-    classified = with_event_time(sdf).withColumn("activity_type", side_of("activity_name", spec))
-    counts = (classified.withWatermark("event_time", watermark)
-              .groupBy(F.window("event_time", "1 day").alias("w"), "organization_id", "activity_type")
+def daily_counts(classified: DataFrame) -> DataFrame:
+    """Events per organisation, side and calendar day of a watermarked, classified stream."""
+    counts = (classified.groupBy(F.window("event_time", "1 day").alias("w"), "organization_id", "activity_type")
               .agg(F.count(F.lit(1)).alias("n_events")))
     return counts.select(F.col("w.start").cast("timestamp_ntz").alias("day_start"),
                          F.col("w.end").cast("timestamp_ntz").alias("day_end"),
                          "organization_id", "activity_type", "n_events")
 
 
+def stream_activity_by_day(sdf: DataFrame, watermark: str = "1 hour", spec: Spec = DEFAULT_SPEC) -> DataFrame:
+    """Events per organisation, side and calendar day; a day is emitted once closed."""
+    classified = with_event_time(sdf).withColumn("activity_type", side_of("activity_name", spec))
+    return daily_counts(classified.withWatermark("event_time", watermark))
+
+
 def stream_onboarding_nudge(sdf: DataFrame, hours: int = NUDGE_HOURS, watermark: str = "1 hour",
                             spec: Spec = DEFAULT_SPEC) -> DataFrame:
     """Shift creations with no worker event in the following ``hours`` hours.
@@ -85,6 +91,22 @@ def write_source(df: DataFrame, name: str) -> tuple[str, object]:
     return path, df.schema
 
 
+@contextmanager
+def state_partitions(spark: SparkSession):
+    """Locally one state-store partition per core for a query started inside.
+
+    The number is fixed when a query starts (it runs on a copy of the session
+    taken then); on a cluster the session's setting stands.
+    """
+    previous = spark.conf.get("spark.sql.shuffle.partitions")
+    if spark.sparkContext.master.startswith("local"):
+        spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", previous)
+
+
 def run_to_table(sdf: DataFrame, name: str, timeout_s: int | None = None) -> DataFrame:
     """Run a streaming frame to completion (``availableNow``) into Parquet; read it back.
 
@@ -93,18 +115,10 @@ def run_to_table(sdf: DataFrame, name: str, timeout_s: int | None = None) -> Dat
     """
     spark = sdf.sparkSession
     sink = scratch_path(spark, f"{name}-sink")
-    sc = spark.sparkContext
-    previous = spark.conf.get("spark.sql.shuffle.partitions")
-    if sc.master.startswith("local"):
-        # State-store partitions are fixed when the query starts (the stream
-        # runs on a copy of the session taken then); locally one per core.
-        spark.conf.set("spark.sql.shuffle.partitions", str(sc.defaultParallelism))
-    try:
+    with state_partitions(spark):
         query = (sdf.writeStream.format("parquet").outputMode("append")
                  .option("path", sink).option("checkpointLocation", sink + "-checkpoint")
                  .trigger(availableNow=True).start())
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", previous)
     try:
         if timeout_s is None:
             query.awaitTermination()
