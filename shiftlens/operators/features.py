@@ -40,7 +40,11 @@ def org_rollup(classified: DataFrame, spec: Spec = DEFAULT_SPEC) -> DataFrame:
     Both steps are hash aggregates combined map-side; the distinct counts expand
     the (organisation, activity, day) rows only, never the events.
     """
-    daily = daily_activity(classified)
+    return rollup_daily(daily_activity(classified), spec)
+
+
+def rollup_daily(daily: DataFrame, spec: Spec = DEFAULT_SPEC) -> DataFrame:
+    """Base aggregates per organisation from (organisation, activity, day) rows."""
     name, day = F.col("activity_name"), F.col("day")
     is_admin, is_worker = F.col("activity_type") == "admin", F.col("activity_type") == "worker"
     is_shift = name == F.lit(SHIFT_CREATED)

@@ -499,3 +499,21 @@ def q_read_events_mixed_headers(spark, sf_dir):
         (part.select(*columns).write.mode("append").option("header", True)
          .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path))
     return read_events(spark, path, fmt="csv")
+
+
+@register("mart_refreshed")
+def q_mart_refreshed(spark, sf_dir):
+    """The mart built without its last ten days, which then arrive one refresh a half."""
+    from datetime import timedelta
+
+    from shiftlens.plans.layers import AdoptionLayers
+    events = stg(spark, sf_dir)
+    day = F.to_date("event_timestamp")
+    last = events.agg(F.max(day)).first()[0]
+    layers = AdoptionLayers(spark, scratch_path(spark, "adoption-layers"))
+    if last is None:
+        return layers.refresh(events)
+    late = [last - timedelta(days=i) for i in range(10)]
+    layers.refresh(events.where(~day.isin(late)))
+    layers.refresh(events, late[5:])
+    return layers.refresh(events, late[:5])

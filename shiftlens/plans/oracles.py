@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from shiftlens.plans.oracle_base import _in_list, cte, sql_with
-from shiftlens.spec import FLAG_GROUPS, WORKER_LABELS
+from shiftlens.plans.oracle_base import GROUP_NAMES, LABELS, WORKER_NAMES, _in_list, cte, erfc_sql, sql_with
 
 ORACLES: dict[str, str] = {}
 
@@ -88,8 +87,8 @@ FROM stg GROUP BY organization_id
 oracle("classify_events", "SELECT * FROM classified", "classified")
 
 _group_case = " ".join(
-    f"WHEN activity_name IN ({_in_list(names)}) THEN '{count_col}'" for count_col, _, _, names in FLAG_GROUPS)
-_members = [n for g in FLAG_GROUPS for n in g[3]]
+    f"WHEN activity_name IN ({_in_list(names)}) THEN '{count_col}'" for count_col, names in GROUP_NAMES.items())
+_members = [n for names in GROUP_NAMES.values() for n in names]
 oracle("filter_membership", f"""
 SELECT organization_id, activity_name, event_timestamp, CASE {_group_case} END AS flag_group
 FROM classified
@@ -101,7 +100,7 @@ SELECT activity_type, COUNT(activity_name) AS event_count FROM classified GROUP
 """, "classified")
 
 _label_case = " ".join(
-    f"WHEN '{k}' THEN '{v}'" for k, v in WORKER_LABELS.items())
+    f"WHEN '{k}' THEN '{v}'" for k, v in LABELS.items())
 for _side, _label in (("worker", f"CASE activity_name {_label_case} ELSE activity_name END"),
                       ("admin", "activity_name")):
     oracle(f"{_side}_activity_breakdown", f"""
@@ -134,7 +133,6 @@ FROM (SELECT organization_id, converted, converted_at, days_to_conversion, trial
 
 # ---------------------------------------------------------------- reports
 
-from shiftlens.functions.columns import erfc_sql  # noqa: E402
 from shiftlens.plans.oracle_base import chi2_sql  # noqa: E402
 from shiftlens.spec import (  # noqa: E402
     ADMIN_FEATURES, ARCHETYPES, DISTRIBUTION_METRICS, FEATURE_SETS, FUNNEL_STAGES, HANDOFF_BUCKETS,
@@ -579,9 +577,7 @@ HAVING date_trunc('day', event_timestamp) + INTERVAL 1 DAY
        <= (SELECT max(event_timestamp) FROM classified) - INTERVAL 1 HOUR
 """, "classified")
 
-from shiftlens.spec import WORKER_ACTIVITIES  # noqa: E402
-
-_worker_in = _in_list(WORKER_ACTIVITIES)
+_worker_in = _in_list(WORKER_NAMES)
 oracle("stream_onboarding_nudge", f"""
 WITH shifts AS (SELECT organization_id, event_timestamp AS shift_ts FROM classified
                 WHERE activity_name = 'Scheduling.Shift.Created'),
@@ -615,3 +611,4 @@ GROUP BY 1, 2, 3, 4
 HAVING date_trunc('day', event_timestamp) + INTERVAL 1 DAY
        <= (SELECT max(event_timestamp) FROM raw) - INTERVAL 1 HOUR
 """, "classified")
+ORACLES["mart_refreshed"] = ORACLES["mart_worker_adoption"]

@@ -159,3 +159,20 @@ def test_describe_by_approximate_path(spark):
     approx = describe_by(df, ["g"], "x", {"median": 0.5}, exact=False).collect()[0]
     assert exact.median == pytest.approx(50.5) and exact.n == approx.n == 100
     assert abs(approx.median - exact.median) <= 1.0
+
+
+def test_erfc_to_double_precision(spark):
+    import math
+    from shiftlens.functions.columns import erfc
+    xs = [i / 50 for i in range(-300, 1301)]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", erfc("x").alias("e")).collect()
+    assert max(abs(r.e - math.erfc(r.x)) for r in got) < 1e-13
+    assert max(abs(r.e / math.erfc(r.x) - 1) for r in got if r.x < 25) < 1e-11
+
+
+def test_oracle_erfc_is_an_expansion_of_its_own():
+    import math
+    import duckdb
+    from shiftlens.plans.oracle_base import erfc_sql
+    for x in (-2.5, -0.3, 0.0, 0.7, 1.9, 2.1, 5.0):
+        assert abs(duckdb.sql(f"SELECT {erfc_sql(f"({x})")}").fetchall()[0][0] - math.erfc(x)) < 1e-11
