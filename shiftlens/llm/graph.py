@@ -14,20 +14,19 @@ from .common import join_groups, landed
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of undirected long edges (a, b); root is the smallest node reachable."""
+    """(node, root, degree) of every node of undirected long edges (a, b); root is the smallest node reachable."""
     both = landed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
                   .distinct(), "edges")
     label = landed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("degree"))
                    .select("node", F.least("node", "m").alias("root"), "degree"), "labels")
     while True:
-        step = _jump(label)
-        near = (join_groups(both, step.select(F.col("node").alias("b"), "root", "degree"), "b", "degree")
+        near = (join_groups(both, label.select(F.col("node").alias("b"), "root", "degree"), "b", "degree")
                 .groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m")))
-        label = landed(step.join(near, "node").select("node", F.least("root", "m").alias("root"), "degree",
+        step = landed(label.join(near, "node").select("node", F.least("root", "m").alias("root"), "degree",
                                                       (F.col("m") < F.col("root")).alias("moved")), "labels")
-        if not label.where("moved").limit(1).count():
-            return label.select("node", "root")
-        label = label.drop("moved")
+        if not step.where("moved").limit(1).count():
+            return label
+        label = _jump(step.drop("moved"))
 
 
 def _jump(label: DataFrame) -> DataFrame:

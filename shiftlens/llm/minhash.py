@@ -17,8 +17,9 @@ is exact.  Common passages rank last and are seldom indexed.
 round up to ``width`` members of a list lead: they meet every other member of
 another component, then leave the list with all their pairs decided.  Links
 found merge components, and a list whose members are all one component is done.
-The width grows eightfold a round, so a list of any length ends; no list, pair
-or partner is capped.
+The width grows from round to round, so a list of any length ends; no list,
+pair or partner is capped.  A list of many classes that are alike but not linked
+still costs the square of its open members: each of them must be refused.
 
 Defined results: null or wordless text has an empty set, is linked with nothing
 and is its own component; a text of fewer than four words is one shingle; a
@@ -31,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +48,9 @@ K = 64
 NEEDED = 28        # of K retained values
 NEEDED_SMALL = 48  # bound for sets just below K, whose partner may be above it
 SIMILAR, OF = 80, 100
-WIDTH_GROWTH, WIDTH_MOST = 8, 512
-SALTS = 64
-SHARE = 1000
+# Leaders a list by round (the last for any later one), and whether members with many links lead before open ones.
+# Linked leaders first draw the open members of a list of copies in, for a few pairs each; open members lead last.
+ROUNDS = ((1, True), (8, True), (64, False), (512, False))
 PAIRS_A_PART = 1000
 SLICE = 1 << 20
 KNOWN_WORDS = 1 << 18
@@ -154,39 +156,28 @@ def inverted_lists(classes: DataFrame) -> DataFrame:
                   .where(F.col("place") <= size - needed(F.col("n")) + 1).select("value", "cls", "n"), "inverted")
 
 
-def spread_join(pairs: DataFrame, side: str, other: str, table: DataFrame) -> DataFrame:
-    """Join ``table`` (one row per ``side``) to pairs; the rows of a hot key are dealt over several parts."""
-    counts = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("met"))
-    total = counts.agg(F.sum("met")).first()[0] or 0
-    hot = F.broadcast(counts.where((F.col("met") > PAIRS_A_PART) & (F.col("met") * SHARE >= F.lit(total)))
-                      .select(side, F.ceil(F.col("met") / PAIRS_A_PART).cast("int").alias("parts")))
-    parts = F.coalesce("parts", F.lit(1))
-    dealt = (pairs.join(hot, side, "left").withColumn("part", F.pmod(F.xxhash64(other), parts).cast("int"))
-             .drop("parts"))
-    copies = (table.join(hot, side, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-              .drop("parts"))
-    return dealt.join(copies, [side, "part"]).drop("part")
+def _both(pairs: DataFrame, leaders: DataFrame, table: DataFrame, value: str) -> DataFrame:
+    """Values of member and leader beside each pair; a hot leader's pairs are dealt over its parts."""
+    copies = (table.select(F.col("cls").alias("leader"), F.col(value).alias("vb")).join(leaders, "leader")
+              .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts"))
+    members = table.select(F.col("cls").alias("member"), F.col(value).alias("va"))
+    return pairs.join(copies, ["leader", "part"]).join(members, "member")
 
 
-def _both(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
-    left = table.select(F.col("cls").alias("a"), F.col(value).alias("va"))
-    right = table.select(F.col("cls").alias("b"), F.col(value).alias("vb"))
-    return spread_join(spread_join(pairs, "b", "a", right), "a", "b", left)
-
-
-def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def estimated(pairs: DataFrame, leaders: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs whose similarity on the union's sketch does not rule a link out."""
     union = F.slice(F.array_sort(F.array_union("va", "vb")), 1, K)
     agree = F.size(F.array_intersect(F.array_intersect(union, "va"), "vb"))
-    return (_both(pairs, classes, "sketch").where(agree * K >= F.size(union) * NEEDED)
-            .select("a", "b"))
+    return (_both(pairs, leaders, classes, "sketch").where(agree * K >= F.size(union) * NEEDED)
+            .select("member", "leader", "part"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, leaders: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs linked on their full sets."""
     both = F.size(F.array_intersect("va", "vb"))
-    return (_both(pairs, sets, "shingles")
-            .where(both * OF >= (F.size("va") + F.size("vb") - both) * SIMILAR).select("a", "b"))
+    return (_both(pairs, leaders, sets, "shingles")
+            .where(both * OF >= (F.size("va") + F.size("vb") - both) * SIMILAR)
+            .select(F.col("member").alias("a"), F.col("leader").alias("b")))
 
 
 def full_sets(docs: DataFrame, classes: DataFrame, lists: DataFrame) -> DataFrame:
@@ -200,61 +191,49 @@ def full_sets(docs: DataFrame, classes: DataFrame, lists: DataFrame) -> DataFram
                   .groupBy("cls").agg(F.max("shingles").alias("shingles")), "shingle-sets")
 
 
-def _leaders(rows: DataFrame, width: int) -> DataFrame:
-    """(value, leaders): up to ``width`` members of each list, those outside its first member's component first."""
-    some = rows.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)))
-    for keys in (["value", "salt"], ["value"]):
-        some = (some.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("inside", "cls")))
-                .where(F.col("r") <= width))
-    return some.groupBy("value").agg(F.collect_list(F.struct("cls", "n", "root")).alias("leaders"))
-
-
-def _round(lists: DataFrame, labels: DataFrame | None, width: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs to test, lists without their leaders); lists of one component are gone."""
-    rows = lists.withColumn("root", F.col("cls")) if labels is None else landed(
-        lists.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
-        .select("value", "cls", "n", F.coalesce("root", "cls").alias("root")), "list-rows")
-    led = landed(rows.groupBy("value").agg(
-        F.count(F.lit(1)).alias("members"), F.min("root").alias("low"), F.max("root").alias("high"),
-        F.min(F.struct("cls", "n", "root")).alias("lead")).where("low < high")
-        .select("value", "members", F.array("lead").alias("leaders")), "open-lists")
-    if width > 1:
-        some = landed(join_groups(rows, led, "value", "members")
-                      .select("value", "cls", "n", "root", (F.col("root") == F.col("leaders")[0]["root"]).alias("inside")),
-                      "open-rows")
-        led = landed(_leaders(some, width).join(led.select("value", "members"), "value"), "leaders")
-        rows = some.drop("inside")
+def _round(lists: DataFrame, labels: DataFrame | None, width: int, linked_first: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs to test, their leaders, lists without those); lists of one component are gone."""
+    rows = (lists.withColumn("root", F.col("cls")).withColumn("degree", F.lit(0).cast("long")) if labels is None else
+            landed(lists.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
+                   .select("value", "cls", "n", F.coalesce("root", "cls").alias("root"),
+                           F.coalesce("degree", F.lit(0).cast("long")).alias("degree")), "list-rows"))
+    still = rows.groupBy("value").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("low"),
+                                      F.max("root").alias("high")).where("low < high").select("value", "members")
+    degree = F.col("degree").desc() if linked_first else F.col("degree").asc()
+    first = Window.partitionBy("value").orderBy(degree, "cls")  # the limit is applied before the shuffle too
+    lead = (rows.withColumn("r", F.row_number().over(first)).where(F.col("r") <= width)
+            .groupBy("value").agg(F.collect_list(F.struct("cls", "n", "root")).alias("leaders")))
+    led = landed(still.join(lead, "value"), "leaders")
     met = landed(join_groups(rows, led, "value", "members"), "led-rows")
     near = F.filter("leaders", lambda x: (x["root"] != F.col("root")) & (
         F.least(x["n"], F.col("n")) * OF >= F.greatest(x["n"], F.col("n")) * SIMILAR))
-    pairs = (met.select("cls", F.explode(near).alias("x"))
-             .select(F.least("cls", "x.cls").alias("a"), F.greatest("cls", "x.cls").alias("b")).distinct())
+    parts = F.ceil(F.col("members") / PAIRS_A_PART).cast("int")
+    pairs = (met.select(F.col("cls").alias("member"), F.pmod(F.xxhash64("cls"), parts).cast("int").alias("part"),
+                        F.explode(near).alias("x"))
+             .groupBy("member", F.col("x.cls").alias("leader")).agg(F.min("part").alias("part")))
+    leaders = (led.select(F.explode("leaders.cls").alias("leader"), parts.alias("parts"))
+               .groupBy("leader").agg(F.max("parts").alias("parts")))
     stays = ~F.exists("leaders", lambda x: x["cls"] == F.col("cls"))
-    return pairs, met.where(stays).select("value", "cls", "n")
+    return pairs, leaders, met.where(stays).select("value", "cls", "n")
 
 
 def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
     """(node, root) of classes linked to others; None without links."""
     lists = inverted_lists(classes)
-    sets, edges, labels, width = None, None, None, 1
-    while True:
-        pairs, lists = _round(lists, labels, width)
-        pairs = landed(estimated(landed(pairs, "list-pairs"), classes), "pairs")
+    sets, edges, labels = None, None, None
+    for width, linked_first in chain(ROUNDS, repeat(ROUNDS[-1])):
+        pairs, leaders, lists = _round(lists, labels, width, linked_first)
+        leaders = landed(leaders, "pair-leaders")
+        pairs = landed(estimated(pairs, leaders, classes), "pairs")
         if pairs.limit(1).count():
-            sets = sets if sets is not None else full_sets(docs, classes, lists_of(classes, lists, pairs))
-            links = landed(verified(pairs, sets), "links")
+            if sets is None:
+                named = pairs.select(F.explode(F.array("member", "leader")).alias("cls"))
+                sets = full_sets(docs, classes, named.unionByName(lists.select("cls")))
+            links = landed(verified(pairs, leaders, sets), "links")
             edges = links if edges is None else edges.unionByName(links)
             labels = components(edges)
-        lists = landed(lists, "lists-left")
         if not lists.limit(1).count():
             return labels
-        width = min(width * WIDTH_GROWTH, WIDTH_MOST)
-
-
-def lists_of(classes: DataFrame, lists: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Classes that this round's pairs or later rounds can name."""
-    return (lists.select("cls").unionByName(pairs.select(F.col("a").alias("cls")))
-            .unionByName(pairs.select(F.col("b").alias("cls"))))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -264,7 +243,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = link_classes(docs, classes)
     member = classes.select("cls", "digest", "first", "rows")
     member = (member.withColumn("root", F.col("cls")) if labels is None else
-              member.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
+              member.join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left")
               .withColumn("root", F.coalesce("root", "cls")))
     member = landed(member, "members")
     lowest = landed(member.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("size")),
