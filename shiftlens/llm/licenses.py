@@ -8,6 +8,8 @@ runs only on texts holding every word its regex
 cannot match without, read from the pattern itself.  Of
 overlapping detections, one contained in a better-ranked one (priority, then
 length, then rule order) is suppressed.  The base phrases are counted beside.
+Both steps take time about linear in the matches, so a very long text of notices
+holds its task for as long as its bytes need.
 
 Defined results: null or empty text has no words and no labels; with no base
 place first_word and last_word are null; equal texts get equal results; an
@@ -160,6 +162,8 @@ FREQUENT = {"license", "licenses", "identifier", "public", "general", "software"
             "and", "the", "this", "commons", "documentation", "distribute", "distribution", "permission", "copyright"}
 SPDX, SENTENCE, NAME = 4, 3, 2
 MAX_PRIORITY = SPDX
+PRIORITIES = (SPDX, SENTENCE, NAME)
+RUN = 64  # elements scanned at once by running()
 
 
 def _words(pattern: str) -> str:
@@ -262,27 +266,62 @@ def _count(text: Column) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))) / 2).cast("int")
 
 
+def _scan(values: Column, step) -> Column:
+    """Running ``step`` over a short array; costs the square of its length."""
+    return F.aggregate(values, F.array().cast("array<int>"), lambda out, x: F.concat(
+        out, F.array(step(F.try_element_at(out, F.lit(-1)), x))))
+
+
+def running(values: Column, step) -> Column:
+    """Inclusive running ``step`` (null-safe on its first operand, associative) over an int array.
+
+    Runs of ``RUN`` elements are scanned alone and moved by the scan of their last
+    values, so that the time is about linear in the length.
+    """
+    runs = let(values, lambda v: F.transform(
+        F.sequence(F.lit(0), F.floor((F.greatest(F.size(v), F.lit(1)) - 1) / RUN).cast("int")),
+        lambda i: _scan(F.slice(v, i * RUN + 1, RUN), step)))
+    return let(runs, lambda rs: let(
+        _scan(F.transform(rs, lambda r: F.try_element_at(r, F.lit(-1))), step),
+        lambda ends: F.flatten(F.transform(rs, lambda r, i: F.transform(r, lambda x: step(F.get(ends, i - 1), x))))))
+
+
 def places(text: Column, regex: Column) -> Column:
     """Structs (start, stop, led) of every match in padded text: words, stop exclusive; led by a context or not."""
-    none = F.array().cast("array<struct<start:int,stop:int,led:boolean>>")
-    steps = F.zip_with(F.split(text, regex), F.regexp_extract_all(text, regex, F.lit(0)),
-                       lambda gap, hit: F.struct(_count(gap).alias("gap"), _count(hit).alias("hit"),
-                                                 hit.rlike(f"^(?:{_CONTEXT})").alias("led")))
-    state = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    return F.aggregate(F.filter(steps, lambda s: s["hit"].isNotNull()), state, lambda a, s: F.struct(
-        (a["at"] + s["gap"] + s["hit"]).alias("at"),
-        F.concat(a["out"], F.array(F.struct((a["at"] + s["gap"]).alias("start"),
-                                            (a["at"] + s["gap"] + s["hit"]).alias("stop"),
-                                            s["led"].alias("led")))).alias("out")),
-        lambda a: a["out"])
-
-
-def _beats(a: Column, b: Column) -> Column:
-    """Whether detection ``a`` contains ``b`` and ranks better."""
-    inside = (a["start"] <= b["start"]) & (a["stop"] >= b["stop"])
-    long_a, long_b = a["stop"] - a["start"], b["stop"] - b["start"]
-    return inside & ((a["priority"] > b["priority"]) | ((a["priority"] == b["priority"]) & (
-        (long_a > long_b) | ((long_a == long_b) & (a["rule"] < b["rule"])))))
+    steps = F.filter(F.zip_with(
+        F.split(text, regex), F.regexp_extract_all(text, regex, F.lit(0)),
+        lambda gap, hit: F.struct(_count(gap).alias("gap"), _count(hit).alias("hit"),
+                                  hit.rlike(f"^(?:{_CONTEXT})").alias("led"))), lambda s: s["hit"].isNotNull())
+
+    def spans(s: Column) -> Column:
+        stops = running(F.transform(s, lambda x: x["gap"] + x["hit"]), lambda a, x: F.coalesce(a, F.lit(0)) + x)
+        return F.zip_with(s, stops, lambda x, stop: F.struct(
+            (stop - x["hit"]).alias("start"), stop.alias("stop"), x["led"].alias("led")))
+    return let(steps, spans)
+
+
+def unsuppressed(found: Column) -> Column:
+    """Detections that none with a better rank contains, by start.
+
+    Sorted by start, then longest, best and first rule first, a detection comes
+    after all that contain it and rank better; of those before it, one with
+    at least its priority that ends no earlier is such a one.
+    """
+    ordered = F.transform(F.array_sort(F.transform(found, lambda d: F.struct(
+        d["start"].alias("start"), (-d["stop"]).alias("back"), (-d["priority"]).alias("worse"), d["rule"].alias("rule"),
+        d["label"].alias("label")))), lambda d: F.struct(
+            d["start"].alias("start"), (-d["back"]).alias("stop"), d["rule"].alias("rule"), d["label"].alias("label"),
+            (-d["worse"]).alias("priority")))
+
+    def reach(all_: Column, priority: int) -> Column:
+        stops = F.transform(all_, lambda d: F.when(d["priority"] >= priority, d["stop"]).otherwise(F.lit(-1)))
+        return running(stops, lambda a, x: F.greatest(a, x))  # greatest skips a null
+
+    def keep(all_: Column) -> Column:
+        return let(F.struct(*[reach(all_, p).alias(f"p{p}") for p in PRIORITIES]), lambda far: F.filter(
+            all_, lambda d, i: F.coalesce(F.coalesce(*[F.when(d["priority"] == p, F.get(far[f"p{p}"], i - 1))
+                                                       for p in PRIORITIES]) < d["stop"], F.lit(True))))
+    return let(ordered, keep)
 
 
 def live_rules(words: Column) -> Column:
@@ -307,7 +346,7 @@ def detections(words: Column, text: Column) -> Column:
         s["start"].alias("start"), s["stop"].alias("stop"), r["rule"].alias("rule"),
         r["label"].alias("label"),
         F.greatest(r["priority"], F.when(s["led"], F.lit(SENTENCE))).alias("priority")))))
-    return let(found, lambda all_: F.filter(all_, lambda d: ~F.exists(all_, lambda o: _beats(o, d))))
+    return unsuppressed(found)
 
 
 def base_places(text: Column) -> Column:
