@@ -15,8 +15,9 @@ shared by many items meets each document once.
 Defined results: null or empty text has no words and is never hit; an item
 without words has no window; items with one id and different texts are one
 item, also those with a null id, which counts in n_items and is the first
-element, null, of item_ids; rows equal in doc_id and text get the same result; empty
-tables give no hits.
+element, null, of item_ids; rows equal in doc_id and text get the same result; a
+text of any length is read whole; columns of any name pass through, but for the
+six that are added; empty tables give no hits.
 """
 
 from __future__ import annotations
@@ -165,13 +166,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     found = landed(runs.withColumnRenamed("__id", "f_id").withColumnRenamed("__text", "f_text").join(
         named, F.col("f_id").eqNullSafe(F.col("__id")) & (F.col("f_text") == F.col("__text"))).select(
         F.col("f_id").alias("__id"), F.col("f_text").alias("__text"), "__runs", "__items"), "hits")
-    base = docs.select(*keep).withColumn("__h", F.xxhash64("text"))
-    joined = base.join(found, base["doc_id"].eqNullSafe(found["__id"]) & (base["__h"] == found["__text"]), "left")
-    n_hit = F.coalesce(_covered(F.col("__runs")), F.lit(0).cast("long"))
-    return (joined.withColumn("n_words", F.size(split_words(F.col("text"), NON_WORD_ANY_CASE)).cast("long"))
-            .withColumn("n_hit", n_hit)
-            .withColumn("n_items", F.coalesce(F.size("__items"), F.lit(0)).cast("long"))
-            .withColumn("item_ids", F.coalesce("__items", F.array().cast("array<string>")))
-            .withColumn("spans", F.coalesce("__runs", F.array().cast("array<struct<start:int,stop:int>>")))
-            .withColumn("contaminated", (F.col("n_hit") > 0) & (FLAG_ONE_IN * F.col("n_hit") >= F.col("n_words")))
-            .select(*keep, *added))
+    # The row stays whole in one struct, so that no column of it clashes with the joined ones.
+    text = F.col("row")["text"]
+    found = found.select(F.col("__id").alias("f_id"), F.col("__text").alias("f_text"),
+                         F.col("__runs").alias("runs"), F.col("__items").alias("items"))
+    joined = docs.select(F.struct(*keep).alias("row")).join(
+        found, F.col("row")["doc_id"].eqNullSafe(F.col("f_id")) & (F.xxhash64(text) == F.col("f_text")), "left")
+    counted = joined.select("row", "runs", "items",
+                            F.size(split_words(text, NON_WORD_ANY_CASE)).cast("long").alias("n_words"),
+                            F.coalesce(_covered(F.col("runs")), F.lit(0).cast("long")).alias("n_hit"))
+    return counted.select(
+        *[F.col("row")[c].alias(c) for c in keep], "n_words", "n_hit",
+        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("item_ids"),
+        F.coalesce("runs", F.array().cast("array<struct<start:int,stop:int>>")).alias("spans"),
+        ((F.col("n_hit") > 0) & (FLAG_ONE_IN * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))

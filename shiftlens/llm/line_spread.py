@@ -8,8 +8,9 @@ and leave every document; other lines stay in place.
 
 Defined results: null text stays null with 0 lines; blank lines are never
 removed; a null site counts as one more site; a line repeated within one site
-counts once; rows equal in doc_id and text get the same result; an empty table
-gives an empty result.
+counts once; rows equal in doc_id and text get the same result; a text of any length is
+read whole; columns of any name pass through, but for n_lines and n_removed,
+which are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -62,14 +63,16 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, band: float
     bad = boilerplate(lines, min_sites, band).select("line")
     found = (lines.join(bad, "line", "left_semi")
              .groupBy("__id", "__h").agg(F.collect_set("line").alias("__bad")))
-    base = docs.select(*keep).withColumn("__x", F.xxhash64("text"))
-    joined = base.join(found, base["doc_id"].eqNullSafe(found["__id"]) & (base["__x"] == found["__h"]), "left")
-    kept = F.when(F.col("__bad").isNull(), lines_of(F.col("text"))).otherwise(
-        F.filter(lines_of(F.col("text")),
-                 lambda x: ~F.coalesce(F.array_contains(F.col("__bad"), line_hash(x)), F.lit(False))))
-    n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines_of(F.col("text")))).cast("long")
-    n_kept = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("__kept")).cast("long")
-    return (joined.withColumn("__kept", kept)
-            .withColumn("n_lines", n).withColumn("n_removed", n - n_kept)
-            .withColumn("text", F.when(F.col("text").isNotNull(), F.concat_ws("\n", "__kept")))
-            .select(*keep, "n_lines", "n_removed"))
+    # The row stays whole in one struct, so that no column of it clashes with the joined ones.
+    base = docs.select(F.struct(*keep).alias("row"))
+    found = found.select(F.col("__id").alias("f_id"), F.col("__h").alias("f_h"), F.col("__bad").alias("bad"))
+    text = F.col("row")["text"]
+    joined = base.join(found, F.col("row")["doc_id"].eqNullSafe(F.col("f_id")) & (F.xxhash64(text) == F.col("f_h")), "left")
+    kept = F.when(F.col("bad").isNull(), lines_of(text)).otherwise(
+        F.filter(lines_of(text), lambda x: ~F.coalesce(F.array_contains(F.col("bad"), line_hash(x)), F.lit(False))))
+    counted = joined.select("row", kept.alias("kept"))
+    n = F.when(text.isNull(), F.lit(0)).otherwise(F.size(lines_of(text))).cast("long")
+    n_kept = F.when(text.isNull(), F.lit(0)).otherwise(F.size("kept")).cast("long")
+    cleaned = F.when(text.isNotNull(), F.concat_ws("\n", "kept"))
+    return counted.select(*[(cleaned if c == "text" else F.col("row")[c]).alias(c) for c in keep],
+                          n.alias("n_lines"), (n - n_kept).alias("n_removed"))

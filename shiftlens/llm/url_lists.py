@@ -9,11 +9,16 @@ capture's day, and the latest one decides (as-of join).
 Captures are reduced to distinct (host, day) before the join, so a very
 common host meets the list once per day.
 
+The list is given by the caller; values are domains, hosts or addresses, in any
+case and with or without dots at their end.  :func:`derived_events` makes one
+for tables that hold none.
+
 Defined results: a null or hostless URL matches nothing; a null day matches
 nothing; an entry without a remove stays active; repeated adds restart the
 entry; of events on one day ``remove`` counts last; of entries that started
 on one day the longest value, then the alphabetically first category decides;
-empty tables give no matches.
+repeated captures each get a row; URLs of any length are read whole; columns of
+any name pass through, but for those that are added; empty tables give no matches.
 """
 
 from __future__ import annotations
@@ -32,22 +37,26 @@ SERVICE_LABELS = r"^(www|m|blog)\."
 
 
 def host_of(url: Column) -> Column:
-    host = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
+    """Lower-case host of a URL, with or without its scheme; an IPv6 one in brackets, no dots at its end."""
+    host = F.regexp_extract(F.lower(F.btrim(url)), r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:\[]+)", 1)
+    host = F.regexp_replace(host, r"\.+$", "")
     return F.when(host != "", host)
 
 
 def parents(host: Column) -> Column:
-    """The host and every parent domain of at least two labels."""
-    return let(F.split(host, r"\."), lambda p: F.transform(
+    """The host and every parent domain of at least two labels; an IP address has no parents."""
+    domains = let(F.split(host, r"\."), lambda p: F.transform(
         F.sequence(F.lit(1), F.greatest(F.size(p) - 1, F.lit(1))),
         lambda i: F.concat_ws(".", F.slice(p, i, F.size(p)))))
+    return F.when(host.rlike(r"^\[|^[0-9]+(\.[0-9]+){3}$"), F.array(host)).otherwise(domains)
 
 
 def intervals(events: DataFrame) -> DataFrame:
     """(value, category, start, stop) from list events (value, category, action, day)."""
     entry = Window.partitionBy("value", "category").orderBy("day", "action")
+    value = F.regexp_replace(F.lower(F.btrim(F.col("value"))), r"\.+$", "").alias("value")
     return (events.where(F.col("value").isNotNull() & F.col("day").isNotNull())
-            .select("value", "category", "action", "day").distinct()
+            .select(value, "category", "action", "day").distinct()
             .withColumn("stop", F.lead("day").over(entry))
             .where(F.col("action") == "add").select("value", "category", F.col("day").alias("start"), "stop"))
 
@@ -70,12 +79,14 @@ def active_entries(captures: DataFrame, events: DataFrame) -> DataFrame:
 def url_filter(captures: DataFrame, events: DataFrame) -> DataFrame:
     """Captures (id, url, day) with host, n_entries, categories, entry, listed_on, blocked."""
     added = ["host", "n_entries", "categories", "entry", "listed_on", "blocked"]
-    base = captures.select(*[c for c in captures.columns if c not in added]).withColumn("host", host_of(F.col("url")))
+    keep = [c for c in captures.columns if c not in added]
+    # The row stays whole in one struct, so that no column of it clashes with the joined ones.
+    base = captures.select(F.struct(*keep).alias("row"), host_of(F.col("url")).alias("host"), "day")
     found = active_entries(base, events).withColumnRenamed("host", "f_host").withColumnRenamed("day", "f_day")
     out = base.join(found, (F.col("host") == F.col("f_host")) & (F.col("day") == F.col("f_day")), "left")
-    return (out.withColumn("n_entries", F.coalesce("n_entries", F.lit(0).cast("long")))
-            .withColumn("blocked", F.col("n_entries") > 0)
-            .select(*[c for c in base.columns if c != "host"], *added))
+    n = F.coalesce("n_entries", F.lit(0).cast("long"))
+    return out.select(*[F.col("row")[c].alias(c) for c in keep], "host", n.alias("n_entries"), "categories", "entry",
+                      "listed_on", (n > 0).alias("blocked"))
 
 
 def dated(pages: DataFrame) -> DataFrame:
