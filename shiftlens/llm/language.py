@@ -6,9 +6,10 @@ one, ending at a uniform order.  The code length of a whole text under the
 frozen statistics is exact (no sampling, no prefixes); the language with the
 shortest code wins and the score is the posterior under equal priors.
 
-The trees are fitted on a bounded sample of labelled rows: whole texts in hash
-order up to ``TRAIN_BYTES`` over all languages together, which bounds the
-broadcast model at ``4 * TRAIN_BYTES`` tree entries.
+The trees are fitted on a bounded sample of labelled rows: distinct whole texts in
+hash order up to ``TRAIN_BYTES`` over all languages together, which bounds the
+broadcast model at ``4 * TRAIN_BYTES`` tree entries.  Of more than ``MAX_LANGS``
+labels those with the most bytes of distinct text are learned.
 
 Defined results: null text or text without a letter is ``und`` with score 0;
 a null doc_id is neither learned from nor held out; equal code lengths go to
@@ -26,9 +27,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import landed
 
 ORDER = 3
 TRAIN_BYTES = 4_000_000
+MAX_LANGS = 256  # labels learned: those with the most bytes of distinct text
 STEP_BYTES = 2_000_000
 UNKNOWN = "und"
 LETTER = r"\p{L}"
@@ -89,20 +92,28 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"lang": lang, "code": codes.astype(np.int64), "n": n.astype(np.int64)})
 
 
-def train(labelled: DataFrame, max_bytes: int = TRAIN_BYTES) -> dict[str, list[tuple]]:
+def train(labelled: DataFrame, max_bytes: int = TRAIN_BYTES, max_langs: int = MAX_LANGS) -> dict[str, list[tuple]]:
     """Frozen trees per language from rows (text, lang); see the module notes for the bound."""
+    # Copies count once: they neither fill the sample nor meet in one task.
     rows = labelled.where("text is not null and lang is not null and length(text) > 0").select(
-        "text", "lang", F.octet_length("text").cast("long").alias("bytes"), F.xxhash64("text", "lang").alias("h"))
-    totals = {r["lang"]: r["b"] for r in rows.groupBy("lang").agg(F.sum("bytes").alias("b")).collect()}
+        "lang", F.octet_length("text").cast("long").alias("bytes"), F.xxhash64("text", "lang").alias("h"))
+    distinct = landed(rows.groupBy("lang", "h").agg(F.max("bytes").alias("bytes")), "ppm-texts")
+    names = (distinct.groupBy("lang").agg(F.sum("bytes").alias("b")).orderBy(F.desc("b"), "lang").limit(max_langs))
+    totals = {r["lang"]: r["b"] for r in names.collect()}
     if not totals:
         return {}
     share = max(1, max_bytes // len(totals))
     # A first cut by hash keeps about twice the share, so the running sum orders few rows.
     rate = F.create_map(*[x for k, v in sorted(totals.items()) for x in (F.lit(k), F.lit(min(1.0, 2 * share / v)))])
-    first = rows.where(F.pmod("h", F.lit(1 << 30)) < F.element_at(rate, F.col("lang")) * float(1 << 30))
+    first = distinct.where((F.pmod("h", F.lit(1 << 30)) < F.try_element_at(rate, F.col("lang")) * float(1 << 30))
+                           & (F.col("bytes") <= share))
     run = Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sample = (first.where(F.col("bytes") <= share).withColumn("upto", F.sum("bytes").over(run))
-              .where(F.col("upto") <= share).select("text", "lang"))
+    picked = (first.withColumn("upto", F.sum("bytes").over(run)).where(F.col("upto") <= share)
+              .select(F.col("lang").alias("p_lang"), F.col("h").alias("p_h")))
+    # At most ``max_bytes`` of texts; the distinct ones are taken again after the join.
+    sample = (labelled.select("text", "lang").join(
+        F.broadcast(picked), (F.col("lang") == F.col("p_lang")) & (F.xxhash64("text", "lang") == F.col("p_h")), "left_semi")
+        .distinct())
     counted = (sample.mapInPandas(_count, "lang string, code long, n long")
                .groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas())
     return {lang: freeze(part["code"].to_numpy().astype(np.uint32), part["n"].to_numpy().astype(np.float64))
