@@ -332,7 +332,18 @@ OPERATORS = {
     "clean": lambda s, d: decontaminate.decontaminate(d, s.createDataFrame([(1, "same text here")], "item_id long, text string")),
     "secrets": lambda s, d: secrets.scan(d), "language": lambda s, d: language.identify(d),
     "simhash": lambda s, d: simhash.near_duplicates(d), "license": lambda s, d: licenses.summarise(licenses.scan(d)),
-    "mix": lambda s, d: mixing.mix(d), "lines": lambda s, d: line_spread.remove_boilerplate(d)}
+    "mix": lambda s, d: mixing.mix(d), "lines": lambda s, d: line_spread.remove_boilerplate(d),
+    "urls": lambda s, d: url_lists.url_filter(*captures(s, d))}
+
+
+def captures(spark, docs):
+    """Captures of odd URLs (one per row of ``docs``) and a list with ties, repeats and nulls."""
+    url = (F.when(F.col("doc_id") == 1, F.lit(None)).when(F.col("doc_id") == 2, "").when(F.col("doc_id") == 5, "http://bad.org/")
+           .when(F.col("doc_id") == 4, F.concat(F.lit("http://bad.org/"), "text")).otherwise("no host"))
+    events = spark.createDataFrame(
+        [("bad.org", c, "add", "2024-01-01") for c in ("spam", "ads", "ads")] + [(None, "ads", "add", None)],
+        "value string, category string, action string, day string").withColumn("day", F.to_date("day"))
+    return docs.withColumn("url", url).withColumn("day", F.lit("2024-02-01").cast("date")), events
 
 
 @pytest.mark.parametrize("name", sorted(OPERATORS))
@@ -344,10 +355,161 @@ def test_odd_rows_and_empty_tables(spark, name):
     if name == "exact":
         assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in out if r["doc_id"] in (5, 6)} == {
             5: (5, 3, True), 6: (5, 3, False)}
+    if name == "urls":
+        assert {r["doc_id"]: (r["n_entries"], r["categories"]) for r in out if r["blocked"]} == {
+            4: (2, "ads,spam"), 5: (2, "ads,spam")}
     if name == "language":
         assert {r["lang_pred"] for r in out if r["doc_id"] in (1, 2, 3, 7)} == {"und"}
 
 
+CLASHES = ("row", "runs", "items", "f_id", "f_text", "f_h", "f_host", "f_day", "bad", "kept", "host", "__items", "__bad",
+           "__id", "__h", "__text", "__words", "__runs", "__x", "__kept", "n_hit")
+
+
+@pytest.mark.parametrize("name", ["clean", "lines", "urls"])
+def test_clashing_columns_pass_through(spark, name):
+    plain = spark.createDataFrame(ODD, DOC)
+    wide = plain.select("*", *[F.lit(f"own {c}").alias(c) for c in CLASHES])
+    want = OPERATORS[name](spark, plain)
+    got = OPERATORS[name](spark, wide)
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    extra = [c for c in CLASHES if c not in want.columns]
+    assert set(map(tuple, got.select(*extra).collect())) == {tuple(f"own {c}" for c in extra)}
+
+
+def test_hosts_and_parents(spark):
+    urls = {"http://[::1]:80/x": "[::1]", "http://bad.org./": "bad.org", "//Bad.org/x": "bad.org", "bad.org/x": None,
+            " https://u:p@a.bad.org:8/": "a.bad.org", "http:///x": None, "http://10.0.0.1/": "10.0.0.1", "http://.../": None}
+    rows = spark.createDataFrame([(u,) for u in urls], "url string").select(
+        "url", url_lists.host_of(F.col("url")).alias("host"))
+    assert {r["url"]: r["host"] for r in rows.collect()} == urls
+    got = {r["host"]: r["p"] for r in rows.where("host is not null").select(
+        "host", url_lists.parents(F.col("host")).alias("p")).collect()}
+    assert got == {"[::1]": ["[::1]"], "bad.org": ["bad.org"], "a.bad.org": ["a.bad.org", "bad.org"], "10.0.0.1": ["10.0.0.1"]}
+
+
+def test_events_of_one_day_and_one_start(spark):
+    from datetime import date
+    day = date(2024, 3, 1)
+    events = spark.createDataFrame(
+        [("bad.org", "spam", "add", day), ("bad.org", "spam", "remove", day), ("x.bad.org", "ads", "add", day),
+         ("X.Bad.org.", "ads", "add", day), ("y.x.bad.org", "zoo", "add", day), ("y.x.bad.org", "ads", "add", day)],
+        "value string, category string, action string, day date")
+    caps = spark.createDataFrame([("http://y.x.bad.org", day), ("http://y.x.bad.org", day), ("http://bad.org", day)],
+                                 "url string, day date")
+    got = [tuple(r) for r in url_lists.url_filter(caps, events).select("n_entries", "categories", "entry").collect()]
+    assert sorted(got, key=str) == sorted([(3, "ads,zoo", "y.x.bad.org")] * 2 + [(0, None, None)], key=str)
+
+
+def test_running_equals_accumulate(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.integers(0, 50, n).tolist()) for i, n in enumerate((0, 1, 2, 63, 64, 65, 128, 129, 5000))]
+    df = spark.createDataFrame(rows, "i int, v array<int>")
+    got = {r["i"]: (r["s"], r["m"]) for r in df.select(
+        "i", licenses.running(F.col("v"), lambda a, x: F.coalesce(a, F.lit(0)) + x).alias("s"),
+        licenses.running(F.col("v"), lambda a, x: F.greatest(a, x)).alias("m")).collect()}
+    assert got == {i: (np.cumsum(v, dtype=int).tolist(), np.maximum.accumulate(v).tolist() if v else []) for i, v in rows}
+
+
+def license_hits(text, rules):
+    """Detections by trying every rule, and suppression by comparing every pair."""
+    w = words(text)
+    padded = " " + "  ".join(w) + " "
+    found = []
+    for rule, label, priority, _, regex in rules:
+        for m in re.finditer(regex, padded):
+            start = padded[:m.start()].count(" ") // 2
+            stop = start + m.group().count(" ") // 2
+            led = re.match(f"(?:{licenses._CONTEXT})", m.group())
+            found.append((start, stop, max(priority, licenses.SENTENCE) if led else priority, rule, label))
+
+    def beats(a, b):
+        return (a[0] <= b[0] and a[1] >= b[1]
+                and (a[2], a[1] - a[0], -a[3]) > (b[2], b[1] - b[0], -b[3]))
+    return {(d[0], d[1], d[3], d[4], d[2]) for d in found if not any(beats(o, d) for o in found)}
+
+
+def test_license_detections_against_brute_force(spark):
+    rules = licenses.signatures()
+    notices = [" ".join(s for s in ("SPDX-License-Identifier: MIT", "licensed under the Apache License, Version 2.0",
+                                    "the GNU General Public License version 3", "BSD 3-Clause License", "cc by 4.0"))] * 3
+    docs = documents(spark).select("doc_id", "text").unionByName(
+        spark.createDataFrame([(-1, " and ".join(notices)), (-2, "mit license " * 200)], "doc_id long, text string"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: {tuple(d) for d in r["found"]} for r in licenses.scan(docs).select(
+        "doc_id", F.transform("found", lambda d: F.struct(
+            d["start"], d["stop"], d["rule"], d["label"], d["priority"])).alias("found")).collect()}
+    for doc, text in texts.items():
+        held = set(words(text))
+        assert got[doc] == license_hits(text, [r for r in rules if set(r[3]) <= held]), doc
+
+
+def test_license_time_is_linear_in_the_matches(spark):
+    import time
+    notice = "Apache License, Version 2.0. MIT License. GNU General Public License v3. "
+    times = {}
+    for n in (500, 500, 5000, 50_000):  # words: 6,500, 65,000 and 650,000; the first run compiles
+        docs = spark.createDataFrame([(n, notice * n)], "doc_id long, text string")
+        began = time.time()
+        row = licenses.summarise(licenses.scan(docs)).first()
+        times[n] = time.time() - began
+        assert row["n_base"] == 3 * n and row["last_word"] == row["n_words"] - 5
+    assert times[50_000] < 30 * times[5000] + 10, times
+
+
+def fill(budget, caps, weights):
+    """Water filling by bisection."""
+    if sum(caps) <= budget:
+        return list(caps)
+    low, high = 0.0, max(c / w for c, w in zip(caps, weights))
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(c, mid * w) for c, w in zip(caps, weights)) <= budget else (low, mid)
+    return [min(c, low * w) for c, w in zip(caps, weights)]
+
+
+def tree_budgets(leaves, total, epochs, weights, alpha):
+    """Budgets of leaves {path: supply} top-down, with given weights {path: weight} of some levels."""
+    given = {len(p) for p in weights}
+    leaves = {p: s for p, s in leaves.items() if all(weights.get(p[:n], 0) > 0 for n in given)}
+    budget = {(): total * sum(leaves.values())}
+    for depth in (1, 2, 3):
+        for parent in {p[:depth - 1] for p in leaves}:
+            nodes = sorted({p[:depth] for p in leaves if p[:depth - 1] == parent}, key=str)
+            supply = [sum(s for p, s in leaves.items() if p[:depth] == n) for n in nodes]
+            w = [weights[n] if depth in given else x ** alpha for n, x in zip(nodes, supply)]
+            budget.update(zip(nodes, fill(budget[parent], [epochs * x for x in supply], w)))
+    return {p: budget[p] for p in leaves}
+
+
+@pytest.mark.parametrize("levels", [(), (1, 3), (1, 2, 3)])
+def test_budgets_with_given_weights_equal_water_filling(spark, levels):
+    rng = np.random.default_rng(5)
+    leaves = {(d, g, f"s{i}"): int(rng.integers(1, 3000)) for d in ("a", "b", None) for g in ("en", None)
+              for i in range(int(rng.integers(1, 40)))}
+    weights = {p[:n]: float(rng.integers(0 if n == 3 else 1, 9)) for n in levels for p in leaves}
+    tables = {mixing.LEVELS[n - 1]: spark.createDataFrame(
+        [(*p, w) for p, w in weights.items() if len(p) == n],
+        ", ".join([f"{c} string" for c in mixing.LEVELS[:n]] + ["weight double"])) for n in levels}
+    df = spark.createDataFrame([(*p, s) for p, s in leaves.items()], "domain string, lang string, source string, supply long")
+    for share in (0.4, 1.7):
+        got = {tuple(r)[:3]: r["budget"] for r in mixing.budgets(df, share, 2, 0.5, tables).collect()}
+        want = tree_budgets(leaves, share, 2, weights, 0.5)
+        assert set(got) == set(want)
+        assert all(abs(got[p] - want[p]) <= 1e-2 * max(1.0, want[p]) for p in want)
+
+
+def test_copies_do_not_fill_the_language_sample(spark):
+    rows = [("en", "the same english words again")] * 400 + [("en", f"plain english text number {i}") for i in range(50)]
+    rows += [("fr", f"un texte en français numéro {i}") for i in range(50)] + [(f"junk{i}", "?") for i in range(30)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    trees = language.train(df, max_bytes=8000, max_langs=3)
+    assert {"en", "fr"} <= set(trees) and len(trees) <= 3
+    got = language.identify(spark.createDataFrame([(1, "un autre texte français"), (2, "plain words in english")],
+                                                  "doc_id long, text string"), df, 8000).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == {1: "fr", 2: "en"}
+
+
 def test_pipeline_stages_on_odd_rows(spark, tmp_path):
     docs = spark.createDataFrame(ODD, DOC)
     for rows, name in ((docs, "odd"), (docs.limit(0), "none")):
