@@ -13,13 +13,16 @@ each other there cannot share enough.  For sets above ``K`` the bound 28 of 64
 fails for a pair of similarity 0.8 with a chance below 1e-10; for small sets it
 is exact.  Common passages rank last and are seldom indexed.
 
-*How lists are worked off.*  All pairs of a list are never formed.  In each
+*How lists are worked off.*  Pairs of a list are never all rows.  In each
 round up to ``width`` members of a list lead: they meet every other member of
 another component, then leave the list with all their pairs decided.  Links
 found merge components, and a list whose members are all one component is done.
 The width grows from round to round, so a list of any length ends; no list,
-pair or partner is capped.  A list of many classes that are alike but not linked
-still costs the square of its open members: each of them must be refused.
+pair or partner is capped.  The first round, of one
+leader a list, estimates pair by pair on the ``K`` values; later rounds test the
+members of a list in blocks beside its leaders on the bottom ``LONG_K`` values, where
+a refused pair is no row.  A list of many classes that are alike but not linked still
+costs comparisons in the square of its open members: each of them must be refused.
 
 Defined results: null or wordless text has an empty set, is linked with nothing
 and is its own component; a text of fewer than four words is one shingle; a
@@ -50,8 +53,12 @@ NEEDED_SMALL = 48  # bound for sets just below K, whose partner may be above it
 SIMILAR, OF = 80, 100
 # Leaders a list by round (the last for any later one), and whether members with many links lead before open ones.
 # Linked leaders first draw the open members of a list of copies in, for a few pairs each; open members lead last.
-ROUNDS = ((1, True), (8, True), (64, False), (512, False))
+ROUNDS = ((1, True), (8, True), (64, True), (512, False))
 PAIRS_A_PART = 1000
+BLOCK = 256         # members of a list tested in one row group beside its leaders
+LONG_K = 256        # bottom values compared in blocks
+LONG_NEEDED = 156   # of them; fewer at similarity 0.8 with a chance below 1e-10
+BROADCAST_IDS = 2_000_000
 SLICE = 1 << 20
 KNOWN_WORDS = 1 << 18
 
@@ -180,19 +187,27 @@ def verified(pairs: DataFrame, leaders: DataFrame, sets: DataFrame) -> DataFrame
             .select(F.col("member").alias("a"), F.col("leader").alias("b")))
 
 
-def full_sets(docs: DataFrame, classes: DataFrame, lists: DataFrame) -> DataFrame:
-    """(cls, shingles) of every class in ``lists``, from one document of each, landed once."""
-    asked = lists.select("cls").distinct().join(classes.select("cls", "digest", "first"), "cls")
-    ids = asked.select("first").distinct()
+def full_sets(docs: DataFrame, classes: DataFrame, asked: DataFrame) -> DataFrame:
+    """(cls, shingles) of every class in ``asked``, from one document of each, landed once."""
+    wanted = asked.select("cls").distinct().join(classes.select("cls", "digest", "first"), "cls")
+    wanted = landed(wanted, "wanted-sets")
+    ids = wanted.select("first").distinct()
+    if wanted.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)  # eight bytes each; above the bound texts are joined by a shuffle
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     sets = (rows.join(ids, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
             .mapInArrow(_full, "digest binary, shingles array<long>"))
-    return landed(sets.join(asked.select("cls", "digest"), "digest")
-                  .groupBy("cls").agg(F.max("shingles").alias("shingles")), "shingle-sets")
+    # One exchange of the sets: rows repeating a doc_id collapse on the key of the join.
+    return landed(sets.groupBy("digest").agg(F.max("shingles").alias("shingles"))
+                  .join(wanted.select("cls", "digest"), "digest").select("cls", "shingles"), "shingle-sets")
 
 
-def _round(lists: DataFrame, labels: DataFrame | None, width: int, linked_first: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pairs to test, their leaders, lists without those); lists of one component are gone."""
+def _open(lists: DataFrame, labels: DataFrame | None, width: int, linked_first: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows of open lists beside their leaders, the leaders, lists without those).
+
+    Lists of one component are gone.  ``wanted`` holds the leaders a row has to be tested
+    with, ``part`` deals a leader's pairs.
+    """
     rows = (lists.withColumn("root", F.col("cls")).withColumn("degree", F.lit(0).cast("long")) if labels is None else
             landed(lists.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
                    .select("value", "cls", "n", F.coalesce("root", "cls").alias("root"),
@@ -204,17 +219,61 @@ def _round(lists: DataFrame, labels: DataFrame | None, width: int, linked_first:
     lead = (rows.withColumn("r", F.row_number().over(first)).where(F.col("r") <= width)
             .groupBy("value").agg(F.collect_list(F.struct("cls", "n", "root")).alias("leaders")))
     led = landed(still.join(lead, "value"), "leaders")
-    met = landed(join_groups(rows, led, "value", "members"), "led-rows")
     near = F.filter("leaders", lambda x: (x["root"] != F.col("root")) & (
         F.least(x["n"], F.col("n")) * OF >= F.greatest(x["n"], F.col("n")) * SIMILAR))
     parts = F.ceil(F.col("members") / PAIRS_A_PART).cast("int")
-    pairs = (met.select(F.col("cls").alias("member"), F.pmod(F.xxhash64("cls"), parts).cast("int").alias("part"),
-                        F.explode(near).alias("x"))
-             .groupBy("member", F.col("x.cls").alias("leader")).agg(F.min("part").alias("part")))
+    hashed = F.xxhash64("cls")
+    met = landed(join_groups(rows, led, "value", "members").select(
+        "value", "cls", "n", F.pmod(hashed, parts).cast("int").alias("part"),
+        F.pmod(hashed, F.ceil(F.col("members") / BLOCK)).cast("int").alias("block"),
+        F.transform(near, lambda x: x["cls"]).alias("wanted"),
+        F.exists("leaders", lambda x: x["cls"] == F.col("cls")).alias("leads")), "led-rows")
     leaders = (led.select(F.explode("leaders.cls").alias("leader"), parts.alias("parts"))
                .groupBy("leader").agg(F.max("parts").alias("parts")))
-    stays = ~F.exists("leaders", lambda x: x["cls"] == F.col("cls"))
-    return pairs, leaders, met.where(stays).select("value", "cls", "n")
+    return met, landed(leaders, "pair-leaders"), met.where(~F.col("leads")).select("value", "cls", "n")
+
+
+def single_pairs(met: DataFrame, leaders: DataFrame, classes: DataFrame) -> DataFrame:
+    """Estimated pairs (member, leader, part) of a round of one leader a list."""
+    pairs = (met.select(F.col("cls").alias("member"), "part", F.explode("wanted").alias("leader"))
+             .groupBy("member", "leader").agg(F.min("part").alias("part")))
+    return estimated(pairs, leaders, classes)
+
+
+def _passes(na: Column, a: Column, nb: Column, b: Column) -> Column:
+    """Whether the bottom ``LONG_K`` values do not rule a link out; sets no longer than that are known whole."""
+    both = F.size(F.array_intersect(a, b))
+    whole = both * OF >= (na + nb - both) * SIMILAR
+    union = F.slice(F.sort_array(F.array_union(a, b)), 1, LONG_K)
+    agree = F.size(F.array_intersect(F.array_intersect(union, a), b))
+    return F.when((na <= LONG_K) & (nb <= LONG_K), whole).otherwise(agree * LONG_K >= F.size(union) * LONG_NEEDED)
+
+
+def blocked_pairs(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """Estimated pairs (member, leader, part) of a round of many leaders a list.
+
+    A pair is tested in the first list its member meets it in.  Members of a list
+    go in blocks of about ``BLOCK``, each beside the leaders that any of them wants, so
+    a sketch moves once a block and refused pairs never become rows.
+    """
+    low = sets.select("cls", F.size("shingles").alias("n"), F.slice("shingles", 1, LONG_K).alias("low"))
+    by_member = (met.where(F.size("wanted") > 0).groupBy(F.col("cls").alias("member"))
+                 .agg(F.sort_array(F.collect_list(F.struct("value", "block", "part", "wanted"))).alias("lists")))
+    new = F.transform("lists", lambda x, i: F.struct(
+        x["value"].alias("value"), x["block"].alias("block"), x["part"].alias("part"),
+        F.array_except(x["wanted"], F.flatten(F.transform(F.slice("lists", 1, i), lambda y: y["wanted"]))).alias("wanted")))
+    asked = landed(by_member.select("member", F.explode(F.filter(new, lambda x: F.size(x["wanted"]) > 0)).alias("x"))
+                   .select("member", "x.*"), "block-members")
+    leads = landed(asked.groupBy("value", "block").agg(F.array_distinct(F.flatten(F.collect_list("wanted"))).alias("all"))
+                   .select("value", "block", F.explode("all").alias("leader")), "block-leaders")
+    asks = leads.groupBy("leader").agg(F.count(F.lit(1)).alias("asks"))
+    tables = landed(asks.join(low.withColumnRenamed("cls", "leader"), "leader"), "leader-sketches")
+    beside = (join_groups(leads, tables, "leader", "asks").groupBy("value", "block")
+              .agg(F.collect_list(F.struct("leader", F.col("n").alias("n"), "low")).alias("leaders")))
+    tested = (asked.join(low.withColumnRenamed("cls", "member"), "member").join(beside, ["value", "block"])
+              .select("member", "part", F.filter("leaders", lambda x: F.array_contains("wanted", x["leader"]) & _passes(
+                  F.col("n"), F.col("low"), x["n"], x["low"])).alias("hits")))
+    return tested.select("member", F.explode(F.transform("hits", lambda x: x["leader"])).alias("leader"), "part")
 
 
 def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
@@ -222,13 +281,12 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
     lists = inverted_lists(classes)
     sets, edges, labels = None, None, None
     for width, linked_first in chain(ROUNDS, repeat(ROUNDS[-1])):
-        pairs, leaders, lists = _round(lists, labels, width, linked_first)
-        leaders = landed(leaders, "pair-leaders")
-        pairs = landed(estimated(pairs, leaders, classes), "pairs")
+        met, leaders, lists = _open(lists, labels, width, linked_first)
+        pairs = landed(single_pairs(met, leaders, classes) if sets is None else blocked_pairs(met, sets), "pairs")
+        if sets is None:
+            named = pairs.select(F.explode(F.array("member", "leader")).alias("cls"))
+            sets = full_sets(docs, classes, named.unionByName(lists.select("cls")))
         if pairs.limit(1).count():
-            if sets is None:
-                named = pairs.select(F.explode(F.array("member", "leader")).alias("cls"))
-                sets = full_sets(docs, classes, named.unionByName(lists.select("cls")))
             links = landed(verified(pairs, leaders, sets), "links")
             edges = links if edges is None else edges.unionByName(links)
             labels = components(edges)
