@@ -213,3 +213,15 @@ def test_components_of_hub_chain_and_ring(spark):
     edges = [(5, i) for i in range(100, 300)] + [(i, i + 1) for i in range(1000, 1040)] + [(7, 8), (8, 9), (9, 7)]
     got = dict(tuple(r[:2]) for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**{i: 5 for i in [5, *range(100, 300)]}, **{i: 1000 for i in range(1000, 1041)}, 7: 7, 8: 7, 9: 7}
+
+
+@pytest.mark.parametrize("long_k, needed", [(256, 156), (64, 28)])
+def test_blocks_refuse_alike_texts_and_find_links(spark, monkeypatch, long_k, needed):
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    monkeypatch.setattr(minhash, "LONG_K", long_k)
+    monkeypatch.setattr(minhash, "LONG_NEEDED", needed)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(400)]
+    docs = [(i, " ".join(changed(rng, base, rng.randint(0, 40)))) for i in range(150)]  # few of them are linked
+    got = rows_of(minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")), *MINHASH)
+    assert got == brute_links(docs) and 1 < len({r[2] for r in got}) < 150
