@@ -242,8 +242,8 @@ def single_pairs(met: DataFrame, leaders: DataFrame, classes: DataFrame) -> Data
 
 def _passes(na: Column, a: Column, nb: Column, b: Column) -> Column:
     """Whether the bottom ``LONG_K`` values do not rule a link out; sets no longer than that are known whole."""
-    both = F.size(F.array_intersect(a, b))
-    whole = both * OF >= (na + nb - both) * SIMILAR
+    # Jaccard >= SIMILAR / OF solved for the intersection, which is then computed once.
+    whole = F.size(F.array_intersect(a, b)) * (OF + SIMILAR) >= (na + nb) * SIMILAR
     union = F.slice(F.sort_array(F.array_union(a, b)), 1, LONG_K)
     agree = F.size(F.array_intersect(F.array_intersect(union, a), b))
     return F.when((na <= LONG_K) & (nb <= LONG_K), whole).otherwise(agree * LONG_K >= F.size(union) * LONG_NEEDED)
