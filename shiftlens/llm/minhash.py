@@ -39,6 +39,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -240,13 +241,76 @@ def single_pairs(met: DataFrame, leaders: DataFrame, classes: DataFrame) -> Data
     return estimated(pairs, leaders, classes)
 
 
-def _passes(na: Column, a: Column, nb: Column, b: Column) -> Column:
-    """Whether the bottom ``LONG_K`` values do not rule a link out; sets no longer than that are known whole."""
-    # Jaccard >= SIMILAR / OF solved for the intersection, which is then computed once.
-    whole = F.size(F.array_intersect(a, b)) * (OF + SIMILAR) >= (na + nb) * SIMILAR
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, LONG_K)
-    agree = F.size(F.array_intersect(F.array_intersect(union, a), b))
-    return F.when((na <= LONG_K) & (nb <= LONG_K), whole).otherwise(agree * LONG_K >= F.size(union) * LONG_NEEDED)
+def _lengths(lists: pa.Array) -> np.ndarray:
+    return pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _column(table: pa.Table, name: str) -> pa.Array:
+    return table.column(name).combine_chunks()
+
+
+def _first_meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per (member, list) with the leaders that no earlier list of the member names."""
+    for batch in batches:
+        lists = batch.column("lists")
+        meetings, a_member = lists.flatten(), _lengths(lists)
+        wanted = meetings.field("wanted")
+        leaders = wanted.flatten().to_numpy(zero_copy_only=False)
+        meeting = np.repeat(np.arange(len(wanted)), _lengths(wanted))
+        ends = np.concatenate([[0], np.cumsum(_lengths(wanted))])[np.concatenate([[0], np.cumsum(a_member)])]
+        first = np.concatenate([np.empty(0, dtype=np.int64)] + [
+            lo + np.sort(np.unique(leaders[lo:hi], return_index=True)[1]) for lo, hi in zip(ends[:-1], ends[1:])])
+        left = np.bincount(meeting[first], minlength=len(wanted))
+        offsets = np.concatenate([[0], np.cumsum(left)]).astype(np.int32)
+        new = pa.RecordBatch.from_arrays(
+            [batch.column("member").take(pa.array(np.repeat(np.arange(len(lists)), a_member)))]
+            + [meetings.field(name) for name in ("value", "block", "part")]
+            + [pa.ListArray.from_arrays(pa.array(offsets), pa.array(leaders[first], pa.int64()))],
+            ["member", "value", "block", "part", "wanted"])
+        yield new.filter(pa.array(left > 0))
+
+
+def _block_hits(members: pa.Table, leaders: pa.Table) -> pa.Table:
+    """(member, leader, part) of wanted pairs of one block that their sketches do not rule out.
+
+    Up to the smaller of two sketches' last values both are complete, so their union there
+    is a bottom-k sketch of the union with k of at least ``LONG_K``, and every value shared counts.
+    """
+    if not members.num_rows or not leaders.num_rows:
+        return pa.table({name: pa.array([], pa.int64()) for name in ("member", "leader", "part")})
+    top = np.iinfo(np.int64).max
+    ids = _column(leaders, "leader").to_numpy()
+    order = np.argsort(ids)
+    rows = np.repeat(np.arange(members.num_rows), _lengths(_column(members, "wanted")))
+    named = order[np.searchsorted(ids, _column(members, "wanted").flatten().to_numpy(), sorter=order)]
+    asked = np.zeros((len(ids), members.num_rows), dtype=bool)
+    asked[named, rows] = True
+
+    size = _column(members, "n").to_numpy()
+    held = _column(members, "low").flatten().to_numpy()
+    ends = np.cumsum(_lengths(_column(members, "low")))
+    starts, last = np.concatenate([[0], ends[:-1]]), np.where(size <= LONG_K, top, held[ends - 1])
+    values = _column(leaders, "low").flatten().to_numpy()
+    stops = np.concatenate([[0], np.cumsum(_lengths(_column(leaders, "low")))])
+    known, code = np.unique(values, return_inverse=True)
+    at = np.minimum(np.searchsorted(known, held), len(known) - 1)
+    at[known[at] != held] = len(known)  # a value no leader holds
+    mark = np.zeros(len(known) + 1, dtype=bool)
+    hits = np.zeros_like(asked)
+    for j, n in enumerate(_column(leaders, "n").to_numpy()):
+        mine = slice(stops[j], stops[j + 1])
+        end = top if n <= LONG_K else values[mine][-1]
+        mark[code[mine]] = True
+        agree = np.add.reduceat(mark[at], starts, dtype=np.int64)
+        mark[code[mine]] = False
+        union = (np.add.reduceat(held <= end, starts, dtype=np.int64)
+                 + np.searchsorted(values[mine], last, side="right") - agree)
+        # Sets no longer than the sketch are known whole: the rule itself decides.
+        whole = (size <= LONG_K) & (n <= LONG_K)
+        hits[j] = asked[j] & np.where(whole, agree * OF >= union * SIMILAR, agree * LONG_K >= union * LONG_NEEDED)
+    leader, member = np.nonzero(hits)
+    return pa.table({"member": _column(members, "member").take(pa.array(member)), "leader": pa.array(ids[leader]),
+                     "part": _column(members, "part").cast(pa.int64()).take(pa.array(member))})
 
 
 def blocked_pairs(met: DataFrame, sets: DataFrame) -> DataFrame:
@@ -254,26 +318,23 @@ def blocked_pairs(met: DataFrame, sets: DataFrame) -> DataFrame:
 
     A pair is tested in the first list its member meets it in.  Members of a list
     go in blocks of about ``BLOCK``, each beside the leaders that any of them wants, so
-    a sketch moves once a block and refused pairs never become rows.
+    a sketch moves once a block and refused pairs never become rows.  A block is one
+    Arrow group: some 256 members and at most the round's leaders, 2 KB each.
     """
-    low = sets.select("cls", F.size("shingles").alias("n"), F.slice("shingles", 1, LONG_K).alias("low"))
+    low = sets.select("cls", F.size("shingles").cast("long").alias("n"), F.slice("shingles", 1, LONG_K).alias("low"))
     by_member = (met.where(F.size("wanted") > 0).groupBy(F.col("cls").alias("member"))
                  .agg(F.sort_array(F.collect_list(F.struct("value", "block", "part", "wanted"))).alias("lists")))
-    new = F.transform("lists", lambda x, i: F.struct(
-        x["value"].alias("value"), x["block"].alias("block"), x["part"].alias("part"),
-        F.array_except(x["wanted"], F.flatten(F.transform(F.slice("lists", 1, i), lambda y: y["wanted"]))).alias("wanted")))
-    asked = landed(by_member.select("member", F.explode(F.filter(new, lambda x: F.size(x["wanted"]) > 0)).alias("x"))
-                   .select("member", "x.*"), "block-members")
+    asked = landed(by_member.mapInArrow(
+        _first_meetings, "member long, value long, block int, part int, wanted array<long>"), "block-members")
     leads = landed(asked.groupBy("value", "block").agg(F.array_distinct(F.flatten(F.collect_list("wanted"))).alias("all"))
                    .select("value", "block", F.explode("all").alias("leader")), "block-leaders")
     asks = leads.groupBy("leader").agg(F.count(F.lit(1)).alias("asks"))
     tables = landed(asks.join(low.withColumnRenamed("cls", "leader"), "leader"), "leader-sketches")
-    beside = (join_groups(leads, tables, "leader", "asks").groupBy("value", "block")
-              .agg(F.collect_list(F.struct("leader", F.col("n").alias("n"), "low")).alias("leaders")))
-    tested = (asked.join(low.withColumnRenamed("cls", "member"), "member").join(beside, ["value", "block"])
-              .select("member", "part", F.filter("leaders", lambda x: F.array_contains("wanted", x["leader"]) & _passes(
-                  F.col("n"), F.col("low"), x["n"], x["low"])).alias("hits")))
-    return tested.select("member", F.explode(F.transform("hits", lambda x: x["leader"])).alias("leader"), "part")
+    beside = join_groups(leads, tables, "leader", "asks").select("value", "block", "leader", "n", "low")
+    members = asked.join(low.withColumnRenamed("cls", "member"), "member")
+    return (members.groupBy("value", "block").cogroup(beside.groupBy("value", "block"))
+            .applyInArrow(_block_hits, "member long, leader long, part long")
+            .withColumn("part", F.col("part").cast("int")))
 
 
 def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
