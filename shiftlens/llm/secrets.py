@@ -124,7 +124,8 @@ def scan(docs: DataFrame, class_rows: int = CLASS_ROWS) -> DataFrame:
     else:
         vectors = VectorAssembler(inputCols=FEATURES, outputCol="__v")
         forest = RandomForestClassifier(featuresCol="__v", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED)
-        model = forest.fit(vectors.transform(sample))
+        # Without its training summary, which holds the session (see operators/ml.py).
+        model = forest.fit(vectors.transform(sample)).copy()
         scored = model.transform(vectors.transform(found)).withColumn(
             "score", vector_to_array("probability")[1])
     return scored.select(*out, "score", (F.col("score") >= 0.5).alias("is_secret"))

@@ -71,7 +71,9 @@ def _fit_fold(train: DataFrame, test: DataFrame, cols, num_trees: int, max_depth
     tr = assembler.transform(train.join(F.broadcast(weights), "label"))
     rf = RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, seed=seed, weightCol="w",
                                 labelCol="label", featuresCol="features")
-    model = rf.fit(tr)
+    # The copy leaves the training summary behind: that one holds the session, which tasks cannot
+    # take along once any query of the session has observed metrics.
+    model = rf.fit(tr).copy()
     scored = model.transform(assembler.transform(test))
     return scored.select("organization_id", "label", vector_to_array("probability")[1].alias("score"))
 
