@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from shiftlens.functions.columns import r6
 from shiftlens.operators.prefix import global_prefix_sum, null_safe_join
 from shiftlens.operators.stats import roc_auc
+from shiftlens.session import landed_copy
 from shiftlens.spec import FEATURE_SETS
 
+MIN_PARTITIONS = 8          # of a training table
+ROWS_A_PARTITION = 50_000   # of a training table, at most
+
 
 def feature_sets(org: DataFrame, sets=FEATURE_SETS) -> DataFrame:
     """Each organisation's assembled feature vectors, in long form.
@@ -78,6 +82,16 @@ def _fit_fold(train: DataFrame, test: DataFrame, cols, num_trees: int, max_depth
     return scored.select("organization_id", "label", vector_to_array("probability")[1].alias("score"))
 
 
+def training_partitions(rows: int) -> int:
+    """Partitions of a training table, from its rows alone.
+
+    In every pass over a level each partition of a forest's input builds and sends the
+    histograms of all open nodes of all trees, however few rows it holds: work and shuffle
+    of a fit grow with partitions times nodes.
+    """
+    return max(MIN_PARTITIONS, -(-rows // ROWS_A_PARTITION))
+
+
 def rf_cv_auc(org: DataFrame, sets=FEATURE_SETS, k: int = 5, num_trees: int = 100, max_depth: int = 10,
               seed: int = 42, parallelism: int = 8, train_partitions: int | None = None) -> DataFrame:
     """Mean and population sd of the out-of-fold ROC-AUC per feature set.
@@ -94,9 +108,8 @@ def rf_cv_auc(org: DataFrame, sets=FEATURE_SETS, k: int = 5, num_trees: int = 10
     # One reliable checkpoint of the (organisation-sized) training table: every
     # fit reads it instead of re-running the event roll-up, and a lost
     # executor re-reads it from the shared folder.
-    # Bagging depends on row order and partition count: the order is fixed by the key and the count by
-    # ``train_partitions`` (default: the session's shuffle partitions).
-    train_partitions = train_partitions or int(org.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    # Bagging depends on row order and partition count: the order is fixed by the key, the count by the number of rows.
+    train_partitions = train_partitions or training_partitions(data.count())
     data = _materialise(data.join(folds.select("organization_id", "fold"), "organization_id")
                         .repartition(train_partitions, "organization_id").sortWithinPartitions("organization_id"))
     jobs = [(name, cols, f) for name, cols in sets for f in range(k)]
@@ -105,16 +118,15 @@ def rf_cv_auc(org: DataFrame, sets=FEATURE_SETS, k: int = 5, num_trees: int = 10
         name, cols, f = job
         scored = _fit_fold(data.where(F.col("fold") != f), data.where(F.col("fold") == f), cols,
                            num_trees, max_depth, seed)
-        return scored.select(F.lit(name).alias("feature_set"), F.lit(f).alias("fold"), "label", "score")
+        # Scored and landed here: a task carries the one model it scores with, not those of all fits.
+        return landed_copy(scored.select(F.lit(name).alias("feature_set"), F.lit(f).alias("fold"), "label", "score"),
+                           "fold-scores")
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         scored = list(pool.map(run, jobs))
     preds = scored[0]
     for s in scored[1:]:
         preds = preds.unionByName(s)
-    # The rank sums read the predictions in several branches; checkpoint them
-    # once so the fold models score each held-out row a single time.
-    preds = _materialise(preds)
     aucs = roc_auc(preds.withColumn("label", F.col("label") == 1), ["feature_set", "fold"], "score", "label")
     result = aucs.groupBy("feature_set").agg(
         F.count(F.lit(1)).alias("n_folds"), r6(F.avg("auc")).alias("mean_auc"),

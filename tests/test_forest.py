@@ -1,4 +1,4 @@
-"""Cross-validated forests: any session."""
+"""Cross-validated forests: any session, any shuffle setting."""
 
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
@@ -30,6 +30,19 @@ def test_forests_fit_in_a_session_that_has_observed_metrics(spark):
     assert [(r[0], r[1]) for r in got] == [("one", 2), ("two", 2)] and got[1][2] > 0.6
 
 
+def test_forests_do_not_depend_on_the_shuffle_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    try:
+        for parts in ("8", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            found.append(aucs(spark))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1]
+    assert [ml.training_partitions(n) for n in (0, 9000, 400_000, 540_000)] == [8, 8, 8, 11]
+
+
 def test_secret_forest_scores_in_a_session_that_has_observed_metrics(spark):
     observed(spark)
     rows = [(i, f'password = "a8Kq2ZxP9vLm{i}TwRb47"' if i % 2 else f'see "lowercaseletterswithoutanydigit{chr(97 + i % 26) * 3}"')
