@@ -434,9 +434,10 @@ STREAM_SLICES = 4
 
 
 def _ordered(spark, df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a stream of time-ordered files, one a micro-batch."""
-    path, schema = batches.land_in_order(df, "event_timestamp", STREAM_SLICES, name)
-    return batches.ordered_stream(spark, path, schema)
+    """``df`` as a stream of time-ordered slices, one a micro-batch."""
+    files = batches.files_a_slice(df.count(), STREAM_SLICES)
+    path, schema = batches.land_in_order(df, "event_timestamp", STREAM_SLICES, name, files)
+    return batches.ordered_stream(spark, path, schema, files)
 
 
 @register("stream_activity_batches")

@@ -19,6 +19,8 @@ from shiftlens.spec import DEFAULT_SPEC, RAW_COLUMNS, Spec
 from shiftlens.streaming.streams import daily_counts, state_partitions, with_event_time
 
 PROGRESS = "batch_id long, input_rows long, watermark string, late_rows long, state_rows long"
+ROWS_A_FILE = 100_000  # of a time-ordered source, about
+MAX_FILES = 1000       # a slice
 NUDGE = "organization_id string, first_unanswered_shift_at timestamp_ntz, nudge_due_at timestamp_ntz, shifts long"
 
 
@@ -30,19 +32,32 @@ class Run(NamedTuple):
     ended: bool
 
 
-def land_in_order(df: DataFrame, column: str, slices: int, name: str) -> tuple[str, object]:
+def files_a_slice(rows: int, slices: int) -> int:
+    """Files that a slice of ``rows`` rows in all is landed as, so that many tasks write and read it."""
+    return min(MAX_FILES, max(1, -(-rows // (slices * ROWS_A_FILE))))
+
+
+def land_in_order(df: DataFrame, column: str, slices: int, name: str, files: int = 1) -> tuple[str, object]:
     """Land a batch frame as Parquet files in time order: slice by slice, by quantiles of ``column``.
 
-    Rows with a null time come with the first slice.
+    Every slice has exactly ``files`` files (the last may have fewer), empty ones if it takes
+    that, so a micro-batch of as many files is one slice.  Rows with a null time come with
+    the first slice.
     """
-    path = scratch_path(df.sparkSession, f"{name}-ordered")
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-ordered")
     at = F.unix_micros(F.col(column).cast("timestamp"))
     cuts = df.agg(F.percentile_approx(at, [i / slices for i in range(1, slices)])).first()[0] or []
     edges = [None, *sorted(set(cuts)), None]
-    for lo, hi in zip(edges[:-1], edges[1:]):
+    for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:]), 1):
         part = df if lo is None else df.where(at > lo)
         part = part if hi is None else part.where((at <= hi) | at.isNull() if lo is None else at <= hi)
-        part.coalesce(1).write.mode("append").parquet(path)
+        part = part.repartition(files, *df.columns) if files > 1 else part.coalesce(1)
+        part.write.mode("append").parquet(path)
+        if files > 1 and hi is not None:
+            written = len(spark.read.schema(df.schema).parquet(path).inputFiles())
+            for _ in range(i * files - written):  # a file for every part without rows
+                spark.createDataFrame([], df.schema).coalesce(1).write.mode("append").parquet(path)
     return path, df.schema
 
 

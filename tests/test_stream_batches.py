@@ -103,3 +103,28 @@ def test_nudge_stream_through_the_sink_equals_the_batch_nudges(spark):
     assert batches.run_batches(sdf, folder, sink).ended
     got = sorted((r.organization_id, r.first_unanswered_shift_at) for r in sink.nudges().collect())
     assert got == [("a", ts(1)), ("c", ts(3))]
+
+
+def test_a_slice_of_many_files_is_one_micro_batch(spark):
+    # Four times, one of them held by two rows only: three files a slice take an empty one.
+    rows = [(f"o{i}", SHIFT, ts(24 * day), False, None) for day, n in ((1, 40), (2, 40), (4, 2), (9, 40)) for i in range(n)]
+    path, schema = batches.land_in_order(raw_rows(spark, rows), "event_timestamp", 3, "t-files", 5)
+    sizes = [spark.read.schema(schema).parquet(f).count() for f in spark.read.schema(schema).parquet(path).inputFiles()]
+    assert sum(sizes) == len(rows) and sum(n > 0 for n in sizes) > 4
+    sdf = streams.stream_activity_by_day(batches.ordered_stream(spark, path, schema, 5))
+    run = batches.run_batches(sdf, scratch_path(spark, "t-files-run"))
+    seen = [r for r in run.batches.collect() if r.input_rows]
+    assert sum(r.input_rows for r in seen) == len(rows) and sum(r.late_rows for r in seen) == 0 and len(seen) >= 2
+    assert sum(r.n_events for r in run.table.collect()) == 82  # the last day is not closed
+    assert [batches.files_a_slice(n, 4) for n in (0, 400_000, 400_001, 10 ** 10)] == [1, 1, 2, batches.MAX_FILES]
+
+
+def test_slices_without_enough_rows_are_filled_up_with_empty_files(spark):
+    rows = [("o", SHIFT, ts(24 * day), False, None) for day in range(1, 9)]
+    path, schema = batches.land_in_order(raw_rows(spark, rows), "event_timestamp", 4, "t-empty", 4)
+    assert len(spark.read.schema(schema).parquet(path).inputFiles()) >= 13
+    run = batches.run_batches(streams.stream_activity_by_day(batches.ordered_stream(spark, path, schema, 4)),
+                              scratch_path(spark, "t-empty-run"))
+    seen = [r.input_rows for r in run.batches.collect() if r.input_rows]
+    assert seen == [2, 2, 2, 2]
+    assert sum(r.n_events for r in run.table.collect()) == 6  # the last two days are not closed
