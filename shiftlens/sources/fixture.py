@@ -10,13 +10,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shiftlens.session import landed_copy
+
 # FIXED VALUES: the fixture definition (CTE bodies), kept verbatim for both engines.
-FIXTURE_CTES = """
+_EV = """
 ev AS (
   SELECT user_id, ts, event_type, value,
          CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k
   FROM {EVENTS}
-), org_window AS (
+), """
+_ORG = """org_window AS (
   SELECT user_id,
          CAST('2023-12-30 00:00:00' AS {TS}) + CAST(user_id % 5 AS INT) * INTERVAL '1' DAY AS trial_start,
          CAST('2024-01-29 00:00:00' AS {TS}) + CAST(user_id % 5 AS INT) * INTERVAL '1' DAY AS trial_end
@@ -27,7 +30,8 @@ ev AS (
                    AND e.ts >= w.trial_start AND e.ts <= w.trial_end THEN e.ts END) AS converted_at
   FROM org_window w JOIN ev e ON e.user_id = w.user_id
   GROUP BY w.user_id, w.trial_start, w.trial_end
-), mapped AS (
+), """
+_MAPPED = """mapped AS (
   SELECT user_id, ts, k,
     CASE
       WHEN event_type = 'view'     AND k < 60 THEN 'Mobile.Schedule.Loaded'
@@ -49,7 +53,8 @@ ev AS (
       ELSE 'Account.Settings.Opened'
     END AS activity_name
   FROM ev
-), sided AS (
+), """
+_RAW = """sided AS (
   SELECT m.*, CASE
       WHEN activity_name IN ('Mobile.Schedule.Loaded','ShiftDetails.View.Opened','PunchClock.PunchedIn',
         'PunchClock.PunchedOut','Scheduling.Availability.Set','Scheduling.ShiftSwap.Created',
@@ -67,6 +72,7 @@ JOIN copies c ON c.copy_no = 1 OR s.k % 3 <> 0
 WHERE NOT (s.side = 'worker' AND s.user_id % 2 = 1)
   AND NOT (s.side = 'admin'  AND s.user_id % 9 = 0)
 )"""
+FIXTURE_CTES = _EV + _ORG + _MAPPED + _RAW
 
 
 def fixture_ctes(ts_type: str, events: str = "events") -> str:
@@ -78,7 +84,14 @@ def events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_trial_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw (duplicated, unfiltered) trial events from ``events.parquet``."""
+    """Raw (duplicated, unfiltered) trial events from ``events.parquet``.
+
+    The activities are landed first: in one plan the filters on them, pushed down to the
+    scan, hold the regular expression 48 times in code too long to be compiled.  Events
+    without a user join nothing.
+    """
     events = events_table(spark, sf_dir)
-    sql = "WITH " + fixture_ctes("TIMESTAMP_NTZ", "{events}") + " SELECT * FROM raw"
-    return spark.sql(sql, events=events)
+    mapped = landed_copy(spark.sql("WITH " + _EV.replace("{EVENTS}", "{events} WHERE user_id IS NOT NULL")
+                                   + _MAPPED.rstrip(", ") + " SELECT * FROM mapped", events=events), "activities")
+    ctes = _EV.replace("{EVENTS}", "{events}") + _ORG.replace("{TS}", "TIMESTAMP_NTZ") + "mapped AS (SELECT * FROM {mapped}), "
+    return spark.sql("WITH " + ctes + _RAW + " SELECT * FROM raw", events=events, mapped=mapped)
