@@ -21,6 +21,7 @@ from shiftlens.streaming.streams import daily_counts, state_partitions, with_eve
 PROGRESS = "batch_id long, input_rows long, watermark string, late_rows long, state_rows long"
 ROWS_A_FILE = 100_000  # of a time-ordered source, about
 MAX_FILES = 1000       # a slice
+STOP_POLL = 0.02       # seconds
 NUDGE = "organization_id string, first_unanswered_shift_at timestamp_ntz, nudge_due_at timestamp_ntz, shifts long"
 
 
@@ -93,7 +94,9 @@ def run_batches(sdf: DataFrame, folder: str, sink=None, stop_after: int | None =
     ended = False
     try:
         while not ended:
-            ended = query.awaitTermination(1)
+            # A run to be stopped is watched closely: one stopped between its last rows and the batch that
+            # closes their windows would leave them open, since a resumed query starts with new rows only.
+            ended = query.awaitTermination(1 if stop_after is None else STOP_POLL)
             if not ended and stop_after is not None:
                 if sum(p["numInputRows"] > 0 for p in query.recentProgress) >= stop_after:
                     break

@@ -128,3 +128,12 @@ def test_slices_without_enough_rows_are_filled_up_with_empty_files(spark):
     seen = [r.input_rows for r in run.batches.collect() if r.input_rows]
     assert seen == [2, 2, 2, 2]
     assert sum(r.n_events for r in run.table.collect()) == 6  # the last two days are not closed
+
+
+def test_a_run_is_stopped_well_before_the_last_batch(spark):
+    rows = [("o", SHIFT, ts(24 * day), False, None) for day in range(1, 9)]
+    path, schema = batches.land_in_order(raw_rows(spark, rows), "event_timestamp", 8, "t-stop")
+    sdf, folder = streams.stream_activity_by_day(batches.ordered_stream(spark, path, schema)), scratch_path(spark, "t-stop-run")
+    first = batches.run_batches(sdf, folder, stop_after=1)
+    assert not first.ended and sum(r.input_rows > 0 for r in first.batches.collect()) <= 2
+    assert sum(r.n_events for r in batches.run_batches(sdf, folder).table.collect()) == 6
