@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, landed
+from .common import dropped, join_groups, landed
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,13 +25,18 @@ def components(edges: DataFrame) -> DataFrame:
         step = landed(label.join(near, "node").select("node", F.least("root", "m").alias("root"), "degree",
                                                       (F.col("m") < F.col("root")).alias("moved")), "labels")
         if not step.where("moved").limit(1).count():
+            dropped(both, step)
             return label
+        dropped(label)
         label = _jump(step.drop("moved"))
+        dropped(step)
 
 
 def _jump(label: DataFrame) -> DataFrame:
     """Every node takes its root's root."""
     named = label.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
     roots = landed(named.join(label.select(F.col("node").alias("root"), F.col("root").alias("next")), "root"), "roots")
-    return landed(join_groups(label, roots, "root", "members").select("node", F.col("next").alias("root"), "degree"),
-                  "jumped")
+    after = landed(join_groups(label, roots, "root", "members").select("node", F.col("next").alias("root"), "degree"),
+                   "jumped")
+    dropped(roots)
+    return after

@@ -19,9 +19,9 @@ another component, then leave the list with all their pairs decided.  Links
 found merge components, and a list whose members are all one component is done.
 The width grows from round to round, so a list of any length ends; no list,
 pair or partner is capped.  The first round, of one
-leader a list, estimates pair by pair on the ``K`` values; later rounds test the
-members of a list in blocks beside its leaders on the bottom ``LONG_K`` values, where
-a refused pair is no row.  A list of many classes that are alike but not linked still
+leader a list, estimates pair by pair on the ``K`` values; later rounds test members
+in blocks beside the leaders of their lists on the bottom ``LONG_K`` values, where
+a refused pair is no row.  Tables of a round are dropped when the next one has read them.  A list of many classes that are alike but not linked still
 costs comparisons in the square of its open members: each of them must be refused.
 
 Defined results: null or wordless text has an empty set, is linked with nothing
@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_groups, landed
+from .common import dropped, join_groups, landed, shuffles_end
 from .graph import components
 
 SHINGLE = 4
@@ -56,7 +56,7 @@ SIMILAR, OF = 80, 100
 # Linked leaders first draw the open members of a list of copies in, for a few pairs each; open members lead last.
 ROUNDS = ((1, True), (8, True), (64, True), (512, False))
 PAIRS_A_PART = 1000
-BLOCK = 256         # members of a list tested in one row group beside its leaders
+BLOCK = 512         # members of a list tested in one row group beside their leaders
 LONG_K = 256        # bottom values compared in blocks
 LONG_NEEDED = 156   # of them; fewer at similarity 0.8 with a chance below 1e-10
 BROADCAST_IDS = 2_000_000
@@ -160,8 +160,10 @@ def inverted_lists(classes: DataFrame) -> DataFrame:
     rarest = Window.partitionBy("cls").orderBy("df", "value")
     size = F.least("n", F.lit(K))
     alone = size - F.count(F.lit(1)).over(Window.partitionBy("cls"))  # values no other class holds come first
-    return landed(rows.withColumn("place", F.row_number().over(rarest) + alone)
-                  .where(F.col("place") <= size - needed(F.col("n")) + 1).select("value", "cls", "n"), "inverted")
+    lists = landed(rows.withColumn("place", F.row_number().over(rarest) + alone)
+                   .where(F.col("place") <= size - needed(F.col("n")) + 1).select("value", "cls", "n"), "inverted")
+    dropped(shared)
+    return lists
 
 
 def _both(pairs: DataFrame, leaders: DataFrame, table: DataFrame, value: str) -> DataFrame:
@@ -199,15 +201,17 @@ def full_sets(docs: DataFrame, classes: DataFrame, asked: DataFrame) -> DataFram
     sets = (rows.join(ids, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
             .mapInArrow(_full, "digest binary, shingles array<long>"))
     # One exchange of the sets: rows repeating a doc_id collapse on the key of the join.
-    return landed(sets.groupBy("digest").agg(F.max("shingles").alias("shingles"))
+    sets = landed(sets.groupBy("digest").agg(F.max("shingles").alias("shingles"))
                   .join(wanted.select("cls", "digest"), "digest").select("cls", "shingles"), "shingle-sets")
+    dropped(wanted)
+    return sets
 
 
 def _open(lists: DataFrame, labels: DataFrame | None, width: int, linked_first: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows of open lists beside their leaders, the leaders, lists without those).
+    """(rows of open lists, those lists with their leaders, the leaders), all landed.
 
-    Lists of one component are gone.  ``wanted`` holds the leaders a row has to be tested
-    with, ``part`` deals a leader's pairs.
+    Lists of one component are gone.  ``leads`` marks the rows of leaders, ``parts`` deals a
+    leader's pairs.
     """
     rows = (lists.withColumn("root", F.col("cls")).withColumn("degree", F.lit(0).cast("long")) if labels is None else
             landed(lists.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
@@ -220,23 +224,27 @@ def _open(lists: DataFrame, labels: DataFrame | None, width: int, linked_first:
     lead = (rows.withColumn("r", F.row_number().over(first)).where(F.col("r") <= width)
             .groupBy("value").agg(F.collect_list(F.struct("cls", "n", "root")).alias("leaders")))
     led = landed(still.join(lead, "value"), "leaders")
-    near = F.filter("leaders", lambda x: (x["root"] != F.col("root")) & (
-        F.least(x["n"], F.col("n")) * OF >= F.greatest(x["n"], F.col("n")) * SIMILAR))
-    parts = F.ceil(F.col("members") / PAIRS_A_PART).cast("int")
-    hashed = F.xxhash64("cls")
     met = landed(join_groups(rows, led, "value", "members").select(
-        "value", "cls", "n", F.pmod(hashed, parts).cast("int").alias("part"),
-        F.pmod(hashed, F.ceil(F.col("members") / BLOCK)).cast("int").alias("block"),
-        F.transform(near, lambda x: x["cls"]).alias("wanted"),
+        "value", "cls", "n", "root", "members",
         F.exists("leaders", lambda x: x["cls"] == F.col("cls")).alias("leads")), "led-rows")
+    parts = F.ceil(F.col("members") / PAIRS_A_PART).cast("int")
     leaders = (led.select(F.explode("leaders.cls").alias("leader"), parts.alias("parts"))
                .groupBy("leader").agg(F.max("parts").alias("parts")))
-    return met, landed(leaders, "pair-leaders"), met.where(~F.col("leads")).select("value", "cls", "n")
+    if labels is not None:
+        dropped(rows)
+    return met, led, landed(leaders, "pair-leaders")
 
 
-def single_pairs(met: DataFrame, leaders: DataFrame, classes: DataFrame) -> DataFrame:
+def single_pairs(met: DataFrame, led: DataFrame, leaders: DataFrame, classes: DataFrame) -> DataFrame:
     """Estimated pairs (member, leader, part) of a round of one leader a list."""
-    pairs = (met.select(F.col("cls").alias("member"), "part", F.explode("wanted").alias("leader"))
+    led = led.select("value", "members", F.col("leaders")[0].alias("lead"))
+    n, other = F.col("lead.n"), F.col("n")
+    parts = F.ceil(F.col("members") / PAIRS_A_PART).cast("int")
+    pairs = (join_groups(met.drop("members"), led, "value", "members")
+             .where((F.col("lead.root") != F.col("root"))
+                    & (F.least(n, other) * OF >= F.greatest(n, other) * SIMILAR))
+             .select(F.col("cls").alias("member"), F.col("lead.cls").alias("leader"),
+                     F.pmod(F.xxhash64("cls"), parts).cast("int").alias("part"))
              .groupBy("member", "leader").agg(F.min("part").alias("part")))
     return estimated(pairs, leaders, classes)
 
@@ -249,25 +257,23 @@ def _column(table: pa.Table, name: str) -> pa.Array:
     return table.column(name).combine_chunks()
 
 
-def _first_meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per (member, list) with the leaders that no earlier list of the member names."""
-    for batch in batches:
-        lists = batch.column("lists")
-        meetings, a_member = lists.flatten(), _lengths(lists)
-        wanted = meetings.field("wanted")
-        leaders = wanted.flatten().to_numpy(zero_copy_only=False)
-        meeting = np.repeat(np.arange(len(wanted)), _lengths(wanted))
-        ends = np.concatenate([[0], np.cumsum(_lengths(wanted))])[np.concatenate([[0], np.cumsum(a_member)])]
-        first = np.concatenate([np.empty(0, dtype=np.int64)] + [
-            lo + np.sort(np.unique(leaders[lo:hi], return_index=True)[1]) for lo, hi in zip(ends[:-1], ends[1:])])
-        left = np.bincount(meeting[first], minlength=len(wanted))
-        offsets = np.concatenate([[0], np.cumsum(left)]).astype(np.int32)
-        new = pa.RecordBatch.from_arrays(
-            [batch.column("member").take(pa.array(np.repeat(np.arange(len(lists)), a_member)))]
-            + [meetings.field(name) for name in ("value", "block", "part")]
-            + [pa.ListArray.from_arrays(pa.array(offsets), pa.array(leaders[first], pa.int64()))],
-            ["member", "value", "block", "part", "wanted"])
-        yield new.filter(pa.array(left > 0))
+def _wanted(members: pa.Table, lists: pa.Table) -> pa.Table:
+    """Members of one block, each with the distinct leaders of its lists that it has to be tested with."""
+    ids, index = np.unique(_column(lists, "ids").flatten().to_numpy(), return_inverse=True)
+    n, root = (np.empty(len(ids), dtype=np.int64) for _ in range(2))
+    n[index], root[index] = (_column(lists, name).flatten().to_numpy() for name in ("ns", "roots"))
+    stops = np.concatenate([[0], np.cumsum(_lengths(_column(lists, "ids")))])
+    led = {v: index[lo:hi] for v, lo, hi in zip(_column(lists, "value").to_pylist(), stops[:-1], stops[1:])}
+    wanted = []
+    for values, size, own in zip(*(members.column(name).to_pylist() for name in ("lists", "n", "root"))):
+        met = np.zeros(len(ids), dtype=bool)
+        for value in values:
+            met[led[value]] = True
+        met = np.flatnonzero(met)
+        alike = np.minimum(n[met], size) * OF >= np.maximum(n[met], size) * SIMILAR
+        wanted.append(ids[met[alike & (root[met] != own)]])
+    new = members.select(["home", "block", "member"]).append_column("wanted", _longs(wanted))
+    return new.filter(pa.array([len(w) > 0 for w in wanted], pa.bool_()))
 
 
 def _block_hits(members: pa.Table, leaders: pa.Table) -> pa.Table:
@@ -277,7 +283,8 @@ def _block_hits(members: pa.Table, leaders: pa.Table) -> pa.Table:
     is a bottom-k sketch of the union with k of at least ``LONG_K``, and every value shared counts.
     """
     if not members.num_rows or not leaders.num_rows:
-        return pa.table({name: pa.array([], pa.int64()) for name in ("member", "leader", "part")})
+        return pa.table({"member": pa.array([], pa.int64()), "leader": pa.array([], pa.int64()),
+                         "part": pa.array([], pa.int32())})
     top = np.iinfo(np.int64).max
     ids = _column(leaders, "leader").to_numpy()
     order = np.argsort(ids)
@@ -309,65 +316,87 @@ def _block_hits(members: pa.Table, leaders: pa.Table) -> pa.Table:
         whole = (size <= LONG_K) & (n <= LONG_K)
         hits[j] = asked[j] & np.where(whole, agree * OF >= union * SIMILAR, agree * LONG_K >= union * LONG_NEEDED)
     leader, member = np.nonzero(hits)
-    return pa.table({"member": _column(members, "member").take(pa.array(member)), "leader": pa.array(ids[leader]),
-                     "part": _column(members, "part").cast(pa.int64()).take(pa.array(member))})
+    found = _column(members, "member").to_numpy()[member]
+    parts = _column(leaders, "parts").to_numpy()[leader].astype(np.uint64)
+    return pa.table({"member": found, "leader": ids[leader],
+                     "part": (_mix(found.view(np.uint64)) % parts).astype(np.int32)})
 
 
-def blocked_pairs(met: DataFrame, sets: DataFrame) -> DataFrame:
+def blocked_pairs(met: DataFrame, led: DataFrame, leaders: DataFrame, sets: DataFrame) -> DataFrame:
     """Estimated pairs (member, leader, part) of a round of many leaders a list.
 
-    A pair is tested in the first list its member meets it in.  Members of a list
-    go in blocks of about ``BLOCK``, each beside the leaders that any of them wants, so
-    a sketch moves once a block and refused pairs never become rows.  A block is one
-    Arrow group: some 256 members and at most the round's leaders, 2 KB each.
+    A member is one row, in a block of about ``BLOCK`` members that have the same longest
+    list.  The leaders of their lists go to a block once as ids, from which each member takes
+    those it wants, and then once as sketches, so refused pairs never become rows.  A block
+    is one Arrow group: some 512 members and the leaders of their lists, 2 KB each.
     """
     low = sets.select("cls", F.size("shingles").cast("long").alias("n"), F.slice("shingles", 1, LONG_K).alias("low"))
-    by_member = (met.where(F.size("wanted") > 0).groupBy(F.col("cls").alias("member"))
-                 .agg(F.sort_array(F.collect_list(F.struct("value", "block", "part", "wanted"))).alias("lists")))
-    asked = landed(by_member.mapInArrow(
-        _first_meetings, "member long, value long, block int, part int, wanted array<long>"), "block-members")
-    leads = landed(asked.groupBy("value", "block").agg(F.array_distinct(F.flatten(F.collect_list("wanted"))).alias("all"))
-                   .select("value", "block", F.explode("all").alias("leader")), "block-leaders")
+    members = landed(
+        met.groupBy(F.col("cls").alias("member"))
+        .agg(F.max("n").alias("n"), F.max("root").alias("root"), F.max(F.struct("members", "value")).alias("longest"),
+             F.collect_set("value").alias("lists"))
+        .select("member", "n", "root", "lists", F.col("longest.value").alias("home"),
+                F.pmod(F.xxhash64("member"), F.ceil(F.col("longest.members") / BLOCK)).cast("int").alias("block")),
+        "block-members")
+    held = landed(members.select("home", "block", F.explode("lists").alias("value")).distinct(), "block-lists")
+    meet = join_groups(held, led, "value", "members").select(
+        "home", "block", "value", *(F.col(f"leaders.{c}").alias(x) for c, x in (("cls", "ids"), ("n", "ns"), ("root", "roots"))))
+    asked = landed(members.groupBy("home", "block").cogroup(meet.groupBy("home", "block")).applyInArrow(
+        _wanted, "home long, block int, member long, wanted array<long>"), "block-wanted")
+    leads = landed(asked.select("home", "block", F.explode("wanted").alias("leader")).distinct(), "block-leaders")
     asks = leads.groupBy("leader").agg(F.count(F.lit(1)).alias("asks"))
-    tables = landed(asks.join(low.withColumnRenamed("cls", "leader"), "leader"), "leader-sketches")
-    beside = join_groups(leads, tables, "leader", "asks").select("value", "block", "leader", "n", "low")
-    members = asked.join(low.withColumnRenamed("cls", "member"), "member")
-    return (members.groupBy("value", "block").cogroup(beside.groupBy("value", "block"))
-            .applyInArrow(_block_hits, "member long, leader long, part long")
-            .withColumn("part", F.col("part").cast("int")))
+    tables = landed(asks.join(low.withColumnRenamed("cls", "leader"), "leader").join(leaders, "leader"),
+                    "leader-sketches")
+    beside = join_groups(leads, tables, "leader", "asks").select("home", "block", "leader", "n", "low", "parts")
+    tested = asked.join(low.withColumnRenamed("cls", "member"), "member")
+    pairs = landed(tested.groupBy("home", "block").cogroup(beside.groupBy("home", "block"))
+                   .applyInArrow(_block_hits, "member long, leader long, part int"), "pairs")
+    dropped(members, held, asked, leads, tables)
+    return pairs
 
 
 def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
     """(node, root) of classes linked to others; None without links."""
-    lists = inverted_lists(classes)
-    sets, edges, labels = None, None, None
+    met = inverted_lists(classes)
+    lists, sets, edges, labels = met, None, None, None
     for width, linked_first in chain(ROUNDS, repeat(ROUNDS[-1])):
-        met, leaders, lists = _open(lists, labels, width, linked_first)
-        pairs = landed(single_pairs(met, leaders, classes) if sets is None else blocked_pairs(met, sets), "pairs")
+        before, (met, led, leaders) = met, _open(lists, labels, width, linked_first)
+        dropped(before)
+        lists = met.where(~F.col("leads")).select("value", "cls", "n")
         if sets is None:
+            pairs = landed(single_pairs(met, led, leaders, classes), "pairs")
             named = pairs.select(F.explode(F.array("member", "leader")).alias("cls"))
             sets = full_sets(docs, classes, named.unionByName(lists.select("cls")))
+        else:
+            pairs = blocked_pairs(met, led, leaders, sets)
         if pairs.limit(1).count():
             links = landed(verified(pairs, leaders, sets), "links")
             edges = links if edges is None else edges.unionByName(links)
+            if labels is not None:
+                dropped(labels)
             labels = components(edges)
+        dropped(led, leaders, pairs)
         if not lists.limit(1).count():
+            dropped(met, sets)
             return labels
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
-    rows = sketches(docs)
-    classes = classes_of(rows)
-    labels = link_classes(docs, classes)
-    member = classes.select("cls", "digest", "first", "rows")
-    member = (member.withColumn("root", F.col("cls")) if labels is None else
-              member.join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left")
-              .withColumn("root", F.coalesce("root", "cls")))
-    member = landed(member, "members")
-    lowest = landed(member.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("size")),
-                    "lowest")
-    named = landed(join_groups(member, lowest, "root", "size").select("digest", "rows", "component_id"), "named")
+    with shuffles_end(docs.sparkSession):
+        rows = sketches(docs)
+        classes = classes_of(rows)
+        labels = link_classes(docs, classes)
+        member = classes.select("cls", "digest", "first", "rows")
+        member = (member.withColumn("root", F.col("cls")) if labels is None else
+                  member.join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left")
+                  .withColumn("root", F.coalesce("root", "cls")))
+        member = landed(member, "members")
+        dropped(classes, *([] if labels is None else [labels]))
+        lowest = landed(member.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("size")),
+                        "lowest")
+        named = landed(join_groups(member, lowest, "root", "size").select("digest", "rows", "component_id"), "named")
+        dropped(member, lowest)
     linked = join_groups(rows.where(F.col("digest").isNotNull()).select("doc_id", "n_shingles", "digest"),
                          named, "digest", "rows")
     alone = rows.where(F.col("digest").isNull()).withColumn("component_id", F.col("doc_id"))

@@ -6,12 +6,15 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from shiftlens.llm import graph, lexical, minhash, trie
+from shiftlens.session import checkpoint_root
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -225,3 +228,30 @@ def test_blocks_refuse_alike_texts_and_find_links(spark, monkeypatch, long_k, ne
     docs = [(i, " ".join(changed(rng, base, rng.randint(0, 40)))) for i in range(150)]  # few of them are linked
     got = rows_of(minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")), *MINHASH)
     assert got == brute_links(docs) and 1 < len({r[2] for r in got}) < 150
+
+
+def test_finished_tables_and_shuffles_leave_the_disk(spark, monkeypatch):
+    from shiftlens.llm import common
+
+    key, folders = common.SHUFFLE_CLEANUP, Path(checkpoint_root(spark).removeprefix("file:"))
+    cleaned, write = [], minhash.landed
+    monkeypatch.setattr(minhash, "landed", lambda df, name: (cleaned.append(spark.conf.get(key)), write(df, name))[1])
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(400)]
+    docs = [(i, " ".join(changed(rng, base, rng.randint(0, 40)))) for i in range(60)]
+    before = set(folders.iterdir())
+    out = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+    left = {p.name.removeprefix("shiftlens-").rsplit("-", 1)[0] for p in set(folders.iterdir()) - before}
+    assert left <= {"sketches", "named", "links"}
+    assert set(cleaned) == {"true"} and spark.conf.get(key) == "false"
+    assert rows_of(out, *MINHASH) == brute_links(docs)
+
+
+def test_wanted_leaders_of_a_block_by_hand():
+    members = pa.table({"home": [1, 1, 1], "block": pa.array([0, 0, 0], pa.int32()), "member": [10, 11, 12],
+                        "n": [100, 100, 50], "root": [10, 20, 12], "lists": pa.array([[1, 2], [1], [2]])})
+    lists = pa.table({"value": [2, 1], "ids": pa.array([[20, 30], [20, 21, 10]]),
+                      "ns": pa.array([[90, 70], [90, 125, 100]]), "roots": pa.array([[20, 30], [20, 21, 10]])})
+    got = minhash._wanted(members, lists).to_pydict()
+    # 20 is met in two lists and wanted once; 30 and member 12 differ too much in size; 11 has the root of 20
+    assert got["member"] == [10, 11] and got["wanted"] == [[20, 21], [10, 21]]
